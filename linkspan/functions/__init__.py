@@ -1 +1 @@
-
+"""Column functions: wire format, addresses, safety and status."""

@@ -1 +1 @@
-
+"""Operators over telemetry tables."""

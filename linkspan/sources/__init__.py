@@ -1 +1 @@
-
+"""Sources and sinks of frames, settings and logs."""
