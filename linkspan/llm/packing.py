@@ -16,6 +16,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,18 +41,21 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space and never merges across it.
+    """Ids of texts by a tokenizer that lower-cases, drops white space and never merges across it.
 
-    Words are encoded once and remembered as little-endian 32-bit ids; missing words of a
-    text are encoded together, with a special token between them.
+    Words are encoded once and remembered as little-endian 32-bit ids. A mark behind a word of
+    letters is a token of its own, so such words are looked up without it. New words of
+    letters alone are encoded together, as the last token of each ends with the vocabulary's
+    end-of-word suffix; all others one by one.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = "<|endoftext|>"
-        self.mark = self.tokenizer.token_to_id(self.separator)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[n for piece, n in vocabulary.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.most = most
 
@@ -61,20 +65,35 @@ class WordEncoder:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
             missing = {w for w in words if w not in self.known}
-        if len(self.known) + len(missing) > self.most:
+        if len(self.known) + 2 * len(missing) > self.most:
             self.known, missing = {}, set(words)
         self.learn(missing)
         return b"".join(map(self.known.__getitem__, words))
 
     def learn(self, words: set[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
-        joined = f" {self.separator} ".join([*plain, ""])
-        ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(ids == self.mark)
-        for word, a, b in zip(plain, [0, *(ends + 1).tolist()], ends.tolist()):
-            self.known[word] = ids[a:b].tobytes()
-        for word in words - set(plain):
-            self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = {w: self.split(w) for w in words}
+        new = {x for p in parts.values() for x in p if x not in self.known}
+        letters = [x for x in new if x.isalpha()]
+        ids, ends = self.encode(" ".join(letters)), ()
+        if letters:
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == len(letters):
+            raw, cuts = ids.tobytes(), (4 * np.concatenate(([0], ends))).astype(int).tolist() if letters else [0]
+            self.known.update(zip(letters, (raw[a:b] for a, b in pairwise(cuts))))
+        for x in new:
+            if x not in self.known:
+                self.known[x] = self.encode(x).tobytes()
+        for word, (core, mark) in parts.items():
+            self.known[word] = self.known[core] + self.known[mark]
+
+    @staticmethod
+    def split(word: str) -> tuple[str, str]:
+        """A word in the form to be looked up, and the mark behind it."""
+        core, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[:-1].isalpha() else (word, "")
+        return core.lower() if core.isascii() and core.isalpha() else core, mark
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
 
 @cache
