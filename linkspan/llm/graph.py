@@ -2,16 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspan.llm.common import cut
 
+#: A task replaces about so many links at a time by as many stars as they have components.
+RUN_LINKS = 1 << 18
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the links that is not the smallest it reaches over them, and that smallest node."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, least = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(least[x], least[y]), np.maximum(least[x], least[y])
+        open_ = low < high
+        x, y = x[open_], y[open_]
+        np.minimum.at(least, high[open_], low[open_])
+        while (least[least] != least).any():
+            least = least[least]
+    leaf = least != np.arange(len(nodes))
+    return nodes[leaf], nodes[least[leaf]]
+
 
-def _signature(edges: DataFrame) -> tuple:
-    # a sum of hashes would overflow a long, so the hash is cut to 31 bits first
-    row = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(2**31)))).first()
-    return row[0], row[1]
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task with the same components and no more rows than nodes, run by run."""
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        found = stars(*(np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1)))
+        return pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= RUN_LINKS:
+            yield out(held)
+            held = []
+    if held:
+        yield out(held)
 
 
 def _with_min(edges: DataFrame, key: str, least: DataFrame) -> DataFrame:
@@ -22,7 +55,7 @@ def _with_min(edges: DataFrame, key: str, least: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large-star-min")
-    return _with_min(both, "u", least).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_min(both, "u", least).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -31,20 +64,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a root or the leaf of one root."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root"))
+    ends = ends.union(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    roles = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+    return not roles.where((F.col("up") > 1) | (F.col("up") > 0) & (F.col("root") > 0)).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """From links (a, b) to (node, root): each linked node and the smallest node it reaches.
+    """From links (a, b), both long, to (node, root): each linked node and the smallest node it reaches.
 
     Self links and nulls take no part, repeated links count once, no links give an empty
-    table. Roots have a row of their own. Only counts come to the driver.
+    table. Roots have a row of their own. Only a yes or no comes to the driver.
     """
-    clean = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = cut(clean, "edges")
-    mark = _signature(now)
-    while mark[0]:
+    clean = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = cut(clean.mapInArrow(_contracted, "a long, b long").distinct(), "edges")
+    while not _are_stars(now):
         now = cut(_small_star(cut(_large_star(now), "large-star")), "small-star")
-        after = _signature(now)
-        if after == mark:
-            break
-        mark = after
     linked = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return linked.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
