@@ -1,8 +1,51 @@
 """DuckDB SQL for the operators that it can express."""
 
-_WORDS = r"'[^\x20\x09-\x0D]+'"
+from linkspan.llm import quality
+
+_WORD = r"[^\x20\x09-\x0D]+"
+#: What str.split() leaves whole.
+_SOLID = r"[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 ORACLES = {
+    "op6_quality": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents
+        ), words AS (
+            SELECT id, unnest(words) AS word, unnest(range(len(words))) AS place FROM d
+        ), windows AS (
+            SELECT id, place, concat(word, ' ', lead(word) OVER w, ' ', lead(word, 2) OVER w, ' ', lead(word, 3) OVER w, ' ', lead(word, 4) OVER w) AS shown, lead(word, 4) OVER w AS last
+            FROM words WINDOW w AS (PARTITION BY id ORDER BY place)
+        ), repeated AS (
+            SELECT id, place, count(*) OVER (PARTITION BY id, shown) AS n FROM windows WHERE last IS NOT NULL
+        ), covered AS (
+            SELECT id, count(DISTINCT word) AS n FROM (SELECT id, place + unnest(range(5)) AS word FROM repeated WHERE n > 1) GROUP BY id
+        ), lines AS (
+            SELECT id, line, count(*) AS n FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}') GROUP BY id, line
+        ), parts AS (
+            SELECT *, regexp_extract_all(line, '{_SOLID}') AS solid, len(regexp_extract_all(line, '{_WORD}')) AS n_words FROM lines
+        ), measured AS (
+            SELECT *, len(solid) AS n_solid, len(array_to_string(solid, '')) AS chars, len(regexp_replace(line, '[^\p{{L}}\p{{N}}]', '', 'g')) AS alnum FROM parts
+        ), judged AS (
+            SELECT *,
+                chars - alnum > {quality.PUNCTUATION_SHARE} * chars
+                OR (n_solid >= {quality.SHOUT_WORDS} AND regexp_matches(line, '\p{{Lu}}') AND NOT regexp_matches(line, '[\p{{Ll}}\p{{Lt}}]')
+                    AND 2 * len(list_filter(solid, lambda w: w LIKE '%!')) >= n_solid)
+                OR (n_solid <= {quality.NAVIGATION_WORDS} AND regexp_matches(line, '{quality._NAVIGATION.pattern}'))
+                OR regexp_matches(line, '{quality._BOILERPLATE.pattern}', 'i') AS bad
+            FROM measured
+        ), kept AS (
+            SELECT id, sum(n - 1) AS dup, sum(CASE WHEN bad THEN 0 ELSE n_words END) AS words FROM judged GROUP BY id
+        ), counted AS (
+            SELECT doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(len(array_to_string(d.words, '')) AS BIGINT) AS word_chars,
+                CAST(len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(coalesce(kept.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, coalesce(kept.words, 0) AS kept_words
+            FROM d LEFT JOIN covered USING (id) LEFT JOIN kept USING (id)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+            n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+            NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words) AND kept_words >= {quality.KEEP_SHARE} * n_words AS kept
+        FROM counted
+    """,
     "op9_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -16,4 +59,19 @@ ORACLES = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    # base 32: every five hexadecimal digits are four letters
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p
+        )
+        SELECT
+            page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(1, 41, 5), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr(
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(sha, i, 5) AS BIGINT) >> s) & 31 AS BIGINT) + 1, 1)), '')), '') AS payload_digest,
+            CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+        FROM f
+    """,
 }
