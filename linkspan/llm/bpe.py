@@ -10,19 +10,17 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import Memo, tokenizer_file
+from linkspan.llm.common import Memo, kept, slices, tokenizer_file
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Fixed value: the pattern that splits text before the merges of the rank files.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = 1 << 62
 
 
@@ -89,7 +87,7 @@ class Codec:
         self.ranks = read_ranks(path)
         self.parts = {i: b for b, i in self.ranks.items()}
         self.find = regex.compile(PATTERN).findall
-        self.known = Memo(lambda match: np.array(merge(match.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes(), 500_000)
+        self.known = Memo(lambda match: np.array(merge(match.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes(), value_bytes=48)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.find(text)))
@@ -98,10 +96,9 @@ class Codec:
         return b"".join(map(self.parts.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@cache
 def codec(folder: str | None) -> Codec:
-    """The worker's codec, kept between tasks."""
-    return Codec(tokenizer_file(RANKS, folder))
+    """The worker's codec, kept until another operator's task runs in the worker."""
+    return kept(Codec, tokenizer_file(RANKS, folder))
 
 
 def encode(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -112,7 +109,7 @@ def encode(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, keeping=Codec):
             ids = [codec(folder).encode(x or "") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -123,7 +120,7 @@ def decode(encoded: DataFrame, folder: str | None = None) -> DataFrame:
     """(doc_id, raw binary): the bytes that ``ids`` stand for; null ids are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, keeping=Codec):
             raw = [codec(folder).decode(x or b"") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "raw"])
 
@@ -131,12 +128,17 @@ def decode(encoded: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode the ids, and digest both, batch by batch."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode the ids, and digest both, batch by batch.
+
+    A null or empty text has no tokens and the digests of nothing. Repeated rows are each
+    encoded, texts of any length as wholes; an empty table gives an empty result. Columns
+    beyond doc_id and text are ignored. ``folder`` holds the rank file.
+    """
     hexed = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(folder)
-        for batch in batches:
+        for batch in slices(batches, keeping=Codec):
             out = []
             for text in batch.column(1).to_pylist():
                 ids = own.encode(text or "")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import cut
+from linkspan.llm.common import cut, discard
 
 #: A task replaces about so many links at a time by as many stars as they have components.
 RUN_LINKS = 1 << 18
@@ -47,21 +47,21 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
-def _with_min(edges: DataFrame, key: str, least: DataFrame) -> DataFrame:
-    """Both sides are scans, so AQE can split the key of a hub."""
-    return edges.join(least, key)
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Both sides of the join are scans, so AQE can split the key of a hub."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large-star-min")
-    return _with_min(both, "u", least).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    out = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")), "large-star")
+    discard(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = cut(edges.groupBy("a").agg(F.min("b").alias("m")), "small-star-min")
-    moved = _with_min(edges, "a", least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = cut(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+    discard(least)
+    return out
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -81,6 +81,11 @@ def components(edges: DataFrame) -> DataFrame:
     clean = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = cut(clean.mapInArrow(_contracted, "a long, b long").distinct(), "edges")
     while not _are_stars(now):
-        now = cut(_small_star(cut(_large_star(now), "large-star")), "small-star")
+        large = _large_star(now)
+        discard(now)
+        now = _small_star(large)
+        discard(large)
     linked = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return linked.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = cut(linked.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
+    discard(now)
+    return roots

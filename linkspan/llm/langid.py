@@ -22,6 +22,8 @@ ORDERS = (2, 3)
 BUCKETS = 1 << 15
 #: About so many labelled rows are learned from, chosen by a hash of doc_id.
 TRAIN_ROWS = 20_000
+#: Languages of a model, each with a row of 128 KB in the broadcast matrix.
+MOST_LANGS = 512
 UNKNOWN = "und"
 _MIX = np.uint32(2654435761)
 _CHUNK = 1 << 20
@@ -85,9 +87,11 @@ class Model:
 def train(docs: DataFrame, bound: int = TRAIN_ROWS) -> Model:
     """Learn from ``text`` and ``lang`` of about ``bound`` rows that are not held out.
 
-    Rows with a null text or lang teach nothing. Without any usable row the model knows no language.
+    Rows with a null doc_id, text or lang teach nothing, repeated rows teach once. Without any
+    usable row the model knows no language. More than ``MOST_LANGS`` languages are an error,
+    as the matrix of all is broadcast.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket3(F.col("doc_id")) != 1))
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket3(F.col("doc_id")) != 1))
     sample = bounded_sample(known.select(F.col("doc_id").cast("long"), "text", "lang"), bound).select("text", "lang")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -110,8 +114,10 @@ def train(docs: DataFrame, bound: int = TRAIN_ROWS) -> Model:
             [pa.array(np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]).tolist(), pa.string()), pa.array(np.concatenate([r[1] for r in rows])), pa.array(np.concatenate([r[2] for r in rows]))], names=["lang", "bucket", "n"]
         )
 
-    counted = over_batches(sample, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = over_batches(sample, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets at most
     langs = sorted(counted["lang"].unique())
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"{len(langs)} languages; at most {MOST_LANGS} are learned")
     table = np.zeros((len(langs), BUCKETS + 1))
     table[counted["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), counted["bucket"].to_numpy(int)] = counted["n"].to_numpy(float)
     rows, table = table[:, -1], table[:, :-1] + 0.5

@@ -12,8 +12,9 @@ that reach, and fingerprints are compared only where they share an anchor. No li
 
 Anchors with more than ``HOT`` fingerprints go to the finest covering code instead, the one
 with every word as an anchor and radius 0: each fingerprint is replicated to all words
-within t/2, and those that meet at a word are linked without a comparison. At most as many
-fingerprints can meet there as there are words within t/2, so no group is unbounded.
+within t/2, rounded up. Those that meet at a word are linked without a comparison where t is
+even, and compared where it is odd. At most as many fingerprints can meet there as there are
+words within t/2, so no group is unbounded.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import batch_of, cut, over_batches
+from linkspan.llm.common import cut, discard, over_batches
 from linkspan.llm.graph import components
 
 #: An anchor with more fingerprints than this is dealt to the finest code.
 HOT = 4096
+#: Fingerprints that one task replicates to anchors.
+REPLICATE_ROWS = 8192
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Fixed value: a generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b110001110101
@@ -186,12 +189,17 @@ def links(fps: DataFrame, distance: int = 4, hot: int = HOT) -> DataFrame:
                 owners = np.repeat(part, len(masks)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(owners)], names=["anchor", "fp"])
 
-    at = cut(over_batches(fps.select("fp"), replicate, "anchor long, fp long"), "anchors")
+    tasks = max(1, -(-fps.count() // REPLICATE_ROWS))
+    at = cut(over_batches(fps.select("fp").repartition(tasks, "fp"), replicate, "anchor long, fp long"), "anchors")
     heavy = cut(at.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"), "hot-anchors")
     if heavy.isEmpty():
-        return _linked(at, distance)
-    crowd = at.join(heavy, "anchor", "left_semi").select("fp").distinct().mapInArrow(to_words, "anchor long, fp long")
-    return _linked(at.join(heavy, "anchor", "left_anti"), distance).union(_linked(crowd, None))
+        found = cut(_linked(at, distance), "links")
+    else:
+        crowd = at.join(heavy, "anchor", "left_semi").select("fp").distinct().mapInArrow(to_words, "anchor long, fp long")
+        # two that meet at a word differ in at most twice the radius, which is the distance where that is even
+        found = cut(_linked(at.join(heavy, "anchor", "left_anti"), distance).union(_linked(crowd, distance if distance % 2 else None)), "links")
+    discard(at, heavy)
+    return found
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, hot: int = HOT) -> DataFrame:
@@ -206,27 +214,17 @@ def near_duplicates(docs: DataFrame, distance: int = 4, hot: int = HOT) -> DataF
     """
     rows = cut(fingerprints(docs), "fingerprints")
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fps")
-    roots = cut(components(links(distinct, distance, hot)), "roots")
+    found = links(distinct, distance, hot)
+    roots = components(found)
+    discard(found)
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     placed = cut(placed, "placed")
     smallest = cut(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     by_fp = cut(placed.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "by-fp")
+    discard(distinct, roots, placed, smallest)
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = 4, hot: int = HOT) -> DataFrame:
-    """The documents less near-duplicates: of each component the one with the smallest doc_id.
-
-    Rows without doc_id cannot be named, so they all stay; of rows that repeat a kept doc_id one stays.
-    """
-    found = cut(near_duplicates(docs, distance, hot), "near-duplicates")
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if not kept.where("rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.union(docs.where("doc_id is null"))
-
-
 def digest_rows(docs: DataFrame) -> DataFrame:
     """The contract's columns of ``near_duplicates``."""
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")

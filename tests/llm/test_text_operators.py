@@ -59,9 +59,23 @@ def test_simhash(docs, rows, no_docs):
     want = Counter((i, f"{f:016x}", reached[f]) for i, f in pairs)
     assert as_set(simhash.digest_rows(docs).collect()) == want
     assert simhash.digest_rows(no_docs).count() == 0
-    kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
-    assert Counter(kept) == Counter({None: 2} | {c: 1 for i, f in pairs if (c := reached[f]) is not None})
-    assert simhash.keep_one(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("distance", [1, 2, 3, 4, 5, 6])
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_simhash_links_at_every_distance(spark, distance, hot):
+    rng = np.random.default_rng(distance)
+    fps = {int(x) for x in rng.integers(0, 2**63, 12)}
+    for start in list(fps):
+        for n in range(1, 9):
+            fps.add(start ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False)))
+    fps = sorted(fps)
+    signed = [(f - 2**64 if f >= 2**63 else f,) for f in fps]
+    found = simhash.components(simhash.links(spark.createDataFrame(signed, "fp long"), distance=distance, hot=hot)).collect()
+    root = {r.node % 2**64: r.root for r in found}
+    want = plain_components([(f, f) for f in fps], distance)
+    groups = lambda of: {frozenset(f for f in fps if of.get(f, f) == v) for v in {of.get(f, f) for f in fps}}
+    assert groups(root) == groups(want)
 
 
 @pytest.mark.parametrize("hot", [4096, 3])
@@ -204,20 +218,55 @@ def test_token_counts_are_the_librarys(docs, rows, no_docs):
     library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(token_count.PIECES))
     want = Counter((r[0], len((r[1] or "").encode()), n := len(library.encode(r[1] or "")), n > 4096) for r in rows)
     assert as_set(token_count.count_tokens(docs).collect()) == want
-    assert as_set(token_count.count_tokens(docs, long_text=7).collect()) == want
+    assert as_set(token_count.count_tokens(docs, chunk=7).collect()) == want
     assert token_count.count_tokens(no_docs).count() == 0
 
 
+def test_token_counts_of_very_long_texts(spark):
+    """Ten megabytes with and without spaces, by chunks that different tasks map."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(token_count.PIECES))
+    rng = np.random.default_rng(11)
+    syllables = ["er", "th", "an", "ti", "on", "es", "É", "ou", "1", ".", "日", "\n", "ß"]
+    draw = lambda n, more: "".join(np.array([*syllables, *more])[rng.integers(0, len(syllables) + len(more), n)])
+    texts = [draw(5_000_000, [" "] * 4), draw(5_000_000, []), "a" * 300_000, "-" * 100_001, " " * 70_000, "ab" * 60_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i: (len(t.encode()), len(library.encode(t))) for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_count.count_tokens(rows).collect()} == want
+
+
+def test_texts_whose_chunks_do_not_meet(spark, monkeypatch):
+    """Without a context each chunk is mapped from the start state only; other texts are run in one piece."""
+    monkeypatch.setattr(token_count, "CONTEXT", 0)
+    monkeypatch.setattr(token_count.Transducer, "chunk_map", lambda self, context, chunk, first: {} if not first else {"x": ("y", 1)})
+    own = token_count.Transducer(tokenizer_file(token_count.PIECES))
+    texts = ["in the beginning " * 9, "aaaaaaaaaaaaaaaaaaaa", "short"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_count.count_tokens(rows, chunk=16).collect()} == {i: own.count(t) for i, t in enumerate(texts)}
+
+
 def test_state_maps_compose():
     own = token_count.transducer(None)
     rng = np.random.default_rng(7)
     for _ in range(300):
-        text = token_count.SPACE + "".join(rng.choice(list("abcé. \n  "), rng.integers(1, 40))).replace(" ", token_count.SPACE)
-        cuts = sorted({0, len(text), *(int(x) for x in rng.integers(0, len(text) + 1, 4))})
-        maps = [own.state_map(text[a:b]) for a, b in pairwise(cuts)]
-        assert own.finish(own.scan(maps)) == own.count(text[1:].replace(token_count.SPACE, " "))
-    unit = token_count.SPACE + "thonerandti" * 40
-    assert own._compile_long(unit) == own.compile(unit) and own._compile_long(unit[:60]) == own.compile(unit[:60])
+        text = "".join(rng.choice(list("abcé. \n  "), rng.integers(1, 60)))
+        cuts = sorted({0, len(text), *(int(x) for x in rng.integers(1, len(text) + 1, 4))})
+        at, total = own.name(own.root), 0
+        for a, b in pairwise(cuts):
+            at, n = own.chunk_map(token_count.SPACE + text[:a], text[a:b], a == 0)[at]
+            total += n
+        assert total == own.count(text)
+
+
+def test_transducer_is_the_library():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(token_count.PIECES))
+    own = token_count.Transducer(tokenizer_file(token_count.PIECES), most=3000)  # forgets its states now and then
+    pieces = sorted(own.scores)
+    rng = np.random.default_rng(12)
+    for n in rng.integers(1, 12, 3000).tolist():
+        text = "".join(pieces[k][: rng.integers(1, 9)] for k in rng.integers(0, len(pieces), n).tolist())
+        assert own.count(text) == len(library.encode(text)), text
 
 
 def test_packing(docs, rows, no_docs):
