@@ -2,11 +2,13 @@
 
 Documents are tokenized, cut into pieces of at most one sequence, and full pieces are done.
 The other pieces are dealt into shards of bounded size, and for each shard several islands
-evolve packings: crossover injects whole well-filled bins of one parent into the other,
-drops the bins that hold a duplicate of an injected item, and puts displaced items back by
-best fit, largest first. After each epoch the best packing of an island moves to the next
-island of its shard. Bins that stay far from full are dissolved, and their items are dealt
-anew into fewer shards, so that a shard's rest is not lost.
+evolve packings. An island begins with best fits of items in random orders. Crossover injects
+whole well-filled bins of one parent into the other, drops the bins that hold a duplicate of an
+injected item, and puts displaced items back by best fit, largest first, until no packing can
+have fewer bins or nothing has been gained for some generations. After each epoch the best
+packing of an island moves to the next island of its shard, and best fits in falling and nearly
+falling order join, so the result is never worse than these. Bins that stay far from full are
+dissolved, and their items are dealt anew into fewer shards, so that a shard's rest is not lost.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ import random
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import cut, tokenizer_file
+from linkspan.llm.common import cut, discard, kept, slices, tokenizer_file
 
 CAPACITY = 4096
 #: Id that ends each document.
@@ -31,8 +32,13 @@ END_ID = 1
 SHARD_ITEMS = 4096
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 8
-POPULATION = 5
+#: Generations of an epoch, and how many without a gain end it.
+GENERATIONS, PATIENCE = 24, 8
+POPULATION = 4
+#: Islands that one task evolves.
+TASK_ISLANDS = 4
+#: Bytes of words that a worker remembers.
+WORD_BYTES = 128 << 20
 #: Bins filled less than this are dissolved and dealt anew, on so many further levels at most.
 LOOSE_FILL = 0.98
 LEVELS = 3
@@ -49,7 +55,7 @@ class WordEncoder:
     end-of-word suffix; all others one by one.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000) -> None:
+    def __init__(self, path: str, most: int = WORD_BYTES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -57,7 +63,7 @@ class WordEncoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[n for piece, n in vocabulary.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        self.most = most
+        self.most, self.size = most, 0
 
     def ids(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
@@ -65,9 +71,12 @@ class WordEncoder:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
             missing = {w for w in words if w not in self.known}
-        if len(self.known) + 2 * len(missing) > self.most:
-            self.known, missing = {}, set(words)
+        if self.size > self.most:
+            self.known, self.size, missing = {}, 0, set(words)
+        known = len(self.known)
         self.learn(missing)
+        # a word's own bytes twice, for it and its ids, and what a dict needs for them
+        self.size += 140 * (len(self.known) - known) + 2 * sum(map(len, missing))
         return b"".join(map(self.known.__getitem__, words))
 
     def learn(self, words: set[str]) -> None:
@@ -96,10 +105,9 @@ class WordEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
 
-@cache
 def encoder(folder: str | None) -> WordEncoder:
-    """The worker's encoder, kept between tasks."""
-    return WordEncoder(tokenizer_file("word_bpe_49k.json", folder))
+    """The worker's encoder, kept until another operator's task runs in the worker."""
+    return kept(WordEncoder, tokenizer_file("word_bpe_49k.json", folder))
 
 
 def pieces(docs: DataFrame, folder: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -108,7 +116,7 @@ def pieces(docs: DataFrame, folder: str | None = None, capacity: int = CAPACITY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(folder)
-        for batch in batches:
+        for batch in slices(batches, keeping=WordEncoder):
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = own.ids(text or "") + end
@@ -167,24 +175,27 @@ def mutate(bins: Bins, sizes: list[int], capacity: int, rng: random.Random) -> B
     return best_fit([x for k, x in enumerate(bins) if k not in gone], sorted(loose, key=lambda i: -sizes[i]), sizes, capacity)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, guests: list[Bins], generations: int = GENERATIONS) -> Bins:
-    """One epoch of one island; the best packing it has."""
+def evolve(sizes: list[int], capacity: int, seed: int, guests: list[Bins], generations: int = GENERATIONS) -> tuple[Bins, int]:
+    """One epoch of one island: the best packing it has, and how many generations there were."""
     rng = random.Random(seed)
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    people = [*guests, best_fit([], order, sizes, capacity)]
+    falling = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    people = list(guests)
+    if guests:
+        people += [best_fit([], falling, sizes, capacity), best_fit([], sorted(falling, key=lambda i: -sizes[i] * rng.uniform(0.85, 1)), sizes, capacity)]
     while len(people) < POPULATION:
-        people.append(best_fit([], sorted(order, key=lambda i: -sizes[i] * rng.uniform(0.85, 1)), sizes, capacity))
+        people.append(best_fit([], rng.sample(falling, len(falling)), sizes, capacity))
     scored = sorted(((fitness(x, capacity), n, x) for n, x in enumerate(people)), reverse=True)
-    least = -(-sum(sizes) // capacity)
-    for n in range(generations):
-        if -scored[0][0][0] == least:
-            break  # no packing has fewer bins
+    least, gained, n = -(-sum(sizes) // capacity), 0, 0
+    while n < generations and n - gained < PATIENCE and -scored[0][0][0] > least:  # no packing has fewer bins than that
+        n += 1
         a, b = rng.sample(scored[:3], 2)
         child = crossover(a[2], b[2], sizes, capacity, rng)
         if rng.random() < 0.5:
             child = mutate(child, sizes, capacity, rng)
-        scored = sorted([*scored[: POPULATION - 1], (fitness(child, capacity), POPULATION + n, child)], reverse=True)
-    return scored[0][2]
+        if (score := fitness(child, capacity)) > scored[0][0]:
+            gained = n
+        scored = sorted([*scored[: POPULATION - 1], (score, POPULATION + n, child)], reverse=True)
+    return scored[0][2], n
 
 
 def to_bins(of: list[int], sizes: list[int], capacity: int) -> Bins:
@@ -194,28 +205,28 @@ def to_bins(of: list[int], sizes: list[int], capacity: int) -> Bins:
     return [(capacity - sum(sizes[i] for i in items), items) for items in held.values()]
 
 
-_STATE = "shard long, island int, items array<long>, sizes array<int>, bins array<int>, bin_count int, evenness double"
+_STATE = "shard long, island int, items array<long>, sizes array<int>, bins array<int>, bin_count int, evenness double, generations int"
 
 
-def _epoch(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
-    """One epoch of every island; ``guest`` is the elite that has come from another one."""
+def _epoch(state: DataFrame, islands: int, capacity: int, epoch: int) -> DataFrame:
+    """One epoch of all ``islands``; ``guest`` is the elite that has come from another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 sizes = row["sizes"]
                 guests = [to_bins(x, sizes, capacity) for x in (row["bins"], row["guest"]) if x]
-                best = evolve(sizes, capacity, hash((row["shard"], row["island"], epoch)), guests)
+                best, generations = evolve(sizes, capacity, hash((row["shard"], row["island"], epoch)), guests)
                 of = np.zeros(len(sizes), np.int32)
                 for k, (_, held) in enumerate(best):
                     of[held] = k
                 score = fitness(best, capacity)
                 yield pa.RecordBatch.from_pylist(
-                    [{"shard": row["shard"], "island": row["island"], "items": row["items"], "sizes": sizes, "bins": of.tolist(), "bin_count": -score[0], "evenness": score[1]}],
-                    pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("items", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("bins", pa.list_(pa.int32())), ("bin_count", pa.int32()), ("evenness", pa.float64())]),
+                    [{"shard": row["shard"], "island": row["island"], "items": row["items"], "sizes": sizes, "bins": of.tolist(), "bin_count": -score[0], "evenness": score[1], "generations": generations}],
+                    pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("items", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("bins", pa.list_(pa.int32())), ("bin_count", pa.int32()), ("evenness", pa.float64()), ("generations", pa.int32())]),
                 )
 
-    return state.repartition("shard", "island").mapInArrow(run, _STATE)
+    return state.repartition(-(-islands // TASK_ISLANDS), "shard", "island").mapInArrow(run, _STATE)
 
 
 def _level(items: DataFrame, n: int, capacity: int, level: int) -> tuple[DataFrame, int]:
@@ -227,8 +238,11 @@ def _level(items: DataFrame, n: int, capacity: int, level: int) -> tuple[DataFra
         "shard", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island"), F.col("x.item").alias("items"), F.col("x.length").cast("array<int>").alias("sizes"),
         F.lit(None).cast("array<int>").alias("bins"), F.lit(None).cast("array<int>").alias("guest"),
     )
+    done = None
     for epoch in range(EPOCHS):
-        done = cut(_epoch(state, capacity, epoch), f"islands-{epoch}")
+        before, done = done, cut(_epoch(state, ISLANDS * shards, capacity, epoch), f"islands-{epoch}")
+        if before is not None:
+            discard(before)
         elite = done.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("bins").alias("guest"))
         state = done.join(elite, ["shard", "island"])
     best = done.groupBy("shard").agg(F.min_by(F.struct("items", "sizes", "bins"), F.struct("bin_count", -F.col("evenness"), "island")).alias("x")).select("x.*")
@@ -245,7 +259,9 @@ def _level(items: DataFrame, n: int, capacity: int, level: int) -> tuple[DataFra
                         at += row["sizes"][i]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["item", "sequence_id", "offset", "fill"])
 
-    return best.mapInArrow(place, "item long, sequence_id long, offset long, fill double"), shards
+    placed = cut(best.mapInArrow(place, "item long, sequence_id long, offset long, fill double"), f"placed-{level}")
+    discard(done)
+    return placed, shards
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -259,8 +275,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         n = left.count()
         if not n:
             break
-        rows, shards = _level(left, n, capacity, level)
-        placed = cut(rows, f"placed-{level}")
+        placed, shards = _level(left, n, capacity, level)
         last = shards == 1 or level == LEVELS - 1
         out = out.union((placed if last else placed.where(F.col("fill") >= LOOSE_FILL)).select("item", "sequence_id", "offset"))
         if last:
@@ -273,8 +288,9 @@ def pack_documents(docs: DataFrame, folder: str | None = None, capacity: int = C
     """Every document's pieces and their places.
 
     Takes doc_id and text; other columns are ignored. A null or empty text is the end id
-    alone. Rows that repeat, or have no doc_id, are packed each for itself. An empty table
-    gives an empty result. ``folder`` holds the tokenizer's file.
+    alone. Rows that repeat, or have no doc_id, are packed each for itself. A text of any
+    length is cut into pieces of ``capacity``. An empty table gives an empty result. ``folder``
+    holds the tokenizer's file.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
