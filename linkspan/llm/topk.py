@@ -1,8 +1,9 @@
 """Exact top-k inner products by a vector-approximation file.
 
 Vectors are quantised into cells of equal width per dimension, one byte each, and stored in
-blocks. For a block of queries, one product with the cells' lower corners bounds all scores
-of a block of vectors from below and above. What can still be among the best k is read
+blocks that stay where they are. Blocks of queries, of which a wave of bounded size is broadcast
+at a time, meet them: one product with the cells' lower corners bounds all scores of a block of
+vectors from below and above. What can still be among the best k is read
 exactly in the order of its bound: first the k best-bounded, then, as the k-th exact score is
 known, only those whose upper bound reaches it.
 """
@@ -16,58 +17,71 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import cut
+from linkspan.llm.common import cut, delete, discard, fresh_path
 
 K = 5
 BITS = 7
 #: Vectors in a block of the file, queries in a block of queries, at most.
 BLOCK, QUERY_BLOCK = 4096, 512
+#: Vectors whose cells one task holds against a wave of queries.
+TASK_VECTORS = 8192
+#: Bytes of queries that are broadcast at a time, but one block at least.
+WAVE_BYTES = 16 << 20
+#: Scores must be smaller than this.
+MOST_SCORE = 2.0**62
 
-_BLOCKS = "dim int, ids binary, low binary, step binary, cells binary"
+_BLOCKS = "dim int, rows binary, ids binary, low binary, step binary, cells binary"
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v): components floor(scale * x) as longs.
 
-    A null id, a null vector, or one with null or non-finite components takes no part.
+    A null id, a null vector, or one with null or non-finite components takes no part. If the
+    largest components allow for scores that may not fit a long, that is a ValueError.
     """
     sound = F.expr("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound)
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    most, widest = rows.agg(F.max(largest), F.max(F.size("embedding"))).first()
+    if widest and widest * (scale * (most or 0.0) + 1) ** 2 >= MOST_SCORE:
+        raise ValueError(f"components of up to {most:g} in {widest} dimensions: scores may pass 2**62")
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def _matrix(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of a batch (vec_id, v), by dimension."""
-    ids, vectors = batch.column(0).to_numpy(), batch.column(1)
+def _matrix(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, ids and vectors of a batch (row, vec_id, v), by dimension."""
+    rows, ids, vectors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
     sizes = np.diff(vectors.offsets.to_numpy())
     flat = vectors.flatten().to_numpy()
     starts = vectors.offsets.to_numpy()[:-1] - vectors.offsets.to_numpy()[0]
     for dim in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == dim)
-        yield ids[at], flat[starts[at][:, None] + np.arange(dim)]
+        yield rows[at], ids[at], flat[starts[at][:, None] + np.arange(dim)]
 
 
 def approximate(batches: Iterator[pa.RecordBatch], bits: int = BITS) -> Iterator[pa.RecordBatch]:
-    """Blocks of the approximation file: ids, each dimension's least value and cell width, and cells."""
+    """Blocks of the approximation file: rows, ids, each dimension's least value and cell width, and cells."""
+    names = ("rows", "ids", "low", "step", "cells")
     for batch in batches:
         if not batch.num_rows:
             continue
-        for ids, v in _matrix(batch):
+        for rows, ids, v in _matrix(batch):
             for a in range(0, len(ids), BLOCK):
                 part = v[a : a + BLOCK]
                 low = part.min(0, initial=2**62)
                 step = np.maximum((part.max(0, initial=-(2**62)) - low) // (1 << bits) + 1, 1)
                 cells = ((part - low) // step).astype(np.uint8)
-                yield pa.RecordBatch.from_pylist([{"dim": v.shape[1], "ids": ids[a : a + BLOCK].tobytes(), "low": low.tobytes(), "step": step.tobytes(), "cells": cells.tobytes()}], pa.schema([("dim", pa.int32()), *((n, pa.binary()) for n in ("ids", "low", "step", "cells"))]))
+                values = [rows[a : a + BLOCK], ids[a : a + BLOCK], low, step, cells]
+                yield pa.RecordBatch.from_arrays([pa.array([v.shape[1]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in values)], names=["dim", *names])
 
 
 def bounded_pairs(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query, vector, lower, upper) of what may be among a query's k best of this block."""
     dim = row["dim"]
     get = lambda n, t: np.frombuffer(row[n], t)
-    ids, q_ids, low, step = get("ids", np.int64), get("q_ids", np.int64), get("low", np.int64), get("step", np.int64)
+    rows, ids, low, step, q_ids = get("rows", np.int64), get("ids", np.int64), get("low", np.int64), get("step", np.int64), row["q_ids"]
     corners = (low + step * get("cells", np.uint8).reshape(len(ids), dim)).astype(np.float64)
-    q = get("q", np.int64).reshape(len(q_ids), dim).astype(np.float64)
+    q = row["q"].reshape(len(q_ids), dim).astype(np.float64)
     base = q @ corners.T
     lower = base + (np.minimum(q, 0) @ (step - 1))[:, None]
     upper = base + (np.maximum(q, 0) @ (step - 1))[:, None]
@@ -82,7 +96,7 @@ def bounded_pairs(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     else:
         maybe = ~own
     i, j = np.nonzero(maybe)
-    return q_ids[i], ids[j], lower[i, j], upper[i, j]
+    return row["queries"][i], rows[j], lower[i, j], upper[i, j]
 
 
 def _first(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
@@ -91,55 +105,65 @@ def _first(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") <= k)
 
 
-def _exact(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+def _exact(pairs: DataFrame, candidates: DataFrame, queries: DataFrame) -> DataFrame:
     product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
-    return pairs.join(vectors, "vec_id").join(queries, "query_id").select("query_id", "vec_id", product.alias("score"))
+    both = pairs.select("query", "row").join(candidates, "row").join(queries, "query")
+    return both.select("query", "query_id", "vec_id", product.alias("score"), (F.col("times") * F.col("asked")).alias("times"))
+
+
+def _query_blocks(queries: DataFrame) -> tuple[DataFrame, int, int]:
+    """Queries in blocks, the number of blocks, and how many of them make a wave."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    dealt = queries.groupBy(F.pmod(F.hash("query"), F.lit(blocks)).alias("block"), F.size("qv").alias("dim")).agg(F.collect_list(F.struct("query", "query_id", "qv")).alias("x"))
+    asked = cut(dealt.select("block", "dim", F.col("x.query").alias("queries"), F.col("x.query_id").alias("q_ids"), F.flatten("x.qv").alias("q")), "query-blocks")
+    largest = asked.groupBy("block").agg(F.sum(8 * (F.size("q") + 2 * F.size("queries"))).alias("bytes")).agg(F.max("bytes")).first()[0]
+    return asked, blocks, max(1, WAVE_BYTES // max(largest or 1, 1))
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = K, bits: int = BITS) -> DataFrame:
     """Each query's k best vectors by integer inner product, ties to the smaller vec_id.
 
-    Queries are the rows whose vec_id ``every`` divides; candidates are all rows but the
-    query's own id, of equal dimension. Fewer than k candidates give as many rows. Rows that
-    take no part (see ``integer_vectors``) neither ask nor answer. Of rows that repeat one
-    vec_id the query is asked once. Columns beyond vec_id and embedding are ignored.
+    Queries are the rows whose vec_id ``every`` divides; candidates are all rows of other ids
+    and equal dimension. Fewer than k candidates give as many rows. Rows that take no part (see
+    ``integer_vectors``, also for the range of scores) neither ask nor answer. Rows that repeat
+    a candidate's vec_id answer as often as they are there; of a query id that repeats, all rows
+    ask, and the k best of all their answers are the id's. An empty table gives an empty result.
+    Columns beyond vec_id and embedding are ignored.
 
     Returns query_id, rank, vec_id, score.
     """
-    rows = cut(integer_vectors(vectors), "integer-vectors")
+    counted = integer_vectors(vectors).groupBy("vec_id", "v").agg(F.count("*").alias("times"))
+    rows = cut(counted.withColumn("row", F.monotonically_increasing_id()), "integer-vectors")
     # of equal vectors no query can need more than the k + 1 smallest ids (one may be its own)
-    kept = cut(_first(rows.dropDuplicates(["vec_id", "v"]), "v", [F.col("vec_id")], k + 1).drop("place"), "candidates")
-    queries = cut(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "queries")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                for ids, v in _matrix(batch):
-                    for a in range(0, len(ids), QUERY_BLOCK):
-                        yield pa.RecordBatch.from_pylist([{"dim": v.shape[1], "q_ids": ids[a : a + QUERY_BLOCK].tobytes(), "q": v[a : a + QUERY_BLOCK].tobytes()}], pa.schema([("dim", pa.int32()), ("q_ids", pa.binary()), ("q", pa.binary())]))
-
-    asked = cut(queries.repartition(blocks, "query_id").mapInArrow(group, "dim int, q_ids binary, q binary").withColumn("block", F.monotonically_increasing_id()), "query-blocks")
-    numbered = [r.block for r in asked.select("block").collect()]  # a number for each QUERY_BLOCK queries
-    if not numbered:
-        return queries.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("score"))
-    file = cut(kept.mapInArrow(lambda batches: approximate(batches, bits), _BLOCKS), "approximations")
+    candidates = cut(_first(rows, "v", [F.col("vec_id")], k + 1).drop("place"), "candidates")
+    queries = cut(rows.where(F.col("vec_id") % every == 0).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("times").alias("asked")), "queries")
+    asked, blocks, wave = _query_blocks(queries)
+    tasks = max(1, -(-candidates.count() // TASK_VECTORS))
+    file = cut(candidates.select("row", "vec_id", "v").repartition(tasks, "row").mapInArrow(lambda batches: approximate(batches, bits), _BLOCKS), "approximations")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in bounded_pairs(row, k)], names=["query_id", "vec_id", "lower", "upper"])
-
-    # the stated queries against all rows, block by block
-    dealt = file.withColumn("block", F.explode(F.array(*map(F.lit, numbered)))).join(asked, ["block", "dim"])
-    maybe = cut(dealt.mapInArrow(scan, "query_id long, vec_id long, lower double, upper double"), "bounded")
-    least = _first(maybe, "query_id", [F.desc("lower")], k).groupBy("query_id").agg(F.min("lower").alias("least"), F.count("*").alias("n"))
-    left = cut(maybe.join(least, "query_id").where((F.col("n") < k) | (F.col("upper") >= F.col("least"))).select("query_id", "vec_id", "upper"), "bounded-left")
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id"))
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i].as_py() for n in ("dim", "rows", "ids", "low", "step", "cells")}
+                row |= {n: batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in ("queries", "q_ids", "q")}
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in bounded_pairs(row, k)], names=["query", "row", "lower", "upper"])
+
+    # the stated queries against all rows, a wave of blocks at a time
+    at, schema = fresh_path(rows.sparkSession, "bounded"), "query long, row long, lower double, upper double"
+    for first in range(0, blocks, wave):
+        now = asked.where(F.col("block").between(first, first + wave - 1))
+        file.repartition(tasks).join(F.broadcast(now), "dim").mapInArrow(scan, schema).write.mode("append").parquet(at)
+    maybe = rows.sparkSession.read.schema(schema).parquet(at)
+    least = _first(maybe, "query", [F.desc("lower")], k).groupBy("query").agg(F.min("lower").alias("least"), F.count("*").alias("n"))
+    left = maybe.join(least, "query").where((F.col("n") < k) | (F.col("upper") >= F.col("least"))).select("query", "row", "upper")
+    order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("upper"), "row"))
     ranked = cut(left.withColumn("place", order), "ranked")
-    first = cut(_exact(ranked.where(F.col("place") <= k), kept, queries), "exact-first")
-    known = first.groupBy("query_id").agg(F.min("score").alias("least"))
-    rest = ranked.where(F.col("place") > k).join(known, "query_id").where("upper >= least").select("query_id", "vec_id")
-    scored = first.union(_exact(rest, kept, queries))
-    best = _first(scored, "query_id", [F.desc("score"), F.col("vec_id")], k)
+    first = cut(_exact(ranked.where(F.col("place") <= k), candidates, queries), "exact-first")
+    known = first.groupBy("query").agg(F.min("score").alias("least"))
+    rest = ranked.where(F.col("place") > k).join(known, "query").where("upper >= least")
+    scored = cut(first.union(_exact(rest, candidates, queries)), "exact")
+    discard(rows, candidates, queries, asked, file, ranked, first)
+    delete(rows.sparkSession, at)
+    each = scored.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)).cast("int"))))
+    best = _first(each, "query_id", [F.desc("score"), F.col("vec_id")], k)
     return best.select("query_id", F.col("place").cast("int").alias("rank"), "vec_id", "score")

@@ -109,17 +109,36 @@ def test_topk(spark):
     rows = [(i, v, "x") for i, v in enumerate(vectors)]
     rows += [(1000 + i, vectors[7], "x") for i in range(40)]  # one very common vector
     rows += [(50_000, None, "x"), (50_050, [None] + [1.0] * 7, "x"), (50_100, [float("nan")] * 8, "x"), (None, vectors[3], "x"), (2000, [1.0, 2.0], "x"), (2050, [3.0, -1.0], "x"), (2100, [], "x"), (3, vectors[3], "x"), (3000, [-1e6] * 8, "x"), (3050, [0.0] * 8, "x")]
+    rows += [(3, vectors[3], "x"), (50, vectors[9], "x"), (50, vectors[50], "x"), (120, vectors[120], "y")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(4)
-    good = sorted({(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)})
+    good = [(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, v in good:
-        if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q and len(w) == len(v))[:5]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    for q in {i for i, _ in good if i % 50 == 0}:
+        answers = sorted((-sum(a * b for a, b in zip(v, w)), i) for p, v in good if p == q for i, w in good if i != q and len(w) == len(v))[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(answers)]
     assert Counter(map(tuple, topk.search(table).collect())) == Counter(want)
     assert topk.search(table.limit(0)).count() == 0
 
 
+def test_topk_states_its_range(spark):
+    schema = "vec_id long, embedding array<float>"
+    with pytest.raises(ValueError, match="may pass"):
+        topk.search(spark.createDataFrame([(0, [3e7] * 4), (1, [3e7] * 4)], schema))
+    found = topk.search(spark.createDataFrame([(0, [4e6] * 4), (1, [4e6] * 4), (2, [-4e6] * 4)], schema)).collect()
+    assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank)] == [(1, 4 * (256 * 4_000_000) ** 2), (2, -4 * (256 * 4_000_000) ** 2)]
+
+
+def test_topk_by_waves(spark, monkeypatch):
+    """Small blocks and waves of one block give what one wave gives."""
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(900, 4)))], "vec_id long, embedding array<double>")
+    want = topk.search(rows, every=3).collect()
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(topk, "WAVE_BYTES", 1)
+    monkeypatch.setattr(topk, "TASK_VECTORS", 200)
+    assert Counter(topk.search(rows, every=3).collect()) == Counter(want)
+
+
 def test_warc(spark, tmp_path):
     rows = [(i, f"http://a/{i}?q=é b\r\n", "<p>" + "x" * (i % 7) * 50) for i in range(60)]
     rows += [(100, None, None), (101, "u", ""), (None, "http://n", "<p>only</p>"), (None, "http://n", "<p>"), (7, "http://a/7", rows[7][2]), (200, "z", "ü" * 100_000)]
