@@ -28,6 +28,10 @@ from linkspan.llm.common import cut, fresh_path
 MIN_DEDUP_BYTES = 0
 #: A read covers at most so many bytes, and skips at most so many that are not wanted.
 RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
+#: A task reads about so many bytes of archives.
+READ_BYTES = 4 << 20
+#: Payloads that occur more than once are broadcast if there are at most so many, each of about 60 bytes.
+BROADCAST_ROWS = 200_000
 INDEX = "page_id long, path string, offset long, length long, url string, digest string, payload_bytes long, record_type string"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -75,8 +79,9 @@ def write(pages: DataFrame, path: str, min_bytes: int = MIN_DEDUP_BYTES) -> Data
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
-    first = cut(rows.groupBy("sha").agg(F.min("page_id").alias("first_id")), "first-pages")
-    dealt = rows.join(first, "sha").select("page_id", "url", "payload", "first_id")
+    # a payload that occurs once needs no look-up, so only the others' digests are joined
+    first = cut(rows.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "first-pages")
+    dealt = rows.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "sha", "left").select("page_id", "url", "payload", "first_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -137,10 +142,15 @@ def read(index: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    ranges = index.select("path", "offset", "length").repartition("path", F.expr(f"offset div {RANGE_BYTES}")).sortWithinPartitions("path", "offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    ranges = index.select("path", "offset", "length").repartition(max(1, -(-total // READ_BYTES)), "path", F.expr(f"offset div {READ_BYTES}")).sortWithinPartitions("path", "offset")
     return ranges.mapInArrow(run, RESULT)
 
 
 def archive(pages: DataFrame, min_bytes: int = MIN_DEDUP_BYTES) -> DataFrame:
-    """Write all of ``pages`` into archives in the shared folder and read every record back."""
+    """Write all of ``pages`` into archives in the shared folder and read every record back.
+
+    What null, repeated and other odd rows give is said at ``write``. Payloads of any length are
+    written and read as wholes; an empty table gives an empty result.
+    """
     return read(write(pages, fresh_path(pages.sparkSession, "warc"), min_bytes))
