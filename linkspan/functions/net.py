@@ -57,6 +57,10 @@ def is_link_local(ip: Column) -> Column:
     return F.shiftright(ipv4(ip), 16) == 169 * 256 + 254
 
 
+def is_loopback(ip: Column) -> Column:
+    return F.coalesce(F.shiftright(ipv4(ip), 24) == 127, ipv6_bits(ip) == "0" * 127 + "1", F.lit(False))
+
+
 def is_usable_lan(ip: Column) -> Column:
     """Not loopback, unspecified, multicast, broadcast or link-local."""
     n = ipv4(ip)
@@ -72,10 +76,27 @@ def broadcast24(ip: Column) -> Column:
     return ip.bitwiseOR(255)
 
 
+def ascii_lower(text: Column) -> Column:
+    """Only A to Z change."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def pair_code(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, r"\s", ""))
 
 
+def pair_code_or(given: Column, generated: Column) -> Column:
+    """The given code, else, where that is null or blank, a generated one."""
+    return F.coalesce(F.nullif(pair_code(given), F.lit("")), generated)
+
+
+def pair_code_in(text: Column) -> Column:
+    """The first ``pair_code = "..."`` of a settings text that is not empty; null if there is none."""
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x))
+    values = F.transform(F.filter(lines, lambda x: x.startswith("pair_code")), lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.substring(x, 10, 1 << 30)), "^=+", ""), '^[ "]+|[ "]+$', "")))
+    return F.get(F.filter(values, lambda x: x != ""), F.lit(0))
+
+
 def relay_address(text: Column) -> Column:
     bare = F.regexp_replace(F.trim(text), "^(tcp|relay)://", "")
     return F.when(bare.contains(":"), bare).otherwise(F.concat(bare, F.lit(f":{RELAY_PORT}")))
@@ -107,14 +128,14 @@ def is_host_virtual(name: Column, description: Column, words: tuple[str, ...] =
     return _any(F.lower(F.concat_ws(" ", name, description)), words)
 
 
-def interface_score(name: Column, description: Column, is_up: Column, link_local: Column, preferred: str = "") -> Column:
-    """How likely an interface is the wanted cable; -1000 for excluded ones."""
+def interface_score(name: Column, description: Column, is_up: Column, link_local: Column, preferred: str = "", virtual_words: tuple[str, ...] = HOST_VIRTUAL_WORDS) -> Column:
+    """How likely an interface is the wanted cable; -1000 for excluded ones, among them names with one of ``virtual_words``."""
     lower = [F.lower(name), F.lower(description)]
     has = lambda word: (lower[0].contains(word) | lower[1].contains(word)).cast("int")
     score = sum((has(w) * 5 for w in GOOD_WORDS), F.lit(0)) - sum((has(w) * 80 for w in BAD_WORDS), F.lit(0)) + link_local.cast("int") * 50 + is_up.cast("int") * 10
     if preferred:
         score += (lower[0] == preferred.lower()).cast("int") * 100
-    return F.when(is_loopback_name(name, description) | is_host_virtual(name, description), F.lit(-1000)).otherwise(score)
+    return F.when(is_loopback_name(name, description) | is_host_virtual(name, description, virtual_words), F.lit(-1000)).otherwise(score)
 
 
 def _any(blob: Column, words: tuple[str, ...]) -> Column:

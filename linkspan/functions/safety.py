@@ -23,13 +23,19 @@ def gate_rtt(p50: Column, p99: Column, last: Column) -> Column:
     return F.when(spiky, F.greatest(p50, F.least(last, 2 * p50))).otherwise(F.greatest(p99, last))
 
 
-def failed_checks(link_up: Column, awake: Column, connected: Column, rtt: Column, loss: Column, pps: Column, cpu: Column, rx: Column) -> Column:
-    """Codes of the failed checks in their fixed order; quality counts only when the vehicle is ready."""
-    ready = link_up & awake
+def limits(rtt: Column | None = None, loss: Column | None = None, cpu: Column | None = None, samples: Column | None = None) -> dict[str, Column]:
+    """The gate's limits; what a configuration leaves open has its default."""
+    given = {"rtt": (rtt, MAX_RTT_P99_MS), "loss": (loss, MAX_LOSS_RATE), "cpu": (cpu, MAX_CPU_PCT), "samples": (samples, MIN_SAMPLES)}
+    return {n: F.lit(default) if c is None else F.coalesce(c, F.lit(default)) for n, (c, default) in given.items()}
+
+
+def failed_checks(link_up: Column, awake: Column, connected: Column, rtt: Column, loss: Column, pps: Column, cpu: Column, rx: Column, most: dict[str, Column] | None = None) -> Column:
+    """Codes of the failed checks in their fixed order; quality counts only when the vehicle is ready. ``most`` is of ``limits``."""
+    ready, most = link_up & awake, most or limits()
     return F.array_compact(
         F.array(
-            F.when(~connected, "peer"), F.when(~link_up, "link").when(~awake, "asleep"), F.when(ready & (rtt > MAX_RTT_P99_MS), "rtt"),
-            F.when(ready & (loss > MAX_LOSS_RATE) & (pps > 0.5), "loss"), F.when(ready & (cpu > MAX_CPU_PCT), "cpu"), F.when(ready & (rx < MIN_SAMPLES), "samples"),
+            F.when(~connected, "peer"), F.when(~link_up, "link").when(~awake, "asleep"), F.when(ready & (rtt > most["rtt"]) & (rtt > 0), "rtt"),
+            F.when(ready & (loss > most["loss"]) & (pps > 0.5), "loss"), F.when(ready & (cpu > most["cpu"]), "cpu"), F.when(ready & (rx < most["samples"]), "samples"),
         )
     )
 
@@ -39,6 +45,17 @@ def verdict(failed: Column, ready: Column, connected: Column) -> Column:
     return F.when(F.size(failed) == 0, "safe").when(~ready & connected, "not_ready").otherwise("not_recommended")
 
 
+def warning(code: Column, failed: Column, remote: Column) -> Column:
+    """The verdict with its reasons and, on a remote path, a mark: ``verdict: reasons [remote_safe or remote]``."""
+    reasons = F.when(F.size(failed) > 0, F.concat(F.lit(": "), F.array_join(failed, "; "))).otherwise("")
+    return F.concat(code, reasons, F.when(remote & (F.size(failed) == 0), " remote_safe").when(remote, " remote").otherwise(""))
+
+
+def slow_way_out(connected: Column, local_ms: Column, peer_ms: Column) -> Column:
+    """Whether the way out is much slower than the way back, as with a sleeping radio."""
+    return connected & (local_ms > 40) & (peer_ms > 0) & (local_ms > 2 * peer_ms)
+
+
 def backoff_ms(base: Column, most: Column, attempt: Column) -> Column:
     return F.least(base * F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(attempt, F.lit(10)).cast("int")), most)
 
@@ -52,3 +69,11 @@ def host_status(running: Column, laptop: Column, connection: Column, link_up: Co
 
 def laptop_label(connection: Column) -> Column:
     return F.when(connection == "Connected", "connected").when(connection == "Reconnecting", "reconnecting").when(connection == "WaitingForPeer", "waiting").when(connection == "Starting", "starting").otherwise("down")
+
+
+def laptop_line(connection: Column, known_peer: Column, desktop: Column, link_up: Column, awake: Column) -> Column:
+    """Code of the laptop's status line; ``connection`` is null before a tunnel is there."""
+    inside = F.when(~desktop, "waiting_for_desktop").when(~link_up, "plug_in").when(~awake, "waiting_for_wake").otherwise("ready")
+    label = laptop_label(connection)
+    searching = F.when(known_peer, "dialing").otherwise("searching")
+    return F.when(connection.isNull(), searching).when(label == "waiting", "waiting_for_reply").when(label == "reconnecting", "reconnecting").otherwise(inside)

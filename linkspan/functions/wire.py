@@ -23,13 +23,13 @@ _U32 = 4294967296
 
 
 def big_endian(n: Column, size: int) -> Column:
-    """``size`` bytes of a number; up to eight, which need a decimal(20, 0)."""
+    """``size`` bytes of a number, up to eight, which need a decimal(20, 0); null for a number that does not fit."""
     if size == 8:
         wide = n.cast("decimal(20,0)")
         high = F.floor(wide / F.lit(_U32).cast("decimal(20,0)")).cast("bigint")
         low = (wide % F.lit(_U32).cast("decimal(20,0)")).cast("bigint")
-        return F.concat(big_endian(high, 4), big_endian(low, 4))
-    return F.unhex(F.lpad(F.hex(n.cast("bigint")), 2 * size, "0"))
+        return F.when(wide >= 0, F.concat(big_endian(high, 4), big_endian(low, 4)))
+    return F.when(n.cast("bigint").between(0, 256**size - 1), F.unhex(F.lpad(F.hex(n.cast("bigint")), 2 * size, "0")))
 
 
 def unsigned(raw: Column, start: int, size: int) -> Column:
@@ -39,20 +39,25 @@ def unsigned(raw: Column, start: int, size: int) -> Column:
 
 
 def encode_frame(frame_type: Column, flags: Column, sequence: Column, payload: Column, timestamp_ms_lo: Column) -> Column:
-    """Header and payload of one frame."""
+    """Header and payload of one frame; null for a payload over 1518 bytes or a field that does not fit."""
     header = (F.lit(MAGIC).cast("binary"), big_endian(F.lit(VERSION), 1), big_endian(frame_type, 1), big_endian(flags, 2), big_endian(sequence, 8), big_endian(F.octet_length(payload), 2), big_endian(F.lit(0), 2), big_endian(timestamp_ms_lo, 4))
-    return F.concat(*header, payload)
+    return F.when(fits_wire(payload), F.concat(*header, payload))
+
+
+def keepalive_frame(sequence: Column, timestamp_ms_lo: Column, cookie: Column) -> Column:
+    """A keepalive of eight bytes of cookie: 0 asks for a reply, 1 is one."""
+    return encode_frame(F.lit(FRAME_TYPES["keepalive"]), F.lit(0), sequence, big_endian(cookie, 8), timestamp_ms_lo)
 
 
 def decode_frame(raw: Column) -> Column:
     """A struct of the header fields, payload and error; fields are null where there is an error.
 
     Errors in order of their checks: TooShort, BadControl, BadVersion, BadFrameType, and
-    TooShort again for a cut payload. Bytes behind the payload are ignored.
+    TooShort again for a cut payload. Bytes behind the payload are ignored; no bytes at all (null) are TooShort.
     """
     size = unsigned(raw, 17, 2)
     error = (
-        F.when(F.octet_length(raw) < HEADER_BYTES, "TooShort")
+        F.when(F.coalesce(F.octet_length(raw), F.lit(0)) < HEADER_BYTES, "TooShort")
         .when(F.substring(raw, 1, 4) != F.lit(MAGIC).cast("binary"), "BadControl")
         .when(unsigned(raw, 5, 1) != VERSION, "BadVersion")
         .when(~unsigned(raw, 6, 1).between(1, 7), "BadFrameType")
@@ -104,12 +109,23 @@ def control(json: Column) -> Column:
     return F.from_json(json, CONTROL)
 
 
+def control_json(kind: str, **fields: Column) -> Column:
+    """A control payload: its kind and its own fields, in this order."""
+    return F.to_json(F.struct(F.lit(kind).alias("kind"), *(c.alias(n) for n, c in fields.items())))
+
+
 def announcement(datagram: Column, magic: bytes) -> Column:
     """A discovery datagram: a magic of eight bytes and JSON; a missing address list is empty."""
-    got = F.from_json(F.when(F.substring(datagram, 1, 8) == F.lit(magic), F.substring(datagram, 9, 1 << 20)).cast("string"), ANNOUNCE)
+    json = F.substring(datagram, F.lit(9), F.octet_length(datagram)).cast("string")
+    got = F.from_json(F.when(F.substring(datagram, 1, 8) == F.lit(magic), json), ANNOUNCE)
     return got.withField("lan_ips", F.coalesce(got["lan_ips"], F.array().cast("array<string>")))
 
 
+def discovery_datagram(magic: bytes, kind: str, **fields: Column) -> Column:
+    """A discovery message (query or announce) behind its magic."""
+    return F.concat(F.lit(magic), F.to_json(F.struct(F.lit(kind).alias("type"), *(c.alias(n) for n, c in fields.items()))).cast("binary"))
+
+
 def length_prefixed(body: Column) -> Column:
     """Stream framing: four bytes of length before the body."""
     return F.concat(big_endian(F.octet_length(body), 4), body)

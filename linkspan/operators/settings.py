@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkspan.functions import net
+
 # Round-trip limit and peer timeout of each network mode, in ms.
 MODE_DEFAULTS = {"lan": (20.0, 5000), "relay": (80.0, 15000), "wireguard": (40.0, 10000)}
 
@@ -22,8 +24,27 @@ def merged(old: str, new: str) -> Column:
 
 
 def crypto_after(password: Column, remote: Column, before: Column) -> Column:
-    """An empty password turns crypto off unless the mode is remote; none leaves it as it is."""
-    return F.when(password.isNull(), before).otherwise(remote | (password != ""))
+    """A password turns crypto on; an empty one turns it off, but in a remote mode leaves it, as none (null) does."""
+    return F.when(F.length(password) > 0, True).when(password.isNotNull() & ~remote, False).otherwise(before)
+
+
+def updated(rows: DataFrame) -> DataFrame:
+    """A partial update of settings: password, require_crypto, pair_code and log_level after it, and whether the tunnel must restart.
+
+    Takes these columns and new_password, clear_password, new_crypto, new_code, new_level, where
+    null leaves things as they are, and remote. Clearing goes before a new password; an explicit
+    require_crypto goes last. A code is normalised; an empty or the same one is none. An unknown
+    level is info.
+    """
+    clear = F.coalesce("clear_password", F.lit(False))
+    password = F.when(clear, F.lit("")).otherwise(F.col("new_password"))
+    code = F.nullif(net.pair_code(F.col("new_code")), F.lit(""))
+    changed = clear | F.col("new_password").isNotNull() | F.col("new_crypto").isNotNull() | F.coalesce(code != F.col("pair_code"), F.lit(False))
+    level = F.lower("new_level")
+    return rows.select(
+        "*", F.coalesce(password, "password").alias("password_after"), F.coalesce("new_crypto", crypto_after(password, F.col("remote"), F.col("require_crypto"))).alias("crypto_after"),
+        F.coalesce(code, "pair_code").alias("code_after"), F.when(level.isNull(), F.col("log_level")).when(level.isin("error", "warn", "debug", "trace"), level).otherwise("info").alias("level_after"), changed.alias("restart"),
+    )
 
 
 def redacted(rows: DataFrame, secrets: list[str]) -> DataFrame:
@@ -32,12 +53,19 @@ def redacted(rows: DataFrame, secrets: list[str]) -> DataFrame:
     return rows.withColumns(flags).withColumns({s: F.lit("") for s in secrets})
 
 
-def verified(files: DataFrame, sums: DataFrame) -> DataFrame:
-    """``status`` of files (name, content) by sums (sha, file): ok, mismatch or no_entry; names match in any case."""
-    wanted = sums.groupBy(F.lower("file").alias("key")).agg(F.min(F.lower("sha")).alias("want"))
-    got = files.select("*", F.lower("name").alias("key"), F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
+def verified(files: DataFrame, sums: DataFrame | None) -> DataFrame:
+    """``status`` of files (name, content) by sums (sha, file): ok, mismatch or no_entry; names match in any ASCII case.
+
+    Of several entries of a name the first counts, by ``line`` if sums has that column. Without
+    sums (None) every file passes, as unchecked.
+    """
+    got = files.select("*", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
+    if sums is None:
+        return got.withColumn("status", F.lit("unchecked"))
+    line = F.col("line") if "line" in sums.columns else F.monotonically_increasing_id()
+    wanted = sums.select(net.ascii_lower(F.col("file")).alias("key"), F.lower("sha").alias("sha"), line.alias("line")).groupBy("key").agg(F.min_by("sha", "line").alias("want"))
     status = F.when(F.col("want").isNull(), "no_entry").when(F.col("want") == F.col("sha"), "ok").otherwise("mismatch")
-    return got.join(wanted, "key", "left").withColumn("status", status).drop("key", "want")
+    return got.withColumn("key", net.ascii_lower(F.col("name"))).join(wanted, "key", "left").withColumn("status", status).drop("key", "want")
 
 
 def log_bundle(files: DataFrame, by: list[str]) -> DataFrame:

@@ -74,12 +74,125 @@ def epochs(frames: DataFrame, keys: list[str], order: list[str], peer: str) -> D
     return frames.withColumn("changed", changed).withColumn("epoch", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("changed")
 
 
-def epoch_loss(frames: DataFrame, keys: list[str], order: list[str], peer: str, sequence: str) -> DataFrame:
-    """Lifetime gaps, and the loss that counts: that of the last epoch, as a change of peer zeroes it."""
-    numbered = epochs(frames, keys, order, peer)
-    lost = numbered.withColumn("lost", lost_before(F.col(sequence), arrival([*keys, "epoch"], order)))
-    by_epoch = lost.groupBy(*keys, "epoch").agg(F.sum("lost").alias("lost"), F.count("*").alias("n"))
-    return by_epoch.groupBy(*keys).agg((F.max("epoch") + 1).alias("epochs"), F.sum("lost").alias("seq_gaps"), F.max_by("lost", "epoch").alias("window_loss"))
+def epoch_loss(frames: DataFrame, keys: list[str], order: list[str], peer: str, sequence: str, chunk: Column | None = None) -> DataFrame:
+    """Lifetime gaps, and the loss that counts: that of the last epoch, as a change of peer zeroes it.
+
+    ``chunk``, a coarse step of the arrival order, cuts a large stream into parts that are worked
+    on apart; a part's sums and its first and last frame are all that meets by stream.
+    """
+    rows = frames.select(*keys, *order, F.col(peer).alias("peer"), F.col(sequence).alias("seq"), (F.lit(0) if chunk is None else chunk).alias("chunk"))
+    w = arrival([*keys, "chunk"], order)
+    gap = lambda now, before: F.when((now - before - 1).between(1, MAX_GAP), now - before - 1).otherwise(0)
+    changed = F.coalesce((F.col("peer") != F.lag("peer").over(w)).cast("int"), F.lit(0))
+    marked = rows.withColumn("changed", changed).withColumn("lost", F.when(F.col("changed") == 0, F.coalesce(gap(F.col("seq"), F.lag("seq").over(w)), F.lit(0))).otherwise(0))
+    marked = marked.withColumn("epoch", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at, ends = F.struct(*order), F.struct("peer", "seq")
+    inner = marked.groupBy(*keys, "chunk", "epoch").agg(F.sum("lost").alias("lost"), F.min_by(ends, at).alias("first"), F.max_by(ends, at).alias("last"))
+    parts = inner.groupBy(*keys, "chunk").agg(
+        F.max("epoch").alias("changes"), F.sum("lost").alias("lost"), F.max_by("lost", "epoch").alias("tail"), F.min_by("first", "epoch").alias("first"), F.max_by("last", "epoch").alias("last"),
+    )
+    before = F.lag("last").over(arrival(keys, ["chunk"]))
+    joined = parts.withColumn("before", before).withColumn("turned", F.coalesce((F.col("first.peer") != F.col("before.peer")).cast("int"), F.lit(0)))
+    joined = joined.withColumn("between", F.when((F.col("turned") == 0) & F.col("before").isNotNull(), gap(F.col("first.seq"), F.col("before.seq"))).otherwise(0))
+    # a part with a change in it counts from that change on; the last such part, and all after it, make the last epoch
+    since = F.max(F.when(F.col("changes") + F.col("turned") > 0, F.col("chunk"))).over(Window.partitionBy(*keys))
+    counted = F.when(since.isNull() | (F.col("chunk") > since), F.col("lost") + F.col("between")).when(F.col("chunk") == since, F.when(F.col("changes") > 0, F.col("tail")).otherwise(F.col("lost"))).otherwise(0)
+    return joined.withColumn("counted", counted).groupBy(*keys).agg(
+        (F.sum(F.col("changes") + F.col("turned")) + 1).alias("epochs"), F.sum(F.col("lost") + F.col("between")).cast("bigint").alias("seq_gaps"), F.sum("counted").cast("bigint").alias("window_loss"),
+    )
+
+
+def snapshot_windows(rows: DataFrame, keys: list[str], order: list[str], ts: str, is_snapshot: Column, sequence: str, size: Column, epoch: str | None = None) -> DataFrame:
+    """What each snapshot reports of the frames since the one before it, which it closes.
+
+    Rows are frames and snapshots in arrival order. A window's loss counts only its last epoch's
+    frames, if ``epoch`` is given; a gap counts for the window of its later frame. Frames after
+    the last snapshot are in none. The first window begins with the stream's first row.
+    """
+    w = arrival(keys, order)
+    marked = rows.select(*keys, *order, F.col(ts).alias("at"), is_snapshot.alias("snapshot"), F.col(sequence).alias("seq"), size.alias("size"), (F.col(epoch) if epoch else F.lit(0)).alias("epoch"))
+    marked = marked.withColumn("window", F.sum(F.col("snapshot").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("snapshot").cast("int"))
+    frames = marked.where("not snapshot")
+    lost = frames.withColumn("lost", lost_before(F.col("seq"), arrival([*keys, "epoch"], order)))
+    by_epoch = lost.groupBy(*keys, "window", "epoch").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum("lost").alias("lost"))
+    totals = by_epoch.groupBy(*keys, "window").agg(F.sum("n").alias("rx_packets"), F.sum("bytes").alias("bytes"), F.max_by("lost", "epoch").alias("lost"))
+    began = F.min(F.when(F.col("window") == 0, F.unix_micros(F.col("at").cast("timestamp")))).over(Window.partitionBy(*keys))
+    closed = F.unix_micros(F.col("at").cast("timestamp"))
+    reads = marked.withColumn("began", began).where("snapshot").withColumn("began", F.coalesce(F.lag(closed).over(w), F.col("began")))
+    both = reads.select(*keys, "window", F.greatest((closed - F.col("began")) / 1e6, F.lit(0.001)).alias("seconds")).join(totals, [*keys, "window"], "left")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("rx_packets", "bytes", "lost")}
+    out = both.withColumns(counts)
+    return out.withColumns({"pps": F.col("rx_packets") / F.col("seconds"), "bps": F.col("bytes") * 8 / F.col("seconds"), "loss_rate": loss_rate(F.col("rx_packets"), F.col("lost"))})
+
+
+def admitted(packets: DataFrame, keys: list[str], order: list[str], ip: str, port: str, role: str, peer: tuple[str, int] | None = None) -> DataFrame:
+    """``outcome`` of each packet at the peer slot, ``dropped``, and ``epoch``, how often loss tracking has restarted.
+
+    Learned: the slot was empty. Same and port_changed: the slot's address, with or without its
+    port. Of another address: switched, if an agent has a configured peer and the packet comes
+    from that port; ignored and dropped, if a peer is configured otherwise; replaced, at a gateway
+    without one; passed, at an agent without one, where the slot stays. All but same, ignored and
+    passed restart loss tracking. The slot begins with ``peer`` if there is one.
+    """
+    w = arrival(keys, order)
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    slot = F.struct(F.col(ip).alias("ip"), F.col(port).alias("port"))
+    begin = F.struct(F.lit(peer[0] if peer else None).cast("string").alias("ip"), F.lit(peer[1] if peer else None).cast("int").alias("port"))
+    if peer and role == "agent":
+        # a packet from the tunnel's port puts its address into the slot, whichever it is
+        address = F.coalesce(F.last(F.when(F.col(port) == peer[1], F.col(ip)), ignorenulls=True).over(past), F.lit(peer[0]))
+        taken = (F.col(ip) == F.col("slot_ip")) | (F.col(port) == peer[1])
+    elif peer:
+        address, taken = F.lit(peer[0]), F.col(ip) == F.col("slot_ip")
+    elif role == "gateway":
+        address, taken = F.lag(ip).over(w), F.lit(True)
+    else:
+        address, taken = F.first(ip).over(past), F.col("slot_ip").isNull() | (F.col(ip) == F.col("slot_ip"))
+    rows = packets.withColumn("slot_ip", address).withColumn("taken", taken)
+    rows = rows.withColumn("slot", F.coalesce(F.last(F.when(F.col("taken"), slot), ignorenulls=True).over(past), begin))
+    other = F.col(ip) != F.col("slot_ip")
+    outcome = (
+        F.when(F.col("slot_ip").isNull(), "learned").when(other & F.col("taken"), F.lit("switched" if peer else "replaced")).when(other, F.lit("ignored" if peer else "passed"))
+        .when(F.col(port) != F.col("slot.port"), "port_changed").otherwise("same")
+    )
+    rows = rows.withColumn("outcome", outcome).withColumn("dropped", F.col("outcome") == "ignored")
+    restarts = F.col("outcome").isin("learned", "switched", "replaced", "port_changed").cast("int")
+    return rows.withColumn("epoch", F.sum(restarts).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("slot_ip", "slot", "taken")
+
+
+def with_timeouts(frames: DataFrame, keys: list[str], order: list[str], ts: str, kind: str, seconds: int) -> DataFrame:
+    """The frames and, ahead of each that came after a longer silence, a row of the kind ``timeout``; ``step`` orders these two."""
+    now = F.unix_micros(F.col(ts).cast("timestamp"))
+    silent = now - F.lag(now).over(arrival(keys, order)) > seconds * 1_000_000
+    lines = F.when(silent, F.array(F.lit("timeout"), F.col(kind))).otherwise(F.array(F.col(kind)))
+    return frames.withColumn("lines", lines).select("*", F.posexplode("lines").alias("step", "line")).withColumn(kind, F.col("line")).drop("lines", "line")
+
+
+def connection_states(rows: DataFrame, keys: list[str], order: list[str], role: str) -> DataFrame:
+    """The state after each row: connection, laptop, link_up, awake, message, rtt_local, rtt_peer, reconnects.
+
+    Rows have kind (ethernet, keepalive, hello, status, safety_probe, goodbye, ack, timeout) and,
+    for their kinds, is_reply, rtt, vehicle_link, vehicle_awake and peer_rtt. Each field holds
+    what was last assigned to it: a window over the past, without any state but Spark's. A
+    gateway takes the vehicle's flags from the laptop's status, and takes its data as a sign
+    of life while the link is up; a goodbye or timeout clears them.
+    """
+    now = arrival(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    kind = F.col("kind")
+    held = lambda value, begin: F.coalesce(F.last(value, ignorenulls=True).over(now), F.lit(begin))
+    live, control = kind.isin("ethernet", "keepalive", "hello", "status", "safety_probe"), kind.isin("hello", "status", "safety_probe")
+    lost, gateway = kind.isin("goodbye", "timeout"), F.lit(role == "gateway")
+    timed_out = F.lit("Reconnecting" if role == "gateway" else "Failed")
+    out = rows.withColumns({
+        "connection": held(F.when(live, "Connected").when(kind == "goodbye", "Reconnecting").when(kind == "timeout", timed_out), "WaitingForPeer"),
+        "laptop": held(F.when(live, True).when(lost, False), False),
+        "link_up": held(F.when(gateway & (kind == "status"), F.col("vehicle_link")).when(gateway & lost, False), False),
+        "message": held(F.when((kind == "ethernet") | control, "connected").when(kind == "goodbye", "peer_disconnected").when(kind == "timeout", "peer_timeout"), "starting"),
+        "rtt_local": held(F.when((kind == "keepalive") & F.col("is_reply") & (F.col("rtt") > 0), F.col("rtt")), 0.0),
+        "rtt_peer": held(F.when(gateway & (kind == "status") & (F.col("peer_rtt") > 0) & ~F.isnan("peer_rtt") & (F.col("peer_rtt") < float("inf")), F.col("peer_rtt")), 0.0),
+        "reconnects": F.sum((kind == "timeout").cast("int")).over(now),
+    })
+    return out.withColumn("awake", held(F.when(gateway & (kind == "status"), F.col("vehicle_awake")).when(gateway & lost, False).when(gateway & (kind == "ethernet") & F.col("link_up"), True), False))
 
 
 def timeouts(frames: DataFrame, keys: list[str], order: list[str], ts: str, seconds: int) -> DataFrame:

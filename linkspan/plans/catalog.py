@@ -151,7 +151,7 @@ def data_plane_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_type, CAST(max(epoch) + 1 AS BIGINT) AS epochs, CAST(sum(lost) AS BIGINT) AS seq_gaps, CAST(max_by(lost, epoch) AS BIGINT) AS window_loss FROM s GROUP BY event_type""")
 def peer_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of peer within a stream (here event_type) restart loss tracking."""
-    return telemetry.epoch_loss(table(spark, sf_dir, "events"), ["event_type"], ORDER, "user_id", "event_id")
+    return telemetry.epoch_loss(table(spark, sf_dir, "events"), ["event_type"], ORDER, "user_id", "event_id", F.expr("unix_seconds(cast(ts as timestamp)) div 86400"))
 
 
 @query(f"""WITH l AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS silent FROM events {_W})
@@ -238,12 +238,14 @@ def oversize_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(wire.fits_wire(text) & wire.is_capture(text)).alias("accepted"), F.count_if(~wire.fits_wire(text)).alias("dropped"), F.count_if(~wire.is_capture(text)).alias("ignored"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), k AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS n FROM l WHERE line <> ''),
+    e AS (SELECT *, coalesce(min(CASE WHEN strlen(line) > 1558 THEN n END) OVER (PARTITION BY doc_id), 2147483647) AS stop FROM k)
+    SELECT doc_id, CAST(n AS INTEGER) AS frame_no, CASE WHEN n < stop THEN CAST(strlen(line) AS INTEGER) END AS bytes, CASE WHEN n < stop THEN md5(line) END AS digest, CASE WHEN n = stop THEN 'bad_length' END AS error FROM e WHERE n <= stop""")
 def deframe_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document, written length-prefixed into one blob, and split again by a UDTF."""
+    """Lines of every document, written length-prefixed into one blob, and split again; a line over the limit ends its blob."""
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
-    blob = F.aggregate(F.transform(lines, lambda x: wire.length_prefixed(x.cast("binary"))), F.lit(b""), lambda s, x: F.concat(s, x))
-    found = sources.deframe(table(spark, sf_dir, "documents").select("doc_id", blob.alias("blob")), "blob")
+    blob = F.unhex(F.array_join(F.transform(lines, lambda x: F.hex(wire.length_prefixed(x.cast("binary")))), ""))
+    found = sources.deframe(table(spark, sf_dir, "documents").select("doc_id", blob.alias("blob")), "blob", "doc_id")
     return found.select("doc_id", "frame_no", F.octet_length("body").alias("bytes"), F.md5("body").alias("digest"), "error")
 
 
@@ -263,14 +265,16 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", safety.backoff_ms(F.lit(500).cast("bigint"), F.lit(10000).cast("bigint"), F.col("event_id") % 20).alias("delay_ms"))
 
 
-@query(f"""WITH c AS (SELECT c_custkey, {_CIP} AS ip, 167772160 + c_custkey * 3 AS n FROM customer), s AS (SELECT 167772160 + s_suppkey * 21 AS net, 22 + s_suppkey % 11 AS bits FROM supplier)
-    SELECT c_custkey, ip FROM c WHERE EXISTS (SELECT 1 FROM s WHERE n >> (32 - bits) = net >> (32 - bits))""")
+@query(f"""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'fd00:' || CAST(c_custkey % 10 AS VARCHAR) || '::' || CAST(c_custkey % 100 AS VARCHAR) ELSE {_CIP} END AS ip, 167772160 + c_custkey * 3 AS n FROM customer), s AS (SELECT 167772160 + s_suppkey * 21 AS net, 22 + s_suppkey % 11 AS bits FROM supplier)
+    SELECT c_custkey, ip FROM c WHERE CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 10 IN (2, 4) OR (c_custkey % 10 = 6 AND c_custkey % 100 = 16) ELSE EXISTS (SELECT 1 FROM s WHERE n >> (32 - bits) = net >> (32 - bits)) END""")
 def cidr_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses of customers that suppliers' prefixes allow."""
-    packets = table(spark, sf_dir, "customer").select("c_custkey", customer_ip().alias("ip"))
+    """Addresses of customers, some of them IPv6, that suppliers' and a few other prefixes allow."""
+    v6 = F.concat(F.lit("fd00:"), F.col("c_custkey") % 10, F.lit("::"), F.col("c_custkey") % 100)
+    packets = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, v6).otherwise(customer_ip()).alias("ip"))
     bits = F.col("s_suppkey") % 11 + 22
     cidrs = table(spark, sf_dir, "supplier").select(F.when(bits == 32, supplier_ip()).otherwise(F.concat_ws("/", supplier_ip(), bits)).alias("cidr"))
-    return matching.allowed(packets, "ip", cidrs, "cidr")
+    more = spark.createDataFrame([("fd00:2::/32",), ("fd00:4::/112",), ("fd00:6::16",), ("fd00::/129",), ("junk",)], "cidr string")
+    return matching.allowed(packets, "ip", cidrs.union(more), "cidr")
 
 
 @query(f"SELECT c_custkey, {_CIP} AS ip FROM customer WHERE {_CIP} NOT IN (SELECT {_SIP} FROM supplier)")
@@ -280,12 +284,12 @@ def own_address_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.not_own(table(spark, sf_dir, "customer").select("c_custkey", customer_ip().alias("ip")), own, "ip").select("c_custkey", "ip")
 
 
-@query("""WITH n AS (SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN '' ELSE 'code' || CAST(n_regionkey AS VARCHAR) END AS q FROM nation), r AS (SELECT r_regionkey, CASE WHEN r_regionkey = 4 THEN '' ELSE 'CODE' || CAST(r_regionkey AS VARCHAR) END AS a FROM region)
-    SELECT n_nationkey, r_regionkey, q, a FROM n JOIN r ON q = '' OR a = '' OR lower(q) = lower(a)""")
+@query("""WITH n AS (SELECT n_nationkey, CASE n_nationkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'codeÉ' ELSE 'code' || CAST(n_regionkey AS VARCHAR) END AS q FROM nation), r AS (SELECT r_regionkey, CASE r_regionkey WHEN 4 THEN '' WHEN 3 THEN 'CODEé' ELSE 'CODE' || CAST(r_regionkey AS VARCHAR) END AS a FROM region)
+    SELECT n_nationkey, r_regionkey, q, a FROM n JOIN r ON q = '' OR a = '' OR translate(q, 'CDEO', 'cdeo') = translate(a, 'CDEO', 'cdeo')""")
 def wildcard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries and announcements by pair code, with wildcards."""
-    asked = table(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 7 == 0, "").otherwise(F.concat(F.lit("code"), "n_regionkey")).alias("q"))
-    offered = table(spark, sf_dir, "region").select("r_regionkey", F.when(F.col("r_regionkey") == 4, "").otherwise(F.concat(F.lit("CODE"), "r_regionkey")).alias("a"))
+    """Queries and announcements by pair code, with wildcards; only the case of ASCII letters is ignored."""
+    asked = table(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 7 == 0, "").when(F.col("n_nationkey") % 7 == 1, "codeÉ").otherwise(F.concat(F.lit("code"), "n_regionkey")).alias("q"))
+    offered = table(spark, sf_dir, "region").select("r_regionkey", F.when(F.col("r_regionkey") == 4, "").when(F.col("r_regionkey") == 3, "CODEé").otherwise(F.concat(F.lit("CODE"), "r_regionkey")).alias("a"))
     return matching.wildcard_pairs(asked, offered, "q", "a")
 
 
@@ -300,16 +304,18 @@ def interface_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.interfaces(addresses, links).select("name", "mac", F.array_join("ips", " ").alias("ips"), "has_link_local")
 
 
-@query(f"""WITH o AS (SELECT c_custkey % 60 AS gateway, 167772160 + c_custkey * 3 AS n FROM customer), src AS (SELECT gateway, min({_ip_sql('gateway * 5')}) AS source FROM o GROUP BY gateway),
-    c AS (SELECT gateway, n FROM o UNION SELECT gateway, 167772160 + gateway * 5 FROM o), l AS (SELECT DISTINCT (167772160 + s_suppkey * 21 + 512) >> 8 AS subnet FROM supplier),
-    b AS (SELECT gateway, min(CASE WHEN n >> 8 IN (SELECT subnet FROM l) THEN n END) AS hit, min(n) AS lowest FROM c GROUP BY gateway)
-    SELECT b.gateway, {_ip_sql('coalesce(hit, lowest) - 167772160')} AS address FROM b JOIN src ON src.gateway = b.gateway""")
+@query(f"""WITH o AS (SELECT c_custkey % 60 AS gateway, 167772160 + c_custkey * 3 AS n FROM customer WHERE c_custkey % 9 > 0), src AS (SELECT DISTINCT c_custkey % 60 AS gateway, {_ip_sql('(c_custkey % 60) * 5')} AS source FROM customer),
+    c AS (SELECT gateway, n FROM o UNION SELECT gateway, 167772160 + gateway * 5 FROM src), l AS (SELECT (167772160 + s_suppkey * 21 + 512) >> 8 AS subnet, min(-s_suppkey) AS turn FROM supplier GROUP BY 1),
+    b AS (SELECT gateway, min(CASE WHEN turn IS NOT NULL THEN turn * 10000000000 + n END) AS best, min(n) AS lowest FROM c LEFT JOIN l ON n >> 8 = subnet GROUP BY gateway),
+    h AS (SELECT gateway, lowest, CASE WHEN best IS NOT NULL THEN best - floor(best / 10000000000.0) * 10000000000 END AS hit FROM b)
+    SELECT h.gateway, {_ip_sql('CAST(coalesce(hit, lowest) AS BIGINT) - 167772160')} AS address FROM h JOIN src ON src.gateway = h.gateway""")
 def same_subnet_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each gateway the offered address that is on a local subnet."""
+    """For each gateway the offered address that is on the first local subnet with one; loopback addresses are offered too."""
     gateway = F.col("c_custkey") % 60
-    offers = table(spark, sf_dir, "customer").select(gateway.alias("gateway"), customer_ip().alias("ip"), net.dotted(F.lit(10 << 24) + gateway * 5).alias("source"))
-    local = table(spark, sf_dir, "supplier").select(net.dotted(F.lit((10 << 24) + 512) + F.col("s_suppkey") * 21).alias("ip"))
-    return matching.same_subnet(offers, local)
+    offered = F.when(F.col("c_custkey") % 9 == 0, "127.0.0.5").otherwise(customer_ip())
+    offers = table(spark, sf_dir, "customer").select(gateway.alias("gateway"), offered.alias("ip"), net.dotted(F.lit(10 << 24) + gateway * 5).alias("source"))
+    local = table(spark, sf_dir, "supplier").select(net.dotted(F.lit((10 << 24) + 512) + F.col("s_suppkey") * 21).alias("ip"), (-F.col("s_suppkey")).alias("place"))
+    return matching.same_subnet(offers, local, "place")
 
 
 @query("""SELECT p_partkey, p_name, CASE WHEN contains(lower(p_name), 'small') THEN 'Small' WHEN contains(lower(p_name), 'cold') THEN 'cold' WHEN contains(lower(p_name), 'gear') THEN 'GEAR' END AS adapter FROM part
@@ -335,12 +341,19 @@ def interface_score_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.best_interface(scored, ["p_brand"])
 
 
-@query()
+@query("""WITH j AS (SELECT conv_id % 50 AS room, CASE role WHEN 'user' THEN 'gateway' WHEN 'assistant' THEN 'agent' ELSE role END AS role, conv_id, turn FROM conversations),
+    k AS (SELECT *, lag(role) OVER (PARTITION BY room ORDER BY conv_id, turn) AS before FROM j WHERE role IN ('gateway', 'agent')),
+    r AS (SELECT *, sum(CASE WHEN role IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY room ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING) AS run FROM k),
+    n AS (SELECT *, row_number() OVER (PARTITION BY room, run ORDER BY conv_id, turn) AS nth, count(*) OVER (PARTITION BY room, run) AS length FROM r),
+    b AS (SELECT *, max(CASE WHEN length > 1 THEN run END) OVER (PARTITION BY room ORDER BY run RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reset FROM n),
+    h AS (SELECT *, CASE WHEN reset IS NULL THEN run % 2 = 0 ELSE (run - reset) % 2 = 1 END AS held FROM b)
+    SELECT room, conv_id, turn, role, CASE WHEN held AND nth = 1 THEN 'paired' WHEN held AND nth = 2 OR NOT held AND nth = 1 THEN 'waiting' ELSE 'duplicate' END AS outcome FROM h
+    UNION ALL SELECT room, conv_id, turn, role, 'duplicate' FROM j WHERE role IS NULL OR role NOT IN ('gateway', 'agent')""")
 def room_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joins of rooms (conversations; user is gateway, assistant agent) and their outcomes."""
+    """Joins of rooms (conversations; user is gateway, assistant agent) and their outcomes, in parts of 200 conversations."""
     role = F.when(F.col("role") == "user", "gateway").when(F.col("role") == "assistant", "agent").otherwise(F.col("role"))
     joins = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 50).alias("room"), role.alias("role"), "conv_id", "turn")
-    return matching.pair_rooms(joins, "room", "role", ["conv_id", "turn"])
+    return matching.pair_rooms(joins, "room", "role", ["conv_id", "turn"], F.expr("conv_id div 200"))
 
 
 @query("""WITH v AS (SELECT p_partkey, 'vv' || CAST(p_size % 3 AS VARCHAR) || '.' || CAST(p_partkey % 5 AS VARCHAR) || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '.' || CAST(p_size AS VARCHAR) || '-rc1' END AS version, p_size % 3 AS a, p_partkey % 5 AS b, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_size END AS c FROM part)
@@ -388,12 +401,12 @@ def mode_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS name, '' AS password, coalesce(CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 4 = 1 THEN 'pw' END, c_name) <> '' AS password_set,
-    CASE WHEN c_custkey % 4 > 1 THEN true ELSE c_nationkey % 2 = 0 OR c_custkey % 4 = 1 END AS crypto FROM customer""")
+    CASE c_custkey % 4 WHEN 1 THEN true WHEN 0 THEN c_nationkey % 2 = 0 AND c_custkey % 8 = 0 ELSE c_custkey % 8 IN (0, 2) END AS crypto FROM customer""")
 def settings_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial settings updates, with secrets redacted."""
     key = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").withColumns({"new_name": F.when(key % 3 == 0, "new"), "new_password": F.when(key % 4 == 0, "").when(key % 4 == 1, "pw")})
-    out = rows.select("c_custkey", settings.merged("c_mktsegment", "new_name").alias("name"), settings.merged("c_name", "new_password").alias("password"), settings.crypto_after(F.col("new_password"), F.col("c_nationkey") % 2 == 0, F.lit(True)).alias("crypto"))
+    out = rows.select("c_custkey", settings.merged("c_mktsegment", "new_name").alias("name"), settings.merged("c_name", "new_password").alias("password"), settings.crypto_after(F.col("new_password"), F.col("c_nationkey") % 2 == 0, (key % 8).isin(0, 2)).alias("crypto"))
     return settings.redacted(out, ["password"]).select("c_custkey", "name", "password", "password_set", "crypto")
 
 

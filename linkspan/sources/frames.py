@@ -1,56 +1,55 @@
-"""Frame streams, settings, sums files, logs and synthetic traffic."""
+"""Frame streams, settings, sums files, releases, relay joins and logs."""
 
 from __future__ import annotations
 
-import struct
 import tomllib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from linkspan.functions import wire
+from linkspan.functions import net, wire
 
 
-@F.udtf(returnType="frame_no: int, body: binary, error: string")
-class Deframe:
-    """Splits a blob of length-prefixed frames into rows.
+def split_frames(blob: bytes | None) -> Iterator[tuple[int, bytes | None, str | None]]:
+    """(number, body, error) of a blob's length-prefixed frames; a length of 0 or above the limit, or a cut frame, ends it."""
+    at, n, view = 0, 0, memoryview(blob or b"")
+    while at < len(view):
+        size = int.from_bytes(view[at : at + 4], "big")
+        if len(view) - at < 4 or (0 < size <= wire.MAX_STREAM_FRAME and len(view) - at - 4 < size):
+            yield n, None, "cut"
+            return
+        if not 0 < size <= wire.MAX_STREAM_FRAME:
+            yield n, None, "bad_length"
+            return
+        yield n, bytes(view[at + 4 : at + 4 + size]), None
+        at, n = at + 4 + size, n + 1
 
-    A length of 0 or above the limit, or a cut frame, gives a row with an error and ends the blob.
+
+def deframe(blobs: DataFrame, blob: str, key: str) -> DataFrame:
+    """(``key``, frame_no, body, error): one row for each frame of ``blob``, batch by batch of the input.
+
+    A null or empty blob has no frames. Other columns are left out.
     """
+    of = blobs.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for owner, raw in zip(batch.column(0), batch.column(1)):
+                found = list(split_frames(raw.as_py()))
+                for a in range(0, len(found), 4096):
+                    n, body, error = zip(*found[a : a + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array([owner] * len(n), batch.schema.field(0).type), pa.array(n, pa.int32()), pa.array(body, pa.binary()), pa.array(error, pa.string())], names=[key, "frame_no", "body", "error"])
 
-    def eval(self, blob: bytes) -> Iterator[tuple]:
-        at, n = 0, 0
-        while blob is not None and at < len(blob):
-            if len(blob) - at < 4:
-                yield n, None, "cut"
-                return
-            (size,) = struct.unpack_from(">I", blob, at)
-            if not 0 < size <= wire.MAX_STREAM_FRAME:
-                yield n, None, "bad_length"
-                return
-            if len(blob) - at - 4 < size:
-                yield n, None, "cut"
-                return
-            yield n, bytes(blob[at + 4 : at + 4 + size]), None
-            at, n = at + 4 + size, n + 1
-
-
-def deframe(blobs: DataFrame, blob: str) -> DataFrame:
-    """One row for each frame of ``blob``, with the other columns of its row."""
-    spark = blobs.sparkSession
-    spark.udtf.register("linkspan_deframe", Deframe)
-    blobs.createOrReplaceTempView("linkspan_blobs")
-    keep = ", ".join(f"b.`{c}`" for c in blobs.columns if c != blob)
-    return spark.sql(f"SELECT {keep}, f.* FROM linkspan_blobs b, LATERAL linkspan_deframe(b.`{blob}`) f")
-
-
-def lab_traffic(spark: SparkSession, burst: int = 200, stream: int = 100, wake: bool = True) -> DataFrame:
-    """Synthetic frames of one run: a discovery broadcast, a burst, a stream, and a wake frame."""
-    total = 1 + burst + stream + wake
-    kind = F.when(F.col("id") == 0, "discovery").when(F.col("id") <= burst, "burst").when(F.col("id") <= burst + stream, "stream").otherwise("wake")
-    body = F.concat(F.unhex(F.lit("ffffffffffff020000000001")), F.unhex(F.lit("0800")), wire.big_endian(F.col("id"), 4))
-    return spark.range(total).select((F.col("id") + 1).alias("sequence"), kind.alias("kind"), body.alias("frame"))
+    return blobs.select(key, blob).mapInArrow(run, T.StructType([T.StructField(key, of), T.StructField("frame_no", T.IntegerType()), T.StructField("body", T.BinaryType()), T.StructField("error", T.StringType())]))
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """(path, frame_no, and the header's fields, payload and error) of recorded frame logs, one stream of length-prefixed frames a file."""
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    return deframe(raw, "content", "path").select("path", "frame_no", F.coalesce("error", wire.decode_frame(F.col("body"))["error"]).alias("error"), wire.decode_frame(F.col("body")).alias("frame"))
 
 
 def read_config(spark: SparkSession, path: str, defaults: dict) -> DataFrame:
@@ -77,8 +76,43 @@ def read_sums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_sums(lines: DataFrame) -> DataFrame:
-    got = lambda n: F.regexp_extract("value", r"^\s*([0-9A-Fa-f]{64})\s+\*?(\S.*?)\s*$", n)
-    return lines.select(got(1).alias("sha"), got(2).alias("file")).where("sha <> ''")
+    """Hash and name are a line's first two words; a name's leading asterisks are a mark."""
+    words = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    return lines.select(F.get(words, F.lit(0)).alias("sha"), F.regexp_replace(F.get(words, F.lit(1)), r"^\*+", "").alias("file")).where("file <> ''")
+
+
+_RELEASE = "tag_name string, body string, draft boolean, prerelease boolean, assets array<struct<name: string, browser_download_url: string, url: string>>"
+
+
+def newer_releases(documents: DataFrame, json: str, current: Column, asset: Column, api_url: Column) -> DataFrame:
+    """Release documents that offer an update: version, asset_url, checksums_url and notes beside the other columns.
+
+    Neither a draft nor a pre-release, with a version above ``current`` and an asset of exactly
+    the name ``asset``, the first of several. The sums file's name matches in any ASCII case; a
+    release may lack it. ``api_url`` chooses the assets' API addresses. Notes are cut to 400 characters.
+    """
+    parsed = documents.withColumn("release", F.from_json(json, _RELEASE)).withColumns({"release_current": current, "release_asset": asset, "release_api": api_url})
+    named = lambda test: F.get(F.filter("release.assets", test), F.lit(0))
+    rows = parsed.select(
+        "*", named(lambda a: a["name"] == F.col("release_asset")).alias("release_hit"),
+        named(lambda a: net.ascii_lower(a["name"]) == "sha256sums.txt").alias("release_sums"), net.semver(F.col("release.tag_name")).alias("release_version"),
+    )
+    good = rows.where(~F.coalesce("release.draft", F.lit(False)) & ~F.coalesce("release.prerelease", F.lit(False)) & F.col("release_hit").isNotNull() & (F.col("release_version") > net.semver(F.col("release_current"))))
+    url = lambda a: F.when(F.col("release_api"), F.col(f"{a}.url")).otherwise(F.col(f"{a}.browser_download_url"))
+    out = [F.col("release.tag_name").alias("version"), url("release_hit").alias("asset_url"), url("release_sums").alias("checksums_url"), F.left(F.coalesce("release.body", F.lit("")), F.lit(400)).alias("notes")]
+    return good.select(*(c for c in documents.columns if c != json), *out)
+
+
+def parse_joins(hellos: DataFrame, json: str, magic: str) -> DataFrame:
+    """Relay joins: role, pair_code in capitals, and error (bad_json, bad_magic, need_role_and_code) beside the other columns."""
+    got = F.from_json(json, "magic string, role string, pair_code string, version string")
+    code = F.upper(F.coalesce(got["pair_code"], F.lit("")))
+    error = (
+        F.when(F.get_json_object(json, "$").isNull(), "bad_json")
+        .when(~got["magic"].eqNullSafe(F.lit(magic)), "bad_magic")
+        .when((code == "") | ~F.coalesce(got["role"].isin("gateway", "agent"), F.lit(False)), "need_role_and_code")
+    )
+    return hellos.select(*(c for c in hellos.columns if c != json), got["role"].alias("role"), code.alias("pair_code"), error.alias("error"))
 
 
 def read_logs(spark: SparkSession, folder: str) -> DataFrame:

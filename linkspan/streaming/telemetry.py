@@ -1,8 +1,12 @@
-"""Streaming forms: loss with keyed state, windowed rates, sessions, pairing."""
+"""Streaming forms: loss, admission, connection and pairing with keyed state, windowed rates, sessions.
+
+The state of a key is a few numbers. It is kept for ever, or, with ``forget_ms``, until nothing
+has come for that long by the clock of the machine; the key then begins anew.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,25 +21,103 @@ def read_events(spark, folder: str, schema, max_files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
-def loss(frames: DataFrame, key: str, sequence: str, order: list[str]) -> DataFrame:
+def _stateful(frames: DataFrame, key: str, order: list[str], step: Callable, out: str, kept: str, mode: str, forget_ms: int | None) -> DataFrame:
+    """Apply ``step(key, rows of a batch in order, state or None) -> (output, state)`` to each key."""
+
+    def run(keys: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        result, new = step(keys[0], pd.concat(list(chunks)).sort_values(order), state.get if state.exists else None)
+        state.update(new)
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
+        yield result
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout
+    return frames.groupBy(key).applyInPandasWithState(run, out, kept, mode, timeout)
+
+
+def loss(frames: DataFrame, key: str, sequence: str, order: list[str], forget_ms: int | None = None) -> DataFrame:
     """Running (received, lost) of each key after each batch, in update mode.
 
     The state is the last sequence and two counters. Rows are taken in arrival order within a
     batch; a row of a later batch arrives later, whatever its time stamp says.
     """
 
-    def step(keys: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        previous, rx, lost = state.get if state.exists else (None, 0, 0)
-        rows = pd.concat(list(chunks)).sort_values(order)[sequence]
-        gaps = rows.diff() - 1
+    def step(owner: object, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        previous, rx, lost = state or (None, 0, 0)
+        numbers = rows[sequence]
+        gaps = numbers.diff() - 1
         if previous is not None:
-            gaps.iloc[0] = rows.iloc[0] - previous - 1
+            gaps.iloc[0] = numbers.iloc[0] - previous - 1
         lost += int(gaps[gaps.between(1, MAX_GAP)].sum())
-        rx += len(rows)
-        state.update((int(rows.iloc[-1]), rx, lost))
-        yield pd.DataFrame({key: [keys[0]], "rx_packets": [rx], "lost": [lost]})
-
-    return frames.groupBy(key).applyInPandasWithState(step, f"{key} long, rx_packets long, lost long", "previous long, rx long, lost long", "update", GroupStateTimeout.NoTimeout)
+        rx += len(numbers)
+        return pd.DataFrame({key: [owner], "rx_packets": [rx], "lost": [lost]}), (int(numbers.iloc[-1]), rx, lost)
+
+    return _stateful(frames, key, order, step, f"{key} long, rx_packets long, lost long", "previous long, rx long, lost long", "update", forget_ms)
+
+
+def admitted(packets: DataFrame, key: str, order: str, ip: str, port: str, role: str, peer: tuple[str, int] | None = None, forget_ms: int | None = None) -> DataFrame:
+    """Outcome of each packet at the peer slot, and the epoch, as the batch operator of this name has them."""
+
+    def step(owner: object, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        at, door, epoch = state or (*(peer or (None, None)), 0)
+        outcomes, epochs = [], []
+        for now, way in zip(rows[ip], rows[port]):
+            way = int(way)
+            if at is None:
+                outcome = "learned"
+            elif now == at:
+                outcome = "same" if way == door else "port_changed"
+            elif peer:
+                outcome = "switched" if role == "agent" and way == peer[1] else "ignored"
+            else:
+                outcome = "replaced" if role == "gateway" else "passed"
+            if outcome not in ("ignored", "passed"):
+                at, door = now, way
+            epoch += outcome in ("learned", "switched", "replaced", "port_changed")
+            outcomes.append(outcome)
+            epochs.append(epoch)
+        return pd.DataFrame({key: owner, order: rows[order].to_numpy(), "outcome": outcomes, "epoch": epochs}), (at, door, epoch)
+
+    return _stateful(packets, key, [order], step, f"{key} long, {order} long, outcome string, epoch long", "ip string, port int, epoch long", "append", forget_ms)
+
+
+def connection_states(frames: DataFrame, key: str, order: str, role: str, forget_ms: int | None = None) -> DataFrame:
+    """The state after each frame or timeout row, as the batch operator of this name has it."""
+    live, control = ("ethernet", "keepalive", "hello", "status", "safety_probe"), ("hello", "status", "safety_probe")
+    fields = ["connection", "laptop", "link_up", "awake", "message", "rtt_local", "rtt_peer", "reconnects"]
+
+    def step(owner: object, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        now = dict(zip(fields, state or ("WaitingForPeer", False, False, False, "starting", 0.0, 0.0, 0)))
+        out = []
+        for row in rows.to_dict("records"):
+            kind = row["kind"]
+            if kind in live:
+                now |= {"connection": "Connected", "laptop": True}
+            if kind in control or kind == "ethernet":
+                now["message"] = "connected"
+            if kind == "keepalive" and row["is_reply"] and row["rtt"] > 0:
+                now["rtt_local"] = row["rtt"]
+            if kind in ("goodbye", "timeout"):
+                now |= {"laptop": False, "message": "peer_disconnected" if kind == "goodbye" else "peer_timeout"}
+                now["connection"] = "Failed" if kind == "timeout" and role != "gateway" else "Reconnecting"
+                now["reconnects"] += kind == "timeout"
+            if role == "gateway":
+                if kind == "status":
+                    now |= {"link_up": row["vehicle_link"], "awake": row["vehicle_awake"]}
+                    if 0 < row["peer_rtt"] < float("inf"):
+                        now["rtt_peer"] = row["peer_rtt"]
+                elif kind in ("goodbye", "timeout"):
+                    now |= {"link_up": False, "awake": False}
+                elif kind == "ethernet" and now["link_up"]:
+                    now["awake"] = True
+            out.append({key: owner, order: row[order], **now})
+        return pd.DataFrame(out), tuple(now[f] for f in fields)
+
+    kinds = "connection string, laptop boolean, link_up boolean, awake boolean, message string, rtt_local double, rtt_peer double, reconnects long"
+    return _stateful(frames, key, [order], step, f"{key} long, {order} long, {kinds}", kinds, "append", forget_ms)
 
 
 def rates(frames: DataFrame, key: str, ts: str, seconds: int, late: str) -> DataFrame:
@@ -50,12 +132,11 @@ def awake_sessions(frames: DataFrame, key: str, ts: str, gap: str, late: str) ->
     return timed.groupBy(key, F.session_window("event_ts", gap).alias("s")).agg(F.count("*").alias("frames")).select(key, F.col("s.start").alias("session_start"), "frames")
 
 
-def pair_rooms(joins: DataFrame, room: str, role: str, order: str) -> DataFrame:
+def pair_rooms(joins: DataFrame, room: str, role: str, order: str, forget_ms: int | None = None) -> DataFrame:
     """Outcomes of joins (waiting, duplicate, paired), with the waiting role of each room as state."""
 
-    def step(keys: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else ""
-        rows, out = pd.concat(list(chunks)).sort_values(order), []
+    def step(owner: object, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        held, out = state[0] if state else "", []
         for role_now in rows[role]:
             if role_now not in ("gateway", "agent") or held == role_now:
                 out.append("duplicate")
@@ -65,7 +146,6 @@ def pair_rooms(joins: DataFrame, room: str, role: str, order: str) -> DataFrame:
             else:
                 held = role_now
                 out.append("waiting")
-        state.update((held,))
-        yield pd.DataFrame({room: keys[0], order: rows[order].to_numpy(), role: rows[role].to_numpy(), "outcome": out})
+        return pd.DataFrame({room: owner, order: rows[order].to_numpy(), role: rows[role].to_numpy(), "outcome": out}), (held,)
 
-    return joins.groupBy(room).applyInPandasWithState(step, f"{room} long, {order} long, {role} string, outcome string", "held string", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(joins, room, [order], step, f"{room} long, {order} long, {role} string, outcome string", "held string", "append", forget_ms)

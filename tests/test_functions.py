@@ -1,5 +1,7 @@
 """Vectors of the wire format, addresses, versions, loss, quantiles and the gate."""
 
+import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -145,8 +147,14 @@ def plain_rooms(roles):
 def test_pairing(spark, sf_dir):
     roles = ["gateway", "gateway", "agent", "agent", "gateway"]
     assert plain_rooms(roles) == ["waiting", "duplicate", "paired", "waiting", "paired"]
-    joins = spark.createDataFrame([(1, i, r) for i, r in enumerate([*roles, "other", None])], "room long, i long, role string")
-    assert [r.outcome for r in matching.pair_rooms(joins, "room", "role", ["i"]).orderBy("i").collect()][:6] == plain_rooms([*roles, "other"])
+    assert plain_rooms([None, "gateway", "agent", "gateway"]) == ["duplicate", "waiting", "paired", "waiting"]
+    rng = random.Random(1)
+    drawn = [[rng.choice(["gateway", "agent", "agent", "other", None]) for _ in range(rng.randint(1, 40))] for _ in range(60)]
+    drawn += [roles, [None, *roles, "other", None], ["gateway"] * 7, ["agent", "gateway"] * 5]
+    joins = spark.createDataFrame([(k, i, r) for k, room in enumerate(drawn) for i, r in enumerate(room)], "room long, i long, role string")
+    for chunk in (None, F.expr("i div 3"), F.col("i")):
+        found = matching.pair_rooms(joins, "room", "role", ["i"], chunk).orderBy("room", "i").collect()
+        assert [(r.room, r.outcome) for r in found] == [(k, x) for k, room in enumerate(drawn) for x in plain_rooms(room)]
     found = catalog.queries()["room_pairing"](spark, sf_dir).orderBy("room", "conv_id", "turn").collect()
     for room in {r.room for r in found}:
         own = [r for r in found if r.room == room]
@@ -156,7 +164,7 @@ def test_pairing(spark, sf_dir):
 def test_deframe(spark, sf_dir):
     blob = b"\0\0\0\2hi\0\0\0\1x"
     rows = spark.createDataFrame([(1, blob), (2, blob + b"\0\0"), (3, b"\0\0\0\0zz"), (4, b"\0\0\7\0"), (5, b""), (6, blob[:5]), (7, None)], "k int, blob binary")
-    found = Counter((r.k, bytes(r.body) if r.body is not None else None, r.error) for r in sources.deframe(rows, "blob").collect())
+    found = Counter((r.k, bytes(r.body) if r.body is not None else None, r.error) for r in sources.deframe(rows, "blob", "k").collect())
     want = [(1, b"hi", None), (1, b"x", None), (2, b"hi", None), (2, b"x", None), (2, None, "cut"), (3, None, "bad_length"), (4, None, "bad_length"), (6, None, "cut")]
     assert found == Counter(want)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
@@ -171,9 +179,21 @@ def test_deframe(spark, sf_dir):
     assert query.count() == want
 
 
+def lab_traffic(spark, burst=200, stream=100):
+    """Frames of one run: a discovery broadcast, a burst, a stream, and a wake frame."""
+    body = F.concat(F.unhex(F.lit("ffffffffffff0200000000010800")), wire.big_endian(F.col("id"), 4))
+    return spark.range(2 + burst + stream).select((F.col("id") + 1).alias("sequence"), body.alias("frame"))
+
+
+def test_frame_logs(spark, tmp_path):
+    frames = lab_traffic(spark).select(wire.length_prefixed(wire.encode_frame(F.lit(1), F.lit(0), F.col("sequence"), F.col("frame"), F.lit(5))).alias("x")).orderBy("sequence").collect()
+    (tmp_path / "run.bin").write_bytes(b"".join(bytes(r.x) for r in frames) + b"\0\0\0\5BADXX\0\0\0\0")
+    got = sources.read_frames(spark, str(tmp_path)).orderBy("frame_no").collect()
+    assert len(got) == 304 and [int(r.frame.sequence) for r in got[:302]] == list(range(1, 303)) and not any(r.error for r in got[:302])
+    assert [r.error for r in got[302:]] == ["TooShort", "bad_length"]
+
+
 def test_sources(spark, tmp_path):
-    assert sources.lab_traffic(spark).count() == 302
-    assert dict(sources.lab_traffic(spark).groupBy("kind").count().collect()) == {"discovery": 1, "burst": 200, "stream": 100, "wake": 1}
     defaults = {"port": 1, "name": "n", "on": True}
     assert sources.read_config(spark, str(tmp_path / "none.toml"), defaults).first().asDict() == defaults
     sources.write_config(spark.createDataFrame([{**defaults, "name": 'a"b'}]), str(tmp_path / "c.toml"))
@@ -185,6 +205,92 @@ def test_sources(spark, tmp_path):
     assert [r.text for r in logs] == ["one", "two\nlines"]
     (tmp_path / "sums").write_text("a" * 64 + "  *File.ZIP\nnot a line\n" + "B" * 64 + " other\n")
     sums = sources.read_sums(spark, str(tmp_path / "sums"))
-    assert {tuple(r) for r in sums.collect()} == {("a" * 64, "File.ZIP"), ("B" * 64, "other")}
+    assert {tuple(r) for r in sums.collect()} == {("a" * 64, "File.ZIP"), ("B" * 64, "other"), ("not", "a")}  # any line's first two words
     files = spark.createDataFrame([("file.zip", "x"), ("none", "y")], "name string, content string")
     assert {r.name: r.status for r in settings.verified(files, sums).collect()} == {"file.zip": "mismatch", "none": "no_entry"}
+    assert {r.status for r in settings.verified(files, None).collect()} == {"unchecked"}
+    good = hashlib.sha256(b"x").hexdigest()
+    twice = spark.createDataFrame([(1, good.upper(), "File.zip"), (2, "0" * 64, "file.ZIP")], "line int, sha string, file string")
+    assert {r.name: r.status for r in settings.verified(files, twice).collect()}["file.zip"] == "ok"
+    sources.write_daily_logs(spark.sql("select timestamp '2024-01-02 03:04:05' as ts, 'a line' as line union all select timestamp '2024-01-03 00:00:00', 'b'"), "ts", "line", str(tmp_path / "daily"))
+    assert {p.name for p in (tmp_path / "daily").iterdir() if p.is_dir()} == {"day=2024-01-02", "day=2024-01-03"}
+
+
+def test_numbers_that_do_not_fit(spark):
+    fits = lambda n, size: one(spark, wire.big_endian(F.lit(str(n)).cast("decimal(22,0)"), size))
+    for n, size in ((70000, 2), (-1, 2), (5 * 10**9, 4), (256, 1), (-1, 8)):
+        assert fits(n, size) is None, (n, size)
+    assert [bytes(fits(n, s)) for n, s in ((65535, 2), (0, 1), (2**32 - 1, 4), (2**64 - 1, 8))] == [b"\xff\xff", b"\0", b"\xff" * 4, b"\xff" * 8]
+    assert frame(spark, payload=b"x" * 1519) is None and len(frame(spark, payload=b"x" * 1518)) == 1542 and frame(spark, kind=300) is None
+    assert decoded(spark, None).error == "TooShort"
+    assert one(spark, wire.derive_key(F.lit("pw"), "p:")) == hashlib.sha256(b"p:pw").hexdigest()
+    long = b'MAGIC123{"type":"announce","hostname":"' + b"h" * (2 << 20) + b'"}'
+    assert len(spark.createDataFrame([(long,)], "v binary").select(wire.announcement(F.col("v"), b"MAGIC123").alias("x")).first().x.hostname) == 2 << 20
+
+
+def test_ipv6_allow_list(spark):
+    packets = spark.createDataFrame([("fe80::1",), ("2001:db8::5",), ("2001:db9::5",), ("10.1.2.3",), ("::1",), (None,)], "ip string")
+    passed = lambda *x: sorted(r.ip for r in matching.allowed(packets, "ip", spark.createDataFrame([(c,) for c in x], "cidr string"), "cidr").collect())
+    assert passed("2001:db8::/32", "10.0.0.0/8") == ["10.1.2.3", "2001:db8::5"]
+    assert passed("::/0") == ["2001:db8::5", "2001:db9::5", "::1", "fe80::1"] and passed("0.0.0.0/0") == ["10.1.2.3"]
+    assert passed("::1", "fe80::/200") == ["::1"]
+
+
+def test_settings_rules(spark):
+    cases = [("", True, False, False), ("", False, True, False), ("pw", False, False, True), (None, False, True, True), ("", True, True, True)]
+    rows = spark.createDataFrame(cases, "password string, remote boolean, before boolean, want boolean")
+    assert all(r.got == r.want for r in rows.withColumn("got", settings.crypto_after(F.col("password"), F.col("remote"), F.col("before"))).collect())
+
+
+def test_addresses_to_use(spark):
+    offers = lambda *ips, source="10.0.0.1": spark.createDataFrame([(1, ip, source) for ip in ips], "gateway int, ip string, source string")
+    local = lambda *ips: spark.createDataFrame(list(enumerate(ips)), "place int, ip string")
+    use = lambda o, l: matching.same_subnet(o, l, "place").first().address
+    assert use(offers("10.0.0.1", "192.168.1.187"), local("192.168.1.50")) == "192.168.1.187"
+    assert use(offers("127.0.0.5", "10.0.0.1"), local("127.0.0.9")) == "10.0.0.1"
+    assert use(offers("10.0.1.1", "10.0.2.2"), local("10.0.2.9", "10.0.1.9")) == "10.0.2.2"
+    assert use(offers("127.0.0.5", source="127.0.0.7"), local("10.0.0.1")) == "127.0.0.7"
+    both = matching.interfaces(spark.createDataFrame([("lo", "127.0.0.1"), ("lo", "::1"), ("lo2", "127.0.0.1"), ("a", "10.0.0.1")], "name string, ip string"), spark.createDataFrame([("lo2", "m")], "name string, mac string"))
+    assert sorted(r.name for r in both.collect()) == ["a", "lo2"]
+    pairs = matching.wildcard_pairs(spark.createDataFrame([("É",), ("ab",), (None,)], "q string"), spark.createDataFrame([("é",), ("AB",), ("",)], "a string"), "q", "a")
+    assert {tuple(r) for r in pairs.collect()} == {("ab", "AB"), ("É", ""), ("ab", "")}
+
+
+def test_texts_and_codes(spark):
+    assert over(spark, net.pair_code_in, ['x = 1\n pair_code = "AB-12"\npair_code = "Z"', "pair_code =\npair_code = q", "none", None]) == ["AB-12", "q", None, None]
+    assert over(spark, lambda v: net.pair_code_or(v, F.lit("GEN")), [" ab c", "  ", None]) == ["ABC", "GEN", "GEN"]
+    assert one(spark, net.interface_score(F.lit("x"), F.lit("other virtual nic"), F.lit(True), F.lit(False), virtual_words=("other virtual",))) == -1000
+    line = lambda *x: one(spark, safety.laptop_line(F.lit(x[0]).cast("string"), *map(F.lit, x[1:])))
+    assert [line(None, False, False, False, False), line(None, True, False, False, False), line("Connected", True, True, True, False), line("Connected", True, True, True, True), line("Reconnecting", True, True, True, True), line("Stopped", True, False, True, True)] == ["searching", "dialing", "waiting_for_wake", "ready", "reconnecting", "waiting_for_desktop"]
+    assert [one(spark, safety.slow_way_out(F.lit(True), F.lit(a), F.lit(b))) for a, b in ((41.0, 20.0), (41.0, 20.5), (40.0, 1.0), (90.0, 0.0))] == [True, False, False, False]
+
+
+def test_snapshots_restart_loss(spark):
+    """1, 4, snapshot, 5, 6, snapshot: loss in the first window only; and a new epoch forgets its window's loss."""
+    rows = [(1, 1, 1, False, 0), (1, 2, 4, False, 0), (1, 3, None, True, 0), (1, 4, 5, False, 0), (1, 5, 6, False, 0), (1, 6, None, True, 0), (2, 1, 1, False, 0), (2, 2, 4, False, 0), (2, 3, 9, False, 1), (2, 4, 11, False, 1), (2, 5, None, True, 1)]
+    table = spark.createDataFrame(rows, "k int, i int, seq long, snap boolean, epoch int").withColumn("ts", F.timestamp_seconds("i"))
+    found = telemetry.snapshot_windows(table, ["k"], ["i"], "ts", F.col("snap"), "seq", F.lit(10), "epoch").orderBy("k", "window").collect()
+    assert [(r.k, r.window, r.rx_packets, r.lost, r.seconds) for r in found] == [(1, 0, 2, 2, 2.0), (1, 1, 2, 0, 3.0), (2, 0, 4, 1, 4.0)]
+    assert found[0].loss_rate == 0.5 and found[1].loss_rate == 0.0
+
+
+@pytest.mark.parametrize("step", [1, 3, 1000])
+def test_epochs_by_parts(spark, step):
+    rng = random.Random(step)
+    rows = [(k, i, rng.choice("aaab"), rng.randrange(300) if rng.random() < 0.1 else i * 2) for k in range(6) for i in range(60)]
+    want = []
+    for key in range(6):
+        gaps = tail = epochs = 0
+        before = None
+        for _, _, peer, seq in (r for r in rows if r[0] == key):
+            if before and before[0] == peer:
+                gap = seq - before[1] - 1
+                gap = gap if 1 <= gap <= 64 else 0
+                gaps, tail = gaps + gap, tail + gap
+            else:
+                epochs, tail = epochs + 1, 0
+            before = (peer, seq)
+        want.append((key, epochs, gaps, tail))
+    table = spark.createDataFrame(rows, "k int, i int, peer string, seq long")
+    found = telemetry.epoch_loss(table, ["k"], ["i"], "peer", "seq", F.expr(f"i div {step}")).orderBy("k").collect()
+    assert [(r.k, r.epochs, r.seq_gaps, r.window_loss) for r in found] == want

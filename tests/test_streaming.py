@@ -54,3 +54,29 @@ def test_pairing(spark, files, tmp_path):
     out = run(streams.pair_rooms(joins(streams.read_events(spark, files, batch.schema)), "room", "role", "event_id"), "append", tmp_path, "rooms_out")
     want = matching.pair_rooms(joins(batch), "room", "role", ["event_id"])
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in want.collect()}
+
+
+@pytest.mark.parametrize(("role", "peer"), [("agent", ("10.0.0.0", 47901)), ("gateway", ("10.0.0.0", 47901)), ("gateway", None), ("agent", None)])
+def test_admission(spark, files, tmp_path, role, peer):
+    """The stream's fold, row by row, against the batch operator's windows."""
+    packets = lambda df: df.select("user_id", "event_id", F.concat(F.lit("10.0.0."), F.col("event_id") % 3).alias("ip"), (F.expr("event_id div 3 % 3") + 47900).cast("int").alias("port"))
+    batch = spark.read.parquet(files)
+    stream = packets(streams.read_events(spark, files, batch.schema))
+    out = run(streams.admitted(stream, "user_id", "event_id", "ip", "port", role, peer), "append", tmp_path, f"admitted_{role}_{bool(peer)}")
+    want = telemetry.admitted(packets(batch), ["user_id"], ["event_id"], "ip", "port", role, peer).select("user_id", "event_id", "outcome", "epoch")
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in want.collect()}
+    assert len({r.outcome for r in want.select("outcome").distinct().collect()}) >= 3
+
+
+@pytest.mark.parametrize("role", ["gateway", "agent"])
+def test_connection(spark, files, tmp_path, role):
+    kinds = F.array(*map(F.lit, ["ethernet", "keepalive", "hello", "status", "goodbye", "timeout", "ack", "safety_probe", "status"]))
+    n = F.col("event_id")
+    frames = lambda df: df.select(
+        "user_id", "event_id", F.element_at(kinds, (F.expr("(event_id * 7 + event_id div 5) % 9") + 1).cast("int")).alias("kind"), (n % 2 == 0).alias("is_reply"), (n % 5).cast("double").alias("rtt"),
+        (n % 3 > 0).alias("vehicle_link"), (n % 4 == 0).alias("vehicle_awake"), (n % 6).cast("double").alias("peer_rtt"),
+    )
+    batch = spark.read.parquet(files)
+    out = run(streams.connection_states(frames(streams.read_events(spark, files, batch.schema)), "user_id", "event_id", role), "append", tmp_path, f"connection_{role}")
+    want = telemetry.connection_states(frames(batch), ["user_id"], ["event_id"], role).select(*out.columns)
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in want.collect()}
