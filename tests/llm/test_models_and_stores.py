@@ -1,17 +1,23 @@
 """Language, toxicity, search, archives and the pipeline against brute force, planted cases and round trips."""
 
+import base64
+import hashlib
 import os
 import random
+import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow.fs
 import pytest
 
 import corpus_pipeline
-from linkspan.llm import langid, toxicity, topk, warc
-from linkspan.llm.common import cut, held_out, shared_dir
+from linkspan.llm import bpe, langid, pii, quality, queries, topk, toxicity, warc
+from linkspan.llm.common import cut, discard, held_out, shared_dir, tokenizer_file
 from linkspan.llm.graph import components
+from linkspan.llm.oracles import ORACLES
+from tests.llm.test_text_operators import WORD, check_places, plain_base, plain_components, plain_fingerprint
 
 
 def made_up(rng, syllables, n):
@@ -173,33 +179,117 @@ def test_components(spark):
 
 def test_shared_folder_is_the_clusters(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
-    cut(spark.range(3), "x")
-    assert any(x.startswith("x-") for x in os.listdir(f"{shared_dir(spark).removeprefix('file://')}/linkspan"))
+    table = cut(spark.range(3), "x")
+    there = lambda: [x for x in os.listdir(f"{shared_dir(spark).removeprefix('file://')}/linkspan") if x.startswith("x-")]
+    assert there()
+    discard(table, table)
+    assert not there()
+
+
+def plain_sets(text):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()
+
+
+def plain_one_of_each(rows):
+    """Of rows (id, text), one of each group that links of Jaccard 0.8 connect, by all pairs."""
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = [(i, plain_sets(t)) for i, t in rows]
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {find(i) for i, _ in rows}
 
 
 def test_pipeline(spark, sf_dir):
-    """Each stage's decisions hold; the last stage packs exactly what is left."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sizes = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, docs = docs, stage(spark, docs, sf_dir)
-        docs = cut(docs, name)
-        assert docs.columns == before.columns
-        sizes.append(docs.count())
-        assert docs.select("doc_id").subtract(before.select("doc_id")).count() == 0
-        if name == "quality_rules":
-            from linkspan.llm import quality
-
-            assert sizes[-1] == quality.rules(before).where("kept").count()
-        if name == "simhash_near_dedup":
-            from linkspan.llm import simhash
-
-            groups = simhash.near_duplicates(before)
-            assert sizes[-1] == groups.select("component_id").distinct().count()
-    assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] == sizes[4] > 0
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
-    assert packed.where("piece = 0").count() == sizes[4]
-    assert corpus_pipeline.run(spark, sf_dir).where("piece = 0").count() == sizes[4]
+    """run() against plain Python: rules by DuckDB, all pairs, plain redaction and the tokenizer's library; models decide as they score."""
+    tokenizers = pytest.importorskip("tokenizers")
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    toxic = toxicity.score(table, toxicity.train(table, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    clean = {r.doc_id for r in toxic.where("predicted = 0").collect()}
+    rows = [(r.doc_id, r.text) for r in table.collect() if r.doc_id in clean]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    kept = {r[0] for r in con.sql(f"SELECT doc_id FROM ({ORACLES['op6_quality']}) WHERE kept").fetchall()}
+    rows = [(i, quality.judge(t)[1]) for i, t in rows if i in kept]
+    ones = plain_one_of_each(rows)
+    rows = [(i, t) for i, t in rows if i in ones]
+    model = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    library = tokenizers.Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    want = []
+    for i, text in rows:
+        base, _, wide = pii.candidates(text)
+        spans, out, end = pii.ordered([*base, *(s for s, _ in model.added(text, wide))]), "", 0
+        for kind, a, b in spans:
+            if a >= end:
+                out += text[end:a] + f"[{kind.upper()}]"
+            end = max(end, b)
+        ids = [*library.encode(out + text[end:], add_special_tokens=False).ids, 1]
+        want += [(i, k, a, len(ids[a : a + 4096]), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
+    found = corpus_pipeline.run(spark, sf_dir).collect()
+    assert Counter(tuple(r)[:5] for r in found) == Counter(want)
+    assert len(clean) < table.count() and len(ones) < len(kept) < len(clean)
+    bins = Counter()
+    for r in found:
+        bins[r.sequence_id] += r.length
+    assert max(bins.values()) <= 4096 and len(bins) == -(-sum(bins.values()) // 4096)
+
+
+@pytest.fixture(scope="session")
+def larger_dir(sf_dir):
+    at = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.01")
+    return at if os.path.isdir(at) else sf_dir
+
+
+def test_registered_models_on_held_out_documents(spark, larger_dir):
+    """Accuracy of op2 and op3, as registered, on rows that they do not learn from."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{larger_dir}/documents.parquet").collect()}
+    langs = [r for r in queries.queries()["op2_langid"](spark, larger_dir).collect()]
+    assert len(langs) == len(docs) and all(r.held_out == held_out(r.doc_id) for r in langs)
+    judged = [r.lang_pred == docs[r.doc_id].lang for r in langs if r.held_out and docs[r.doc_id].lang and langid.has_letter(docs[r.doc_id].text or "")]
+    assert len(judged) > 50 and np.mean(judged) > 0.95
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{larger_dir}/labels.parquet").collect() if r.toxic is not None}
+    scored = [r for r in queries.queries()["op3_toxicity"](spark, larger_dir).collect()]
+    assert len(scored) == len(docs)
+    held = [(r.predicted, labels[r.doc_id]) for r in scored if r.held_out and r.doc_id in labels]
+    assert np.mean([p == t for p, t in held]) > 0.93
+    assert not [1 for p, t in held if p and not t][3:]
+
+
+def test_registered_texts_on_documents(spark, sf_dir):
+    """op1, op4, op5, op7 and op8, as registered, against plain versions and the libraries."""
+    sentencepiece, tiktoken, tokenizers = (pytest.importorskip(x) for x in ("sentencepiece", "tiktoken", "tokenizers"))
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    found = queries.queries()
+    pairs = [(i, plain_fingerprint(t)) for i, t in rows]
+    reached = plain_components(pairs)
+    assert {tuple(r)[:3] for r in found["op1_simhash"](spark, sf_dir).collect()} == {(i, f"{f:016x}", reached[f]) for i, f in pairs}
+    spans = {r.doc_id: r for r in found["op4_pii"](spark, sf_dir).collect()}
+    for i, t in rows:
+        base = plain_base(t)
+        assert spans[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [spans[i][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(filter(None, spans[i].spans.split(",")))
+    library = tokenizers.Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    packed = found["op5_packing"](spark, sf_dir).collect()
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in packed) == Counter((i, k, zlib.crc32(np.array(x[a : a + 4096], "<u4").tobytes())) for i, x in ids.items() for k, a in enumerate(range(0, len(x), 4096)))
+    assert len(check_places(packed, 4096)) == -(-sum(map(len, ids.values())) // 4096)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokenizer_file(bpe.RANKS), "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coded = {i: np.array(coder.encode_ordinary(t or ""), "<u4").tobytes() for i, t in rows}
+    assert {(r.doc_id, r.n_tokens, r.ids_sha256) for r in found["op7_bpe"](spark, sf_dir).collect()} == {(i, len(x) // 4, hashlib.sha256(x).hexdigest()) for i, x in coded.items()}
+    pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    assert {(r.doc_id, r.n_tokens) for r in found["op8_token_count"](spark, sf_dir).collect()} == {(i, len(pieces.encode(t or ""))) for i, t in rows}
 
 
 @pytest.mark.parametrize("name", [s[0] for s in corpus_pipeline.STAGES])
