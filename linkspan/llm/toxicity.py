@@ -5,35 +5,35 @@ its stem's estimate (first 7, then 5, then 4 characters, then the base rate), so
 forms of a known stem count; weights are lowered by some standard errors, and a drift makes
 the expected score of clean text negative. One linear scan finds every maximal segment.
 Segment scores are turned into expected counts by the extreme-value law of such scores
-(lambda and K from clean rows), the significant ones are added up, and a logistic curve,
-fitted on rows that the weights were not learned from, makes a probability of the sum.
+(lambda and K from clean rows), the significant ones are added up, and a logistic curve
+makes a probability of the sum. Drift, lambda, K and curve are fitted on rows that the weights
+were not learned from, with the weights that are used later.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import Memo, bounded_sample, bucket3, held_out, over_batches
+from linkspan.llm.common import Memo, bounded_sample, bucket3, cut, discard, held_out, over_batches, slices
 
 #: About so many labelled rows are learned from, chosen by a hash of doc_id.
 TRAIN_ROWS = 20_000
-#: At most so many tokens and stems, those in most toxic rows, have a weight of their own.
-MODEL_TOKENS = 200_000
 THRESHOLD = 0.7
 STEMS = (4, 5, 7)
 PRIOR = 5.0
 STANDARD_ERRORS = 3.0
 #: Weights below this count as none.
 LEAST_WEIGHT = 0.5
-LEAST_DRIFT = 0.05
+#: A token's score is its weight less the drift: so many times the mean weight in clean rows, and this much at least.
+DRIFT_FACTOR, LEAST_DRIFT = 2.0, 0.05
 #: A segment counts if fewer than this many of its score are expected by chance in the text.
 E_VALUE = 0.05
 _SPLIT = bytes(b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256))
@@ -93,13 +93,13 @@ class Model:
         odds = math.log(rate / (1 - rate)) - math.log(self.base / (1 - self.base)) - STANDARD_ERRORS * error
         return odds if odds >= LEAST_WEIGHT else 0.0
 
-    def scan(self, text: str | None, weight: Memo) -> tuple[int, list[tuple[int, int, float]], list[float]]:
-        """Number of tokens, maximal segments, and the positive weights."""
+    def scan(self, text: str | None, weight: Memo) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of tokens, and maximal segments."""
         words = tokens(text)
         found = np.fromiter(map(weight.__getitem__, words), np.float64, len(words))
         places = np.flatnonzero(found > self.drift)
         weights = (found[places] - self.drift).tolist()
-        return len(words), maximal_segments(places.tolist(), weights, self.drift), weights
+        return len(words), maximal_segments(places.tolist(), weights, self.drift)
 
     def significant(self, n: int, segments: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
         """The segments with few enough expected by chance; their score is then ``-ln`` of that number."""
@@ -111,20 +111,21 @@ class Model:
         return 1 / (1 + math.exp(-max(min(x, 500), -500)))
 
 
-def _fit_scores(model: Model, rows: list[tuple[int, int, list[float], list[float]]]) -> None:
-    """Set drift-dependent lambda and K from clean rows: (label, tokens, positive weights, segment scores)."""
-    clean = [r for r in rows if not r[0]]
-    n = sum(r[1] for r in clean)
-    ups = np.array([w for r in clean for w in r[2]] + [max([1.0, *(w for r in rows for w in r[2])])])
-    excess = lambda lam: float(np.exp(np.minimum(lam * ups, 600)).sum() + (max(n, 1) - len(ups) + 1) * math.exp(-lam * model.drift)) / (max(n, 1) + 1) - 1
-    low, high = 1e-4, 50.0
+def fit_drift(n: int, weights: np.ndarray, counts: np.ndarray) -> float:
+    """The drift from the positive weights in clean rows of ``n`` tokens: the expected score becomes negative."""
+    return max(LEAST_DRIFT, DRIFT_FACTOR * float(weights @ counts) / max(n, 1))
+
+
+def fit_lambda(n: int, weights: np.ndarray, counts: np.ndarray, most: float, drift: float) -> float:
+    """The root of E exp(lambda * score) = 1 over the tokens of clean rows and one more of the weight ``most``."""
+    ups, times = np.append(np.maximum(weights, drift), max(most, 2 * drift)) - drift, np.append(counts, 1)
+    rest = max(n - counts.sum(), 0)
+    low, high = 0.0, 50.0
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if excess(mid) < 0 else (low, mid)
-    model.lam = low
-    tops = [model.lam * max(r[3]) - math.log(r[1]) for r in clean if r[3]]
-    # rows without a positive token have no maximum; K is scaled by the share that has one
-    model.k = math.exp(float(np.mean(tops)) - 0.5772) * len(tops) / max(len(clean), 1) if tops else 1 / max(n, 1)
+        mean = (times @ np.exp(np.minimum(mid * ups, 600)) + rest * math.exp(-mid * drift)) / (times.sum() + rest)
+        low, high = (mid, high) if mean < 1 else (low, mid)
+    return max(low, 1e-4)
 
 
 def _fit_curve(xs: np.ndarray, ys: np.ndarray) -> tuple[float, float]:
@@ -149,58 +150,87 @@ def _fit_curve(xs: np.ndarray, ys: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Model:
     """Learn from ``labels.toxic`` of about ``bound`` rows that are not held out.
 
-    Lambda, K and the curve are fitted on a third of them, with token counts of the others;
-    then the counts of all are taken. Each text counts once. Null labels or texts teach nothing; without both classes the defaults remain.
+    Weights come from three quarters of them; drift, lambda, K and the curve are fitted on the
+    rest. Each text counts once, as toxic if any of its rows is. Null labels, ids or texts teach
+    nothing; without both classes the defaults remain. The driver gets the counts of tokens in
+    the bounded sample, a histogram of weights, and four numbers for each fitting row.
     """
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (bucket3(F.col("doc_id")) != 1))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = bounded_sample(marked, bound)
-    sample = docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id")
-    sample = sample.dropDuplicates(["text"]).select("text", "toxic", (F.pmod(F.xxhash64("text"), F.lit(3)) == 0).alias("fitting"))
+    chosen = bounded_sample(marked, bound, text=None)
+    known = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    drawn = cut(known.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "toxicity-sample")
+    sample = bounded_sample(drawn, bound).select("text", "toxic", (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("fitting"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: tuple[Counter, ...] = (Counter(), Counter(), Counter(), Counter())
-        for text, toxic, fitting in zip(*(c.to_pylist() for c in batch.columns)):
-            seen[2 * fitting + (toxic > 0)].update({(0, t) for t in tokens(text)})
+        seen: tuple[Counter, ...] = (Counter(), Counter())
+        for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+            seen[toxic > 0].update({(0, t) for t in tokens(text)})
         for side in seen:
             for (_, token), n in list(side.items()):
                 for stem in stems(token):
                     side[stem] += n
         keys = list(set().union(*seen))
         values = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.binary()), *(pa.array([side[k] for k in keys], pa.int64()) for side in seen)]
-        return pa.RecordBatch.from_arrays(values, names=["level", "token", "clean_a", "toxic_a", "clean_b", "toxic_b"])
-
-    sides = ["clean_a", "toxic_a", "clean_b", "toxic_b"]
-    counts = over_batches(sample, count, "level int, token binary, clean_a long, toxic_a long, clean_b long, toxic_b long").groupBy("level", "token").agg(*(F.sum(x).alias(x) for x in sides))
-    most = counts.where("toxic_a + toxic_b > 1").orderBy(F.desc(F.expr("toxic_a + toxic_b")), "level", "token").limit(MODEL_TOKENS).toPandas()
-
-    def learned(toxic: pd.Series, clean: pd.Series) -> Model:
-        whole = most["level"] == 0
-        base = float(toxic[whole].sum() / max((toxic + clean)[whole].sum(), 1))
-        return Model(min(max(base, 1e-3), 0.5), {(int(a), bytes(b)): (float(c), float(d)) for a, b, c, d in zip(most["level"], most["token"], toxic, clean)})
+        return pa.RecordBatch.from_arrays(values, names=["level", "token", "clean", "toxic"])
+
+    counted = over_batches(sample.where("not fitting").select("text", "toxic"), count, "level int, token binary, clean long, toxic long")
+    # a token of one toxic row has no positive weight
+    most = counted.groupBy("level", "token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > 1").collect()
+    whole = [r for r in most if not r.level]
+    base = sum(r.toxic for r in whole) / max(sum(r.toxic + r.clean for r in whole), 1)
+    model = Model(min(max(base, 1e-3), 0.5), {(r.level, bytes(r.token)): (float(r.toxic), float(r.clean)) for r in most})
+    if most:
+        _fit(model, sample.where("fitting").select("text", "toxic"))
+    discard(drawn)
+    return model if most else Model()
+
+
+def _fit(model: Model, rows: DataFrame) -> None:
+    """Set drift, lambda, K and the curve from rows (text, toxic)."""
+    context = rows.sparkSession.sparkContext
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, seen = Memo(shared.value.weight), Counter()
+        for batch in slices(batches):
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+                found = [memo[t] for t in tokens(text)]
+                seen.update((int(toxic > 0), round(1000 * w)) for w in found if w)
+                seen[int(toxic > 0), 0] += len(found)  # at 0: all tokens
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], names=["y", "weight", "n"])
+
+    shared = context.broadcast(model)
+    found = rows.mapInArrow(weights, "y int, weight long, n long").groupBy("y", "weight").agg(F.sum("n").alias("n")).collect()
+    if {r.y for r in found} != {0, 1}:
+        return
+    clean = [(r.weight / 1000, r.n) for r in found if not r.y and r.weight]
+    ups, counts = np.array([c[0] for c in clean]), np.array([c[1] for c in clean], float)
+    n = next(r.n for r in found if not r.y and not r.weight)
+    model.drift = fit_drift(n, ups, counts)
+    model.lam = fit_lambda(n, ups, counts, max(r.weight for r in found) / 1000, model.drift)
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(shared.value.weight)
+        for batch in slices(batches):
+            scanned = [shared.value.scan(x, memo) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in scanned], pa.int64()), pa.array([max((s for *_, s in x), default=0.0) for _, x in scanned], pa.float64())], names=["n", "top"])
+
+    shared = context.broadcast(model)
+    best = [r for r in rows.where("toxic = 0").mapInArrow(tops, "n long, top double").collect() if r.n]
+    extreme = [model.lam * r.top - math.log(r.n) for r in best if r.top > 0]
+    # rows without a positive token have no maximum; K is scaled by the share that has one
+    model.k = math.exp(float(np.mean(extreme)) - 0.5772) * len(extreme) / len(best) if extreme else 1 / max(n, 1)
 
-    if not len(most):
-        return Model()
-    model = learned(most["toxic_a"], most["clean_a"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(shared.value.weight)
+        for batch in slices(batches):
+            found = [sum(s for *_, s in shared.value.significant(*shared.value.scan(x, memo))) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.float64())], names=["y", "x"])
 
-    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        memo, out = Memo(shared.value.weight), []
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            n, segments, ups = shared.value.scan(text, memo)
-            out.append((int(toxic > 0), n, ups, [s for _, _, s in segments]))
-        cols = list(zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], names=["y", "n", "ups", "segs"])
-
-    rows = [(r.y, r.n, list(r.ups), list(r.segs)) for r in over_batches(sample.where("fitting").select("text", "toxic"), measure, "y int, n long, ups array<double>, segs array<double>").collect() if r.n]
-    if len({r[0] for r in rows}) == 2:
-        _fit_scores(model, rows)
-        sums = [sum(s for _, _, s in model.significant(r[1], [(0, 0, s) for s in r[3]])) for r in rows]
-        model.curve = _fit_curve(np.log1p(np.array(sums)), np.array([r[0] for r in rows], float))
-    # the curve is known, so all rows may count
-    final = learned(most["toxic_a"] + most["toxic_b"], most["clean_a"] + most["clean_b"])
-    final.lam, final.k, final.curve = model.lam, model.k, model.curve
-    return final
+    shared = context.broadcast(model)
+    pairs = rows.mapInArrow(sums, "y int, x double").collect()
+    model.curve = _fit_curve(np.log1p(np.array([r.x for r in pairs])), np.array([float(r.y > 0) for r in pairs]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -213,30 +243,31 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     segment = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, memo, scores, passages = shared.value, Memo(shared.value.weight), [], []
-        for text in batch.column(1).to_pylist():
-            n, segments, _ = m.scan(text, memo)
-            good = m.significant(n, segments)
-            scores.append(m.probability(good))
-            passages.append([{"first": a, "last": b, "score": s} for a, b, s in good])
-        values = [batch.column(0), pa.array(map(held_out, batch.column(0).to_pylist()), pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(passages, segment)]
-        return pa.RecordBatch.from_arrays(values, names=["doc_id", "held_out", "score", "predicted", "passages"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, memo = shared.value, Memo(shared.value.weight)
+        for batch in slices(batches):
+            found = [m.significant(*m.scan(text, memo)) for text in batch.column(1).to_pylist()]
+            scores = list(map(m.probability, found))
+            passages = [[{"first": a, "last": b, "score": s} for a, b, s in x] for x in found]
+            values = [batch.column(0), pa.array(map(held_out, batch.column(0).to_pylist()), pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(passages, segment)]
+            yield pa.RecordBatch.from_arrays(values, names=["doc_id", "held_out", "score", "predicted", "passages"])
 
-    return over_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, held_out boolean, score double, predicted int, passages array<struct<first: int, last: int, score: double>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, passages array<struct<first: int, last: int, score: double>>")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not predicted toxic; null texts stay."""
+    """The rows of ``docs``, all columns, that are not predicted toxic.
+
+    Null and empty texts stay. Repeated rows stay or go together; an empty table gives an
+    empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = shared.value, Memo(shared.value.weight)
-        keep = []
-        for text in batch.column(at).to_pylist():
-            n, segments, _ = m.scan(text, memo)
-            keep.append(m.probability(m.significant(n, segments)) < THRESHOLD)
-        return batch.filter(pa.array(keep, pa.bool_()))
+        for batch in slices(batches):
+            keep = [m.probability(m.significant(*m.scan(text, memo))) < THRESHOLD for text in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return over_batches(docs, run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
