@@ -107,7 +107,8 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 def rules(docs: DataFrame) -> DataFrame:
     """The base counts and verdicts of every row, from its whole text (see ``judge``).
 
-    Repeated rows are each judged; columns beyond doc_id and text are ignored.
+    A null text counts as empty. Repeated rows are each judged; columns beyond doc_id and text
+    are ignored; an empty table gives an empty result.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -120,7 +121,11 @@ def rules(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The rows, all columns, that the rules keep, with failed lines removed from ``text``."""
+    """The rows, all columns, that the rules keep, with failed lines removed from ``text``.
+
+    A null or wordless text is not kept; repeated rows are each judged. An empty table gives an
+    empty result.
+    """
     at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
