@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that it can express."""
 
-from linkspan.llm import quality
+from linkspan.llm import quality, variants
 
 _WORD = r"[^\x20\x09-\x0D]+"
 #: What str.split() leaves whole.
@@ -74,4 +74,38 @@ ORACLES = {
             CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
         FROM f
     """,
+    # crc32 by a table of 256 remainders; letters up to U+00FF are one or two bytes of UTF-8
+    "op12_variants": rf"""
+        WITH RECURSIVE t AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+        ), runs AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+        ), lowered AS (
+            SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs WHERE length(run) >= {variants.MIN_LENGTH} GROUP BY ALL
+        ), bytes AS (
+            SELECT run, n, flatten(list_transform(string_split(concat(id, ':', run), ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS b FROM lowered
+        ), hashed AS (
+            SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, tab[CAST(xor(c & 255, x) + 1 AS BIGINT)])), 4294967295) AS h FROM bytes, t
+        ), printed AS (
+            SELECT n, CASE WHEN h % {variants.MISPRINT} = 0 THEN concat(substr(run, 1, CAST(h % length(run) AS BIGINT)), substr(run, CAST(h % length(run) + 2 AS BIGINT))) ELSE run END AS word FROM hashed
+        ), v AS (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM printed WHERE length(word) >= {variants.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {variants.MIN_COUNT}
+        ), cut AS (
+            SELECT word, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)
+        ), near AS (
+            SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT c.word, v.word FROM cut c JOIN v ON c.rest = v.word
+            UNION SELECT v.word, c.word FROM cut c JOIN v ON c.rest = v.word
+        ), best AS (
+            SELECT a AS word, count(*) AS n_near, min({{'less': -v.n, 'word': encode(b)}}) AS near FROM near JOIN v ON v.word = b GROUP BY a
+        ), formed AS (
+            SELECT v.word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN -near.less >= {variants.FORM_FACTOR} * v.n THEN decode(near.word) END AS form,
+                CASE WHEN -near.less >= {variants.FORM_FACTOR} * v.n THEN CAST(-near.less AS BIGINT) END AS form_n FROM v LEFT JOIN best USING (word)
+        ), chain AS (
+            SELECT word, form, coalesce(form, word) AS root FROM formed UNION SELECT chain.word, chain.form, formed.form FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NOT NULL
+        ), last AS (
+            SELECT chain.word, chain.root FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NULL
+        )
+        SELECT word, form, root, n, n_near, form_n FROM formed JOIN last USING (word)
+    """,
 }

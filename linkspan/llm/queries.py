@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkspan.llm import align, bpe, langid, packing, pii, quality, simhash, token_count, topk, toxicity, warc
+from linkspan.llm import align, bpe, langid, packing, pii, quality, simhash, token_count, topk, toxicity, variants, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,13 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.digest_rows(_table(spark, sf_dir, "documents"))
 
 
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their most frequent spelling."""
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_langid, op3_toxicity, op4_pii, op5_packing, op6_quality, op7_bpe, op8_token_count, op9_topk, op10_warc, op11_align)
+    found = (op1_simhash, op2_langid, op3_toxicity, op4_pii, op5_packing, op6_quality, op7_bpe, op8_token_count, op9_topk, op10_warc, op11_align, op12_variants)
     return {f.__name__: f for f in found}
 
 
