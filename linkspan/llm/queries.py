@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkspan.llm import align, bpe, langid, packing, pii, quality, simhash, token_count, topk, toxicity, variants, warc
+from linkspan.llm import align, bpe, langid, packing, pii, quality, simhash, spotsigs, token_count, topk, toxicity, variants, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +76,13 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot-signature fingerprints of every document and its edited text."""
+    return spotsigs.digest_rows(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_langid, op3_toxicity, op4_pii, op5_packing, op6_quality, op7_bpe, op8_token_count, op9_topk, op10_warc, op11_align, op12_variants)
+    found = (op1_simhash, op2_langid, op3_toxicity, op4_pii, op5_packing, op6_quality, op7_bpe, op8_token_count, op9_topk, op10_warc, op11_align, op12_variants, op13_fingerprint)
     return {f.__name__: f for f in found}
 
 
