@@ -23,7 +23,6 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,25 +36,20 @@ BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text of a block, beyond one text.
 BLOCK_BYTES = 2 << 20
 #: A worker forgets its segments when they hold about so many bytes.
-SEGMENT_BYTES = 64 << 20
+SEGMENT_BYTES = 80 << 20
 #: Segments of about so many bytes are encoded at once.
 ENCODE_BYTES = 1 << 16
+#: The distinct ids of a group with more links are paired, not its tokens.
+MOST_LINKS = 1024
 SPACE = "▁"
 #: Stands before what is encoded as pieces, so that no space is added to it.
 LEAD = "."
 
 
-class Segment(NamedTuple):
-    """What a segment adds to its text: whether both tokenizers give its bytes back, numbers of tokens, groups and links, groups as text, pairs and their links."""
-
-    same: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    shown: str
-    pairs: bytes
-    links: bytes
+#: What a segment adds to its text: whether both tokenizers give its bytes back, the numbers of tokens of A and B, of groups
+#: and links, the groups as text, pairs, and how many links each stands for (nothing: one each).
+Segment = tuple[bool, int, int, int, int, str, bytes, bytes]
+NOTHING: Segment = (False, 0, 0, 0, 0, "", b"", b"")
 
 
 def overlapped(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,45 +149,62 @@ class Aligner:
                 self.align(segments[:half])
                 self.align(segments[half:])
             else:
-                self.keep(segments[0], Segment(False, 0, 0, 0, 0, "", b"", b""))
+                self.keep(segments[0], NOTHING)
             return
         ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
         of_a, of_b = group_numbers(ends_a, ends_b)
         ends = np.cumsum(list(map(len, raw)))
-        at_a, at_b = np.searchsorted(ends_a, ends) + 1, np.searchsorted(ends_b, ends) + 1  # tokens up to each segment's end
-        from_a, from_b = 0, 0
-        groups_a, groups_b = of_a.tolist(), of_b.tolist()
-        for x, to_a, to_b in zip(segments, at_a.tolist(), at_b.tolist()):
-            self.keep(x, self.segment(a[from_a:to_a], b[from_b:to_b], groups_a[from_a:to_a], groups_b[from_b:to_b]))
-            from_a, from_b = to_a, to_b
-
-    def segment(self, a: list[int], b: list[int], of_a: list[int], of_b: list[int]) -> Segment:
-        shown, links = [], Counter()
-        i = j = total = 0
-        while i < len(a):
-            to_i, to_j, group = i + 1, j + 1, of_a[i]
-            while to_i < len(a) and of_a[to_i] == group:
-                to_i += 1
-            while to_j < len(b) and of_b[to_j] == group:
-                to_j += 1
-            if to_i - i == 1 == to_j - j:
-                shown.append(f"{a[i]}|{b[j]}")
-                links[a[i] * self.base + b[j]] += 1
-            else:
-                shown.append(f"{','.join(map(str, a[i:to_i]))}|{','.join(map(str, b[j:to_j]))}")
-                counts_b = Counter(b[j:to_j])
-                for x, n in Counter(a[i:to_i]).items():
-                    for y, m in counts_b.items():
-                        links[x * self.base + y] += n * m
-            total += (to_i - i) * (to_j - j)
-            i, j = to_i, to_j
-        pairs, counts = np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links))
-        return Segment(True, len(a), len(b), len(shown), total, ";".join(shown), pairs.tobytes(), counts.tobytes())
+        # tokens and groups up to each segment's end
+        at_a, at_b = np.searchsorted(ends_a, ends) + 1, np.searchsorted(ends_b, ends) + 1
+        at_g = of_a[at_a - 1] + 1
+        n_a, n_b = np.bincount(of_a), np.bincount(of_b)
+        shown, n_links = self.shown(a, b, n_a, n_b), np.cumsum(n_a * n_b)
+        few = n_a * n_b <= MOST_LINKS
+        pairs = self.pairs(np.array(a), np.array(b), n_a, n_b, few)
+        at_pairs, wide = np.cumsum(np.where(few, n_a * n_b, 0)), np.concatenate(([0], np.cumsum(~few)))
+        before = (0, 0, 0, 0, 0)
+        for x, i, j, g, total, p in zip(segments, at_a.tolist(), at_b.tolist(), at_g.tolist(), n_links[at_g - 1].tolist(), at_pairs[at_g - 1].tolist()):
+            i0, j0, g0, total0, p0 = before
+            found, links = pairs[8 * p0 : 8 * p], b""
+            if wide[g] > wide[g0]:
+                found, links = self.counted(a[i0:i], b[j0:j], n_a[g0:g].tolist(), n_b[g0:g].tolist())
+            self.keep(x, (True, i - i0, j - j0, g - g0, total - total0, ";".join(shown[g0:g]), found, links))
+            before = i, j, g, total, p
+
+    @staticmethod
+    def shown(a: list[int], b: list[int], n_a: np.ndarray, n_b: np.ndarray) -> list[str]:
+        """Each group as text, from the tokens and how many of them a group has."""
+        to_a, to_b = np.cumsum(n_a), np.cumsum(n_b)
+        from_a, from_b = (to_a - n_a).tolist(), (to_b - n_b).tolist()
+        out = [f"{a[i]}|{b[j]}" for i, j in zip(from_a, from_b)]
+        for g in np.flatnonzero((n_a > 1) | (n_b > 1)).tolist():
+            out[g] = f"{','.join(map(str, a[from_a[g] : to_a[g]]))}|{','.join(map(str, b[from_b[g] : to_b[g]]))}"
+        return out
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, few: np.ndarray) -> bytes:
+        """The pairs of all links of groups with few of them."""
+        n = np.where(few, n_a * n_b, 0)
+        group = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
+        i, j = np.cumsum(n_a)[group] - n_a[group] + place // n_b[group], np.cumsum(n_b)[group] - n_b[group] + place % n_b[group]
+        return (a[i] * self.base + b[j]).astype(np.int64).tobytes()
+
+    def counted(self, a: list[int], b: list[int], n_a: list[int], n_b: list[int]) -> tuple[bytes, bytes]:
+        """The distinct pairs of a segment's groups and how many links each stands for."""
+        links: Counter = Counter()
+        i = j = 0
+        for k, m in zip(n_a, n_b):
+            counts_b = Counter(b[j : j + m])
+            for x, n in Counter(a[i : i + k]).items():
+                for y, times in counts_b.items():
+                    links[x * self.base + y] += n * times
+            i, j = i + k, j + m
+        return np.fromiter(links.keys(), np.int64, len(links)).tobytes(), np.fromiter(links.values(), np.int64, len(links)).tobytes()
 
     def keep(self, text: str, found: Segment) -> None:
         self.known[text] = found
         # the objects' own bytes, and what the dict needs for them
-        self.size += 500 + 2 * len(text) + len(found.shown) + 2 * len(found.pairs)
+        self.size += 450 + len(text) + len(found[5]) + len(found[6]) + len(found[7])
 
 
 def aligner(folder: str | None) -> Aligner:
@@ -218,7 +229,7 @@ def align(docs: DataFrame, folder: str | None = None) -> DataFrame:
             out = []
             for text in texts:
                 found = [own.known[x] for x in text]
-                sides = [g.split("|") for x in found for g in x.shown.split(";")] if all(x.same for x in found) else []
+                sides = [g.split("|") for x in found for g in x[5].split(";")] if all(x[0] for x in found) else []
                 out.append([{k: list(map(int, v.split(","))) for k, v in zip("ab", g)} for g in sides])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(group))], names=["doc_id", "groups"])
 
@@ -234,16 +245,17 @@ def _block(own: Aligner, number: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     own.learn({x for t in texts for x in t})
     rows, pairs, links = [], [], []
     for text in texts:
-        found = [own.known[x] for x in text]
-        if not all(x.same for x in found):
-            found = []
-        sums = [sum(x[k] for x in found) for k in range(1, 5)]
-        rows.append((*sums, hashlib.sha256(";".join(x.shown for x in found).encode()).hexdigest() if found else ""))
-        each, back = np.unique(np.frombuffer(b"".join(x.pairs for x in found), np.int64), return_inverse=True)
-        total = np.zeros(len(each), np.int64)
-        np.add.at(total, back, np.frombuffer(b"".join(x.links for x in found), np.int64))
+        same, n_a, n_b, n_groups, n_links, shown, listed, times = zip(*map(own.known.__getitem__, text)) if text else zip(NOTHING)
+        if not all(same):
+            n_a = n_b = n_groups = n_links = (0,)
+            shown, listed, times = (), (), ()
+        rows.append((sum(n_a), sum(n_b), sum(n_groups), sum(n_links), hashlib.sha256(";".join(shown).encode()).hexdigest() if shown else ""))
+        each, back, total = np.unique(np.frombuffer(b"".join(listed), np.int64), return_inverse=True, return_counts=True)
+        if any(times):
+            total = np.zeros(len(each), np.int64)
+            np.add.at(total, back, np.frombuffer(b"".join(t or np.ones(len(x) // 8, np.int64).tobytes() for x, t in zip(listed, times)), np.int64))
         pairs.append(each)
-        links.append(total.tobytes())
+        links.append(total.astype(np.int64).tobytes())
     listed, places = np.unique(np.concatenate(pairs), return_inverse=True)
     ends = np.cumsum(list(map(len, pairs)))[:-1]
     n, kinds = len(texts), (pa.int64(),) * 6 + (pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
