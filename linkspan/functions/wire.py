@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,14 +24,30 @@ ANNOUNCE = "type string, hostname string, version string, pair_code string, tunn
 _U32 = 4294967296
 
 
+def _digits(n: Column, size: int) -> Column:
+    """A number of up to four bytes in hexadecimal, filled up with zeros."""
+    return F.lpad(F.hex(n.cast("bigint")), 2 * size, "0")
+
+
+def _fits(n: Column, size: int) -> Column:
+    """Whether an unsigned number has ``size`` bytes at most."""
+    return n.cast("decimal(20,0)").between(0, F.lit(str(2**64 - 1)).cast("decimal(20,0)")) if size == 8 else n.cast("bigint").between(0, 256**size - 1)
+
+
+def _wide_digits(n: Column) -> Column:
+    """The digits of a number of eight bytes, which is a decimal beyond a long's range."""
+    wide, half = n.cast("decimal(20,0)"), F.lit(str(_U32)).cast("decimal(20,0)")
+    return F.concat(_digits(F.floor(wide / half), 4), _digits(wide % half, 4))
+
+
 def big_endian(n: Column, size: int) -> Column:
     """``size`` bytes of a number, up to eight, which need a decimal(20, 0); null for a number that does not fit."""
-    if size == 8:
-        wide = n.cast("decimal(20,0)")
-        high = F.floor(wide / F.lit(_U32).cast("decimal(20,0)")).cast("bigint")
-        low = (wide % F.lit(_U32).cast("decimal(20,0)")).cast("bigint")
-        return F.when(wide >= 0, F.concat(big_endian(high, 4), big_endian(low, 4)))
-    return F.when(n.cast("bigint").between(0, 256**size - 1), F.unhex(F.lpad(F.hex(n.cast("bigint")), 2 * size, "0")))
+    return F.when(_fits(n, size), F.unhex(_wide_digits(n) if size == 8 else _digits(n, size)))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it names many times but that is to be evaluated, and planned, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def unsigned(raw: Column, start: int, size: int) -> Column:
@@ -40,8 +58,18 @@ def unsigned(raw: Column, start: int, size: int) -> Column:
 
 def encode_frame(frame_type: Column, flags: Column, sequence: Column, payload: Column, timestamp_ms_lo: Column) -> Column:
     """Header and payload of one frame; null for a payload over 1518 bytes or a field that does not fit."""
-    header = (F.lit(MAGIC).cast("binary"), big_endian(F.lit(VERSION), 1), big_endian(frame_type, 1), big_endian(flags, 2), big_endian(sequence, 8), big_endian(F.octet_length(payload), 2), big_endian(F.lit(0), 2), big_endian(timestamp_ms_lo, 4))
-    return F.when(fits_wire(payload), F.concat(*header, payload))
+
+    def encoded(x: Column) -> Column:
+        size = F.octet_length(x["payload"])
+        fields = ((x["type"], 1), (x["flags"], 2), (x["sequence"], 8), (x["ms"], 4))
+        good = fits_wire(x["payload"])
+        for value, width in fields:
+            good = good & _fits(value, width)
+        digits = F.concat(F.lit(f"{MAGIC.encode().hex()}{VERSION:02x}"), _digits(x["type"], 1), _digits(x["flags"], 2), _wide_digits(x["sequence"]), _digits(size, 2), F.lit("0000"), _digits(x["ms"], 4))
+        return F.when(good, F.concat(F.unhex(digits), x["payload"]))
+
+    parts = F.struct(frame_type.alias("type"), flags.alias("flags"), sequence.cast("decimal(20,0)").alias("sequence"), payload.alias("payload"), timestamp_ms_lo.alias("ms"))
+    return once(parts, encoded)
 
 
 def keepalive_frame(sequence: Column, timestamp_ms_lo: Column, cookie: Column) -> Column:
@@ -55,19 +83,28 @@ def decode_frame(raw: Column) -> Column:
     Errors in order of their checks: TooShort, BadControl, BadVersion, BadFrameType, and
     TooShort again for a cut payload. Bytes behind the payload are ignored; no bytes at all (null) are TooShort.
     """
-    size = unsigned(raw, 17, 2)
-    error = (
-        F.when(F.coalesce(F.octet_length(raw), F.lit(0)) < HEADER_BYTES, "TooShort")
-        .when(F.substring(raw, 1, 4) != F.lit(MAGIC).cast("binary"), "BadControl")
-        .when(unsigned(raw, 5, 1) != VERSION, "BadVersion")
-        .when(~unsigned(raw, 6, 1).between(1, 7), "BadFrameType")
-        .when(F.octet_length(raw) < HEADER_BYTES + size, "TooShort")
-    )
-    fields = {
-        "version": unsigned(raw, 5, 1).cast("smallint"), "frame_type": unsigned(raw, 6, 1).cast("smallint"), "flags": unsigned(raw, 7, 2).cast("int"), "sequence": unsigned(raw, 9, 8),
-        "payload_len": size.cast("int"), "timestamp_ms_lo": unsigned(raw, 21, 4), "payload": F.substring(raw, F.lit(HEADER_BYTES + 1), size.cast("int")),
-    }
-    return F.struct(error.alias("error"), *(F.when(error.isNull(), c).alias(n) for n, c in fields.items()))
+
+    def fields(x: Column) -> Column:
+        return F.struct(
+            x.alias("raw"), F.coalesce(F.octet_length(x), F.lit(0)).alias("length"), (F.substring(x, 1, 4) == F.lit(MAGIC).cast("binary")).alias("known"), unsigned(x, 5, 1).cast("smallint").alias("version"),
+            unsigned(x, 6, 1).cast("smallint").alias("frame_type"), unsigned(x, 7, 2).cast("int").alias("flags"), unsigned(x, 9, 8).alias("sequence"), unsigned(x, 17, 2).cast("int").alias("payload_len"), unsigned(x, 21, 4).alias("timestamp_ms_lo"),
+        )
+
+    def checked(x: Column) -> Column:
+        error = (
+            F.when(x["length"] < HEADER_BYTES, "TooShort").when(~x["known"], "BadControl").when(x["version"] != VERSION, "BadVersion")
+            .when(~x["frame_type"].between(1, 7), "BadFrameType").when(x["length"] < HEADER_BYTES + x["payload_len"], "TooShort")
+        )
+        return F.struct(error.alias("error"), x.alias("x"))
+
+    names = ("version", "frame_type", "flags", "sequence", "payload_len", "timestamp_ms_lo")
+
+    def shown(c: Column) -> Column:
+        good, x = c["error"].isNull(), c["x"]
+        payload = F.substring(x["raw"], F.lit(HEADER_BYTES + 1), x["payload_len"])
+        return F.struct(c["error"].alias("error"), *(F.when(good, x[n]).alias(n) for n in names), F.when(good, payload).alias("payload"))
+
+    return once(once(once(raw, fields), checked), shown)
 
 
 def is_encrypted(raw: Column) -> Column:
