@@ -29,17 +29,36 @@ def limits(rtt: Column | None = None, loss: Column | None = None, cpu: Column |
     return {n: F.lit(default) if c is None else F.coalesce(c, F.lit(default)) for n, (c, default) in given.items()}
 
 
+def loss_counts(rx_pps: Column, tx_pps: Column) -> Column:
+    """Whether there is enough traffic, both ways together, to judge loss by."""
+    return rx_pps + tx_pps > 0.5
+
+
 def failed_checks(link_up: Column, awake: Column, connected: Column, rtt: Column, loss: Column, pps: Column, cpu: Column, rx: Column, most: dict[str, Column] | None = None) -> Column:
-    """Codes of the failed checks in their fixed order; quality counts only when the vehicle is ready. ``most`` is of ``limits``."""
+    """Codes of the failed checks in their fixed order; quality counts only when the vehicle is ready.
+
+    ``pps`` are packets a second of both directions together. ``most`` is of ``limits``.
+    """
     ready, most = link_up & awake, most or limits()
     return F.array_compact(
         F.array(
             F.when(~connected, "peer"), F.when(~link_up, "link").when(~awake, "asleep"), F.when(ready & (rtt > most["rtt"]) & (rtt > 0), "rtt"),
-            F.when(ready & (loss > most["loss"]) & (pps > 0.5), "loss"), F.when(ready & (cpu > most["cpu"]), "cpu"), F.when(ready & (rx < most["samples"]), "samples"),
+            F.when(ready & (loss > most["loss"]) & loss_counts(pps, F.lit(0.0)), "loss"), F.when(ready & (cpu > most["cpu"]), "cpu"), F.when(ready & (rx < most["samples"]), "samples"),
         )
     )
 
 
+def reasons(failed: Column, rtt: Column, loss: Column, cpu: Column, rx: Column, most: dict[str, Column] | None = None) -> Column:
+    """The failed checks with what was measured and the limit: ``rtt 92.00 > 20.00``, ``loss 5.0000 > 0.1000`` in percent, ``cpu 91.0 > 80.0``, ``samples 3 < 20``."""
+    most = most or limits()
+    told = lambda name, now, limit, digits, sign: F.concat(F.lit(f"{name} "), F.format_string(f"%.{digits}f", now.cast("double")), F.lit(f" {sign} "), F.format_string(f"%.{digits}f", limit.cast("double")))
+    return F.transform(
+        failed,
+        lambda x: F.when(x == "rtt", told("rtt", rtt, most["rtt"], 2, ">")).when(x == "loss", told("loss", loss * 100, most["loss"] * 100, 4, ">")).when(x == "cpu", told("cpu", cpu, most["cpu"], 1, ">"))
+        .when(x == "samples", told("samples", rx, most["samples"], 0, "<")).otherwise(x),
+    )
+
+
 def verdict(failed: Column, ready: Column, connected: Column) -> Column:
     """One of safe, not_ready and not_recommended."""
     return F.when(F.size(failed) == 0, "safe").when(~ready & connected, "not_ready").otherwise("not_recommended")

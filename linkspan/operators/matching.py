@@ -107,12 +107,47 @@ def broadcast_targets(local: DataFrame, ip: str) -> DataFrame:
     return subnets.union(everywhere).distinct()
 
 
-def devices_named(devices: DataFrame, name: str, adapters: list[str]) -> DataFrame:
+def devices_named(devices: DataFrame, name: Column, adapters: list[str]) -> DataFrame:
     """Devices whose name contains an adapter's name, with the first such adapter of the given list."""
     hit = F.coalesce(*(F.when(F.lower(name).contains(x.lower()), F.lit(x)) for x in adapters))
     return devices.withColumn("adapter", hit).where("adapter is not null")
 
 
+#: Letters of the grams that names are looked up by.
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` letters of a text."""
+    places = F.when(F.char_length(text) >= size, F.sequence(F.lit(1), F.char_length(text) - size + 1))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(size))))
+
+
+def devices_containing(devices: DataFrame, texts: list[str], adapters: DataFrame, adapter: str, place: str, loopback: Column | None = None) -> DataFrame:
+    """The devices one of whose ``texts`` contains an adapter's name, in any case, with ``adapter``: the first such name by ``place``.
+
+    Adapters are a table, of any size: a name is looked up by its rarest run of three letters
+    among all names, and a name shorter than that by the whole of it; what is found so is
+    checked. An empty name is in each device that has a text; null names and texts match nothing.
+    Devices for which ``loopback`` holds match nothing. Repeated names count once, ties of place go
+    to the smaller name. Columns of ``devices`` named ``adapter`` are replaced.
+    """
+    kept = [c for c in devices.columns if c != adapter]
+    rows = devices.withColumn("device_row", F.struct(*(F.col(f"`{c}`") for c in kept))).select("device_row", F.array_compact(F.array(*(F.lower(F.col(f"`{t}`")) for t in texts))).alias("device_texts"), (F.lit(False) if loopback is None else F.coalesce(loopback, F.lit(False))).alias("device_skip"))
+    rows = rows.where(~F.col("device_skip") & (F.size("device_texts") > 0)).drop("device_skip").withColumn("device_key", F.xxhash64("device_row", "device_texts"))
+    names = adapters.select(F.col(adapter).alias("name"), F.lower(F.col(adapter)).alias("low"), F.col(place).alias("turn")).where("name is not null").groupBy("low").agg(F.min(F.struct("turn", "name")).alias("first"))
+    grams = names.select("low", "first", F.explode(_grams(F.col("low"), GRAM)).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    long = grams.join(often, "gram").groupBy("low", "first").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    short = names.where(F.char_length("low") < GRAM).select("low", "first", F.col("low").alias("gram"))
+    asked = long.unionByName(short)
+    looked = F.array_distinct(F.flatten(F.transform("device_texts", lambda t: F.concat(F.array(F.lit("")), *(F.coalesce(_grams(t, n), F.array().cast("array<string>")) for n in range(1, GRAM + 1))))))
+    probes = rows.select("device_key", "device_texts", F.explode(looked).alias("gram"))
+    found = probes.join(asked, "gram").where(F.exists("device_texts", lambda t: F.contains(t, F.col("low"))))
+    best = found.groupBy("device_key").agg(F.min("first").alias("first"))
+    return rows.join(best, "device_key").select("device_row.*", F.col("first.name").alias(adapter))
+
+
 def best_interface(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Each key's usable interface of the highest score, ties by name."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "name"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from linkspan.functions.safety import valid_rtt
+from linkspan.functions.safety import backoff_ms, loss_counts, valid_rtt
 
 # Fixed values of the loss and round-trip statistics.
 MAX_GAP = 64
@@ -21,8 +21,12 @@ def arrival(keys: list[str], order: list[str]) -> WindowSpec:
 
 
 def lost_before(sequence: Column, window: WindowSpec) -> Column:
-    """Frames lost before this one: a forward gap of at most 64; anything else is a resync."""
-    gap = sequence - F.lag(sequence).over(window) - 1
+    """Frames lost before this one: a forward gap of at most 64; anything else is a resync.
+
+    Rows without a sequence, such as control frames, lose none and are passed over: a gap is
+    counted from the last row that has one.
+    """
+    gap = sequence - F.last(sequence, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1)) - 1
     return F.when(gap.between(1, MAX_GAP), gap).otherwise(F.lit(0)).cast("bigint")
 
 
@@ -67,6 +71,32 @@ def rates(frames: DataFrame, keys: list[str], ts: str, size: Column, seconds: in
     return frames.groupBy(*keys, start.alias("window_start")).agg(F.count("*").alias("packets"), F.sum(size).alias("bytes")).withColumn("pps", F.col("packets") / elapsed).withColumn("bps", F.col("bytes") * 8 / elapsed)
 
 
+def both_rates(tx: DataFrame, rx: DataFrame, keys: list[str], ts: str, size: Column, seconds: int) -> DataFrame:
+    """What went each way in fixed windows: packets, bytes, and packets and bits a second; nothing where one side has no frame.
+
+    ``quality_counts`` says whether loss is judged, which takes more than half a packet a second both ways together.
+    """
+    way = lambda rows, name: rates(rows, keys, ts, size, seconds).select(*keys, "window_start", *(F.col(c).alias(f"{name}_{c}") for c in ("packets", "bytes", "pps", "bps")))
+    both = way(tx, "tx").join(way(rx, "rx"), [*keys, "window_start"], "full_outer")
+    out = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in both.columns if c not in (*keys, "window_start")})
+    return out.withColumn("quality_counts", loss_counts(F.col("rx_pps"), F.col("tx_pps")))
+
+
+def lifetime(frames: DataFrame, keys: list[str], direction: Column, size: Column, sequence: Column, order: list[str]) -> DataFrame:
+    """Each stream's counters: tx and rx packets and bytes, dropped, errors, reconnects and seq_gaps.
+
+    ``direction`` is tx, rx, dropped, error or timeout; other rows count nowhere. A dropped frame
+    is neither sent nor received. Gaps are those between received rows with a sequence.
+    """
+    marked = frames.select(*keys, direction.alias("direction"), size.alias("size"), lost_before(F.when(direction == "rx", sequence), arrival(keys, order)).alias("lost"))
+    of = lambda kind: F.count_if(F.col("direction") == kind)
+    total = lambda kind: F.sum(F.when(F.col("direction") == kind, F.col("size")).otherwise(0)).cast("bigint")
+    return marked.groupBy(*keys).agg(
+        of("tx").alias("tx_packets"), of("rx").alias("rx_packets"), total("tx").alias("tx_bytes"), total("rx").alias("rx_bytes"), of("dropped").alias("dropped"), of("error").alias("errors"),
+        of("timeout").alias("reconnects"), F.sum("lost").cast("bigint").alias("seq_gaps"),
+    )
+
+
 def epochs(frames: DataFrame, keys: list[str], order: list[str], peer: str) -> DataFrame:
     """``epoch``: how often the stream's peer has changed so far."""
     w = arrival(keys, order)
@@ -105,7 +135,7 @@ def epoch_loss(frames: DataFrame, keys: list[str], order: list[str], peer: str,
 def snapshot_windows(rows: DataFrame, keys: list[str], order: list[str], ts: str, is_snapshot: Column, sequence: str, size: Column, epoch: str | None = None) -> DataFrame:
     """What each snapshot reports of the frames since the one before it, which it closes.
 
-    Rows are frames and snapshots in arrival order. A window's loss counts only its last epoch's
+    All frames count as received; those without a sequence take no part in loss. Rows are frames and snapshots in arrival order. A window's loss counts only its last epoch's
     frames, if ``epoch`` is given; a gap counts for the window of its later frame. Frames after
     the last snapshot are in none. The first window begins with the stream's first row.
     """
@@ -201,6 +231,28 @@ def timeouts(frames: DataFrame, keys: list[str], order: list[str], ts: str, seco
     return frames.select(*keys, silent.alias("silent")).groupBy(*keys).agg(F.count_if(F.col("silent") > seconds * 1_000_000).alias("reconnects"), F.coalesce(F.max("silent"), F.lit(0)).alias("longest_us"))
 
 
+def reconnects(rows: DataFrame, keys: list[str], order: list[str], ts: str, kind: str, base_ms: int, most_ms: int, unset_ms: int = 2000) -> DataFrame:
+    """``attempt`` of each row, the delay after it, when the next attempt is due, and whether this one came too early.
+
+    Kinds: failed, an attempt that came to nothing; connected, one that did; dropped, the end of a
+    connection; unset, an attempt that settings do not allow; changed, new settings, which end a connection
+    and are tried at once. An attempt's number is how many failed, dropped and unset rows there
+    are since the last connection; a connection begins it anew. What delays doubles from ``base_ms`` on up to ``most_ms``, and is
+    ``unset_ms`` for unset. Attempts are all but dropped and changed rows.
+    """
+    w = arrival(keys, order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    counts = F.col(kind).isin("failed", "dropped", "unset").cast("int")
+    rows = rows.withColumn("attempt_run", F.sum((F.col(kind) == "connected").cast("int")).over(so_far))
+    in_run = Window.partitionBy(*keys, "attempt_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("attempt", F.sum(counts).over(in_run).cast("bigint")).drop("attempt_run")
+    wait = F.when(F.col(kind) == "unset", F.lit(unset_ms).cast("bigint")).when(F.col(kind).isin("failed", "dropped"), backoff_ms(F.lit(base_ms).cast("bigint"), F.lit(most_ms).cast("bigint"), F.col("attempt"))).otherwise(F.lit(0).cast("bigint"))
+    now = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = rows.withColumn("delay_ms", wait).withColumn("due_us", now + F.col("delay_ms") * 1000)
+    tried = F.col(kind).isin("failed", "connected", "unset")
+    return rows.withColumn("early", tried & F.coalesce(now < F.lag("due_us").over(w), F.lit(False)))
+
+
 def awake_sessions(frames: DataFrame, keys: list[str], ts: str, gap: str) -> DataFrame:
     """Sessions that end when nothing has come for ``gap``."""
     return frames.groupBy(*keys, F.session_window(ts, gap).alias("s")).agg(F.count("*").alias("frames"), F.max(ts).alias("last_ts")).select(*keys, F.col("s.start").alias("session_start"), "last_ts", "frames")

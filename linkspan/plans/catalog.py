@@ -3,7 +3,8 @@
 The tables hold no frames, so telemetry is mapped: a stream is a user of ``events``, arrival
 order is (ts, event_id), the sequence is event_id, the round trip is value, the size is the
 length of props, and event types stand for frame types, with ``error`` for an unknown one.
-Customers, suppliers and parts stand for addresses, links and interfaces.
+Customers, suppliers and parts stand for addresses, links and interfaces. Where the gate asks for
+packets a second, a day of the events stands for a second.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ _RING = """
                     row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back
              FROM events WHERE value > 0 AND value <= 2000),
     ranked AS (SELECT user_id, event_id, back, r[CAST(floor((len(r) - 1) * 0.5 + 0.5) AS INTEGER) + 1] AS p50, r[CAST(floor((len(r) - 1) * 0.99 + 0.5) AS INTEGER) + 1] AS p99, value AS last FROM ring)"""
+#: Packets a second of all a stream's events, both ways together, from a row ``t`` of their number and time.
+_PPS = "(rx / greatest((epoch_us(until) - epoch_us(since)) / 86400000000.0, 0.001))"
 _GATE = "CASE WHEN p50 > 0 AND p99 > 3 * p50 AND p99 > 40 THEN greatest(p50, least(last, 2 * p50)) ELSE greatest(p99, last) END"
 
 
@@ -47,6 +50,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def day_rate(packets: Column, since: Column, until: Column) -> Column:
+    """Packets a second between two times, a day of which stands for a second."""
+    days = (F.unix_micros(until.cast("timestamp")) - F.unix_micros(since.cast("timestamp"))) / 86_400_000_000
+    return packets / F.greatest(days, F.lit(0.001))
+
+
 def frame_type() -> Column:
     out = F.lit(TYPES["error"])
     for name, code in TYPES.items():
@@ -116,22 +125,22 @@ def rtt_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("gate_ms", gate).withColumn("worst_ms", F.greatest("gate_ms", F.lit(100.0)))
 
 
-@query(f"""WITH {_RING}, l AS (SELECT user_id, event_type, value, {_GAP} AS lost FROM events {_W}),
-    t AS (SELECT user_id, count(*) AS rx, sum(lost) AS lost, count(*) FILTER (event_type = 'error') * 5 < count(*) AS link_up, count(*) FILTER (event_type = 'purchase') > 5 AS awake,
+@query(f"""WITH {_RING}, l AS (SELECT user_id, event_type, ts, value, {_GAP} AS lost FROM events {_W}),
+    t AS (SELECT user_id, count(*) AS rx, min(ts) AS since, max(ts) AS until, sum(lost) AS lost, count(*) FILTER (event_type = 'error') * 5 < count(*) AS link_up, count(*) FILTER (event_type = 'purchase') > 5 AS awake,
                  count(*) FILTER (event_type = 'signup') > 0 AS connected, CAST(count(*) % 100 AS DOUBLE) AS cpu FROM l GROUP BY user_id),
     j AS (SELECT t.*, CASE WHEN r.user_id IS NULL THEN 0.0 ELSE {_GATE} END AS gate, t.lost / (greatest(t.rx, 1) + t.lost) AS loss FROM t LEFT JOIN (SELECT * FROM ranked WHERE back = 1) r ON r.user_id = t.user_id),
     f AS (SELECT user_id, link_up AND awake AS ready, connected, list_filter([CASE WHEN NOT connected THEN 'peer' END, CASE WHEN NOT link_up THEN 'link' WHEN NOT awake THEN 'asleep' END, CASE WHEN link_up AND awake AND gate > 20 THEN 'rtt' END,
-        CASE WHEN link_up AND awake AND loss > 0.001 AND rx > 0.5 THEN 'loss' END, CASE WHEN link_up AND awake AND cpu > 80 THEN 'cpu' END, CASE WHEN link_up AND awake AND rx < 20 THEN 'samples' END], lambda x: x IS NOT NULL) AS r FROM j)
+        CASE WHEN link_up AND awake AND loss > 0.001 AND {_PPS} > 0.5 THEN 'loss' END, CASE WHEN link_up AND awake AND cpu > 80 THEN 'cpu' END, CASE WHEN link_up AND awake AND rx < 20 THEN 'samples' END], lambda x: x IS NOT NULL) AS r FROM j)
     SELECT user_id, len(r) = 0 AS safe, array_to_string(r, ',') AS reasons, CASE WHEN len(r) = 0 THEN 'safe' WHEN NOT ready AND connected THEN 'not_ready' ELSE 'not_recommended' END AS verdict FROM f""")
 def safety_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The safety gate of each stream."""
     events = table(spark, sf_dir, "events")
     share = lambda kind: F.count_if(F.col("event_type") == kind)
-    lost = events.select("user_id", "event_type", telemetry.lost_before(F.col("event_id"), telemetry.arrival(KEY, ORDER)).alias("lost"))
-    totals = lost.groupBy("user_id").agg(F.count("*").alias("rx"), F.sum("lost").alias("lost"), (share("error") * 5 < F.count("*")).alias("link_up"), (share("purchase") > 5).alias("awake"), (share("signup") > 0).alias("connected"))
+    lost = events.select("user_id", "event_type", "ts", telemetry.lost_before(F.col("event_id"), telemetry.arrival(KEY, ORDER)).alias("lost"))
+    totals = lost.groupBy("user_id").agg(F.count("*").alias("rx"), day_rate(F.count("*"), F.min("ts"), F.max("ts")).alias("pps"), F.sum("lost").alias("lost"), (share("error") * 5 < F.count("*")).alias("link_up"), (share("purchase") > 5).alias("awake"), (share("signup") > 0).alias("connected"))
     both = totals.join(telemetry.last_rtt(events, KEY, ORDER, "value"), "user_id", "left")
     rtt = F.coalesce(safety.gate_rtt(F.col("rtt_p50_ms"), F.col("rtt_p99_ms"), F.col("rtt_ms")), F.lit(0.0))
-    failed = safety.failed_checks(F.col("link_up"), F.col("awake"), F.col("connected"), rtt, telemetry.loss_rate(F.col("rx"), F.col("lost")), F.col("rx"), (F.col("rx") % 100).cast("double"), F.col("rx"))
+    failed = safety.failed_checks(F.col("link_up"), F.col("awake"), F.col("connected"), rtt, telemetry.loss_rate(F.col("rx"), F.col("lost")), F.col("pps"), (F.col("rx") % 100).cast("double"), F.col("rx"))
     judged = both.withColumn("failed", failed)
     return judged.select("user_id", (F.size("failed") == 0).alias("safe"), F.array_join("failed", ",").alias("reasons"), safety.verdict(F.col("failed"), F.col("link_up") & F.col("awake"), F.col("connected")).alias("verdict"))
 

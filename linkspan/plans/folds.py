@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from linkspan.functions import net, safety, wire
 from linkspan.operators import matching, settings, telemetry
-from linkspan.plans.catalog import _GAP, _GATE, _RING, _SIP, _W, KEY, ORDER, query, supplier_ip, table
+from linkspan.plans.catalog import _GAP, _GATE, _PPS, _RING, _SIP, _W, KEY, ORDER, day_rate, query, supplier_ip, table
 from linkspan.sources import frames as sources
 
 _OVER = "(PARTITION BY user_id ORDER BY ts, event_id"
@@ -20,14 +20,15 @@ _NOW = f"{_OVER} ROWS UNBOUNDED PRECEDING)"
 
 
 @query(f"""WITH m AS (SELECT *, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS snap FROM events), n AS (SELECT *, sum(snap) OVER {_NOW} - snap AS win FROM m),
-    f AS (SELECT user_id, win, length(props) AS size, event_id - lag(event_id) OVER {_OVER}) - 1 AS gap FROM n WHERE snap = 0),
+    d AS (SELECT *, CASE WHEN event_type <> 'click' THEN event_id END AS seq FROM n WHERE snap = 0), f AS (SELECT user_id, win, length(props) AS size, seq - last_value(seq IGNORE NULLS) OVER {_PAST} - 1 AS gap FROM d),
     t AS (SELECT user_id, win, count(*) AS rx, sum(size) AS bytes, sum(CASE WHEN gap BETWEEN 1 AND 64 THEN gap ELSE 0 END) AS lost FROM f GROUP BY ALL),
     s AS (SELECT user_id, win, epoch_us(ts) AS closed, coalesce(lag(epoch_us(ts)) OVER {_OVER}), (SELECT min(epoch_us(e.ts)) FROM events e WHERE e.user_id = n.user_id)) AS began FROM n WHERE snap = 1),
     b AS (SELECT s.user_id, s.win, greatest((closed - began) / 1000000.0, 0.001) AS seconds, coalesce(rx, 0) AS rx, coalesce(bytes, 0) AS bytes, coalesce(lost, 0) AS lost FROM s LEFT JOIN t ON t.user_id = s.user_id AND t.win = s.win)
     SELECT user_id, CAST(win AS BIGINT) AS "window", CAST(rx AS BIGINT) AS rx_packets, CAST(bytes AS BIGINT) AS bytes, CAST(lost AS BIGINT) AS lost, round(seconds, 6) AS seconds, round(rx / seconds, 9) AS pps, round(lost / (greatest(rx, 1) + lost), 9) AS loss_rate FROM b""")
 def snapshot_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates and loss between snapshots (here error events), each of which begins a new window."""
-    out = telemetry.snapshot_windows(table(spark, sf_dir, "events"), KEY, ORDER, "ts", F.col("event_type") == "error", "event_id", F.length("props"))
+    """Rates and loss between snapshots (here error events), each of which begins a new window; clicks are control frames, which loss passes over."""
+    rows = table(spark, sf_dir, "events").withColumn("sequence", F.when(F.col("event_type") != "click", F.col("event_id")))
+    out = telemetry.snapshot_windows(rows, KEY, ORDER, "ts", F.col("event_type") == "error", "sequence", F.length("props"))
     return out.select("user_id", "window", "rx_packets", "bytes", "lost", F.round("seconds", 6).alias("seconds"), F.round("pps", 9).alias("pps"), F.round("loss_rate", 9).alias("loss_rate"))
 
 
@@ -111,11 +112,11 @@ def _mode() -> Column:
     return F.element_at(F.array(*map(F.lit, _MODES)), (F.col("user_id") % 3).cast("int") + 1)
 
 
-@query(f"""WITH {_RING}, l AS (SELECT user_id, event_type, {_GAP} AS lost FROM events {_W}),
-    t AS (SELECT user_id, count(*) AS rx, CAST(sum(lost) AS BIGINT) AS lost, count(*) FILTER (event_type = 'purchase') > 5 AS awake, CAST(count(*) % 100 AS DOUBLE) AS cpu, ['lan', 'relay', 'wireguard'][user_id % 3 + 1] AS mode FROM l GROUP BY user_id),
+@query(f"""WITH {_RING}, l AS (SELECT user_id, event_type, ts, {_GAP} AS lost FROM events {_W}),
+    t AS (SELECT user_id, count(*) AS rx, min(ts) AS since, max(ts) AS until, CAST(sum(lost) AS BIGINT) AS lost, count(*) FILTER (event_type = 'purchase') > 5 AS awake, CAST(count(*) % 100 AS DOUBLE) AS cpu, ['lan', 'relay', 'wireguard'][user_id % 3 + 1] AS mode FROM l GROUP BY user_id),
     j AS (SELECT t.*, CASE WHEN r.user_id IS NULL THEN 0.0 ELSE {_GATE} END AS gate, t.lost / (greatest(t.rx, 1) + t.lost) AS loss, CASE mode WHEN 'lan' THEN 20.0 WHEN 'relay' THEN 80.0 ELSE 40.0 END AS most,
             CASE WHEN t.user_id % 2 = 0 THEN 0.95 ELSE 0.001 END AS most_loss FROM t LEFT JOIN (SELECT * FROM ranked WHERE back = 1) r ON r.user_id = t.user_id),
-    f AS (SELECT *, list_filter([CASE WHEN NOT awake THEN 'asleep' END, CASE WHEN awake AND gate > most THEN 'rtt' END, CASE WHEN awake AND loss > most_loss AND rx > 0.5 THEN 'loss' END, CASE WHEN awake AND cpu > 80 THEN 'cpu' END, CASE WHEN awake AND rx < 20 THEN 'samples' END], lambda x: x IS NOT NULL) AS r FROM j),
+    f AS (SELECT *, list_filter([CASE WHEN NOT awake THEN 'asleep' END, CASE WHEN awake AND gate > most THEN 'rtt' END, CASE WHEN awake AND loss > most_loss AND {_PPS} > 0.5 THEN 'loss' END, CASE WHEN awake AND cpu > 80 THEN 'cpu' END, CASE WHEN awake AND rx < 20 THEN 'samples' END], lambda x: x IS NOT NULL) AS r FROM j),
     v AS (SELECT *, CASE WHEN len(r) = 0 THEN 'safe' WHEN NOT awake THEN 'not_ready' ELSE 'not_recommended' END || CASE WHEN len(r) > 0 THEN ': ' || array_to_string(r, '; ') ELSE '' END
             || CASE WHEN mode = 'lan' THEN '' WHEN len(r) = 0 THEN ' remote_safe' ELSE ' remote' END AS warning FROM f)
     SELECT user_id, mode, warning, '{{"user_id":' || CAST(user_id AS VARCHAR) || ',"state":{{"connection":"Connected","link_up":true,"awake":' || CAST(awake AS VARCHAR) || '}},"stats":{{"rx_packets":' || CAST(rx AS VARCHAR) || ',"seq_gaps":' || CAST(lost AS VARCHAR)
@@ -127,14 +128,14 @@ def status_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     A host (-1) of which nothing is known yet has the placeholder's verdict.
     """
     events = table(spark, sf_dir, "events")
-    lost = events.select("user_id", "event_type", telemetry.lost_before(F.col("event_id"), telemetry.arrival(KEY, ORDER)).alias("lost"))
-    totals = lost.groupBy("user_id").agg(F.count("*").alias("rx"), F.sum("lost").alias("lost"), (F.count_if(F.col("event_type") == "purchase") > 5).alias("awake"))
+    lost = events.select("user_id", "event_type", "ts", telemetry.lost_before(F.col("event_id"), telemetry.arrival(KEY, ORDER)).alias("lost"))
+    totals = lost.groupBy("user_id").agg(F.count("*").alias("rx"), day_rate(F.count("*"), F.min("ts"), F.max("ts")).alias("pps"), F.sum("lost").alias("lost"), (F.count_if(F.col("event_type") == "purchase") > 5).alias("awake"))
     hosts = totals.select("user_id").union(spark.range(1).select(F.lit(-1).cast("bigint")))
     config = settings.with_mode_defaults(hosts.select("user_id", F.when(F.col("user_id") < 0, "lan").otherwise(_mode()).alias("mode"), F.lit(None).cast("double").alias("rtt_limit"), F.lit(None).cast("int").alias("timeout")), "mode")
     both = config.join(totals, "user_id", "left").join(telemetry.last_rtt(events, KEY, ORDER, "value"), "user_id", "left")
     rtt = F.coalesce(safety.gate_rtt(F.col("rtt_p50_ms"), F.col("rtt_p99_ms"), F.col("rtt_ms")), F.lit(0.0))
     most = safety.limits(rtt=F.col("rtt_limit_ms"), loss=F.when(F.col("user_id") % 2 == 0, 0.95))
-    failed = safety.failed_checks(F.lit(True), F.col("awake"), F.lit(True), rtt, telemetry.loss_rate(F.col("rx"), F.col("lost")), F.col("rx"), (F.col("rx") % 100).cast("double"), F.col("rx"), most)
+    failed = safety.failed_checks(F.lit(True), F.col("awake"), F.lit(True), rtt, telemetry.loss_rate(F.col("rx"), F.col("lost")), F.col("pps"), (F.col("rx") % 100).cast("double"), F.col("rx"), most)
     judged = both.withColumn("failed", F.when(F.col("rx").isNull(), F.array(F.lit("no_status"))).otherwise(failed))
     code = F.when(F.col("rx").isNull(), "not_recommended").otherwise(safety.verdict(F.col("failed"), F.col("awake"), F.lit(True)))
     told = judged.withColumn("warning", safety.warning(code, F.col("failed"), F.col("mode") != "lan"))
