@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from public_tokenizers import PATTERN
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ BLOCK_BYTES = 2 << 20
 SEGMENT_BYTES = 80 << 20
 #: Segments of about so many bytes are encoded at once.
 ENCODE_BYTES = 1 << 16
+#: A segment of more characters is encoded by itself, by the vocabulary's own library.
+LONG = 4096
 #: The distinct ids of a group with more links are paired, not its tokens.
 MOST_LINKS = 1024
 SPACE = "▁"
@@ -84,19 +87,25 @@ class Aligner:
 
     def __init__(self, byte_level: str, pieces: str, most: int = SEGMENT_BYTES) -> None:
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True  # their strings inside texts are plain text
-        letters = byte_of_letter()
-        added = {x.content for x in self.a.get_added_tokens_decoder().values()}
+        spec, letters = json.loads(self.a.to_str()), byte_of_letter()
+        if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or not spec["pre_tokenizer"]["use_regex"] or spec["pre_tokenizer"]["add_prefix_space"]:
+            raise ValueError(f"{byte_level} does not split texts at white space by itself")
+        added = {x["content"] for x in spec["added_tokens"]}
         vocabulary = self.a.get_vocab()
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes_a[i] = token.encode() if token in added else bytes(map(letters.__getitem__, token))
-        kinds = json.loads(self.a.to_str())
-        if kinds["normalizer"] or kinds["pre_tokenizer"]["type"] != "ByteLevel" or not kinds["pre_tokenizer"]["use_regex"]:
-            raise ValueError(f"{byte_level} does not split texts at white space by itself")
+        merged = [vocabulary["".join(x.split(" ") if isinstance(x, str) else x)] for x in spec["model"]["merges"]]
+        #: encodes the same several times as fast; there if merges come in the order of what they make
+        self.ranked = None
+        if merged == sorted(set(merged)):
+            ranks = {self.bytes_a[i]: i for token, i in vocabulary.items() if token not in added}
+            self.ranked = tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.bytes_b: list[bytes] = []
         for i in range(self.b.get_piece_size()):
@@ -111,6 +120,7 @@ class Aligner:
         # a space or line feed and all up to the next one that follows another character than white space
         self.split = re.compile(r"[ \n][^ \n]*(?:(?<=\s)[ \n][^ \n]*)*").findall
         self.known: dict[str, Segment] = {}
+        self.older: dict[str, Segment] = {}
         self.most, self.size = most, 0
 
     def segments(self, texts: list[str | None]) -> list[list[str]]:
@@ -118,13 +128,19 @@ class Aligner:
         return [self.split(f" {x}") if x else [] for x in texts]
 
     def learn(self, wanted: set[str]) -> None:
-        """Remember the segments. Others are forgotten, before that, if these and they would be too many."""
-        new = wanted - self.known.keys()
-        if self.size > self.most:
-            self.known, self.size, new = {}, 0, wanted
+        """Remember the segments. Of the others, those that were wanted since half of the room was filled up are kept."""
+        if 2 * self.size > self.most:
+            self.older, self.known, self.size = self.known, {}, 0
+        new = []
+        for x in wanted - self.known.keys():
+            if x in self.older:
+                self.keep(x, self.older[x])
+            else:
+                new.append(x)
         held, size = [], 0
-        for x in sorted(new):
-            if x[-1].isspace():  # white space that goes on behind it would be another segment's
+        for x in new:
+            # white space that goes on behind it would be another segment's
+            if x[-1].isspace() or len(x) > LONG:
                 self.align([x])
                 continue
             held.append(x)
@@ -135,13 +151,14 @@ class Aligner:
         if held:
             self.align(held)
 
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of both of a text that begins with a space or line feed."""
-        return self.a.encode(text, add_special_tokens=False).ids, self.b.encode(LEAD + text)[1:]
+    def encode(self, text: str, long: bool) -> tuple[list[int], list[int]]:
+        """Ids of both of segments in a row."""
+        a = self.a.encode(text, add_special_tokens=False).ids if long or self.ranked is None else self.ranked.encode_ordinary(text)
+        return a, self.b.encode(LEAD + text)[1:]
 
     def align(self, segments: list[str]) -> None:
         raw = [x.encode() for x in segments]
-        a, b = self.encode("".join(segments))
+        a, b = self.encode("".join(segments), len(segments) == 1 and len(segments[0]) > LONG)
         whole = b"".join(raw)
         if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
             if len(segments) > 1:  # find those that are not given back
