@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspan.functions import safety
-from linkspan.operators import asof, matching, telemetry
+from linkspan.operators import asof, matching, slot, telemetry
 from linkspan.plans.catalog import KEY, ORDER, query, table
+from linkspan.plans.folds import _CONFIGS, _PEER
 
 _DAY = 86_400
 
@@ -93,3 +94,26 @@ def reconnect_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "failed").when(F.col("event_type") == "click", "dropped").when(F.col("event_type") == "signup", "unset").when(F.col("event_type") == "purchase", "connected").otherwise("changed")
     out = telemetry.reconnects(table(spark, sf_dir, "events").withColumn("kind", kind), KEY, ORDER, "ts", "kind", 3_600_000, 43_200_000)
     return out.select("user_id", "event_id", "kind", "attempt", "delay_ms", "early")
+
+
+_SILENT_MS = 24 * 3600 * 1000
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT user_id, event_id, epoch_us(ts) AS us, '10.0.0.' || CAST(event_id % 3 AS VARCHAR) AS ip, CAST(47900 + event_id // 3 % 3 AS INTEGER) AS port, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    c AS (SELECT * FROM (VALUES {", ".join(f"('{role}{'_peer' * peer}', '{role}', {str(peer).lower()})" for role, peer in _CONFIGS)}) AS x(config, role, configured)),
+    f AS (SELECT config, role, configured, user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS outcome, CASE WHEN configured THEN '{_PEER[0]}' END AS slot_ip, CASE WHEN configured THEN {_PEER[1]} END AS slot_port, us AS last, CAST(0 AS BIGINT) AS epoch, CAST(0 AS BIGINT) AS timeouts FROM c, p WHERE n = 1
+        UNION ALL
+        SELECT config, role, configured, user_id, n, event_id, outcome, CASE WHEN outcome IN ('ignored', 'passed') THEN s_ip ELSE ip END, CASE WHEN outcome IN ('ignored', 'passed') THEN s_port ELSE port END, CASE WHEN outcome = 'ignored' THEN last ELSE us END,
+            epoch + CASE WHEN outcome IN ('learned', 'switched', 'replaced', 'port_changed') THEN 1 ELSE 0 END, timeouts + CASE WHEN gone THEN 1 ELSE 0 END
+        FROM (SELECT *, CASE WHEN s_ip IS NULL THEN 'learned' WHEN ip = s_ip THEN CASE WHEN port = s_port THEN 'same' ELSE 'port_changed' END WHEN configured THEN CASE WHEN role = 'agent' AND port = {_PEER[1]} THEN 'switched' ELSE 'ignored' END
+                WHEN role = 'gateway' THEN 'replaced' ELSE 'passed' END AS outcome
+            FROM (SELECT *, CASE WHEN gone THEN NULL ELSE slot_ip END AS s_ip, CASE WHEN gone THEN NULL ELSE slot_port END AS s_port
+                FROM (SELECT f.config, f.role, f.configured, f.slot_ip, f.slot_port, f.last, f.epoch, f.timeouts, p.*, f.slot_ip IS NOT NULL AND p.us - f.last > {_SILENT_MS}000 AS gone FROM f JOIN p ON p.user_id = f.user_id AND p.n = f.n + 1))))
+    SELECT config, user_id, event_id, outcome, outcome = 'ignored' AS dropped, epoch, timeouts, slot_ip || ':' || CAST(slot_port AS VARCHAR) AS peer FROM f WHERE n > 0""")
+def peer_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the peer slot makes of each packet where a day's silence empties it, and the peer it then holds, for four configurations."""
+    n = F.col("event_id")
+    packets = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.concat(F.lit("10.0.0."), n % 3).alias("ip"), (F.expr("event_id div 3 % 3") + 47900).cast("int").alias("port"))
+    found = [slot.admitted(packets, KEY, ORDER, "ts", "ip", "port", role, _PEER if peer else None, _SILENT_MS).withColumn("config", F.lit(role + "_peer" * peer)) for role, peer in _CONFIGS]
+    out = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    return out.select("config", "user_id", "event_id", "outcome", "dropped", "epoch", "timeouts", F.concat_ws(":", "peer_ip", "peer_port").alias("peer"))
