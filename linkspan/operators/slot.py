@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,3 +94,19 @@ def admitted(packets: DataFrame, keys: list[str], order: list[str], ts: str, ip:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, (_, _, k) in zip(found, _ADDED))], names=["row", *added])
 
     return numbered.mapInArrow(run, schema).select(*(F.col("row")[c].alias(c) for c in kept), *added)
+
+
+def silences(frames: DataFrame, key: str, ts: str, role: str, configured_ms: int, until_ms: int | None = None) -> DataFrame:
+    """(stream, last_ms, timeout_ms): each time a stream was silent for longer than its role's timeout.
+
+    The last silence of a stream lasts until ``until_ms``, where observation ends, or, if that is not given, until the
+    latest row of all streams. Rows without key or time are left out. Times are in whole milliseconds.
+    """
+    after = timeout_ms(role, configured_ms)
+    rows = frames.select(F.col(key).cast("string").alias("stream"), F.unix_millis(F.col(ts).cast("timestamp")).alias("last_ms")).where("stream is not null and last_ms is not null")
+    following = F.lead("last_ms").over(Window.partitionBy("stream").orderBy("last_ms"))
+    ended = rows.withColumn("next_ms", following)
+    end = rows.agg(F.max("last_ms").alias("end_ms")) if until_ms is None else rows.sparkSession.range(1).select(F.lit(until_ms).cast("long").alias("end_ms"))
+    # the end is one row
+    judged = ended.join(F.broadcast(end), F.lit(True)).where(F.coalesce("next_ms", "end_ms") - F.col("last_ms") > after)
+    return judged.select("stream", "last_ms", (F.col("last_ms") + after).alias("timeout_ms"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from linkspan.operators.slot import Slot
 from linkspan.operators.telemetry import MAX_GAP
 
 
@@ -58,35 +59,31 @@ def loss(frames: DataFrame, key: str, sequence: str, order: list[str], forget_ms
     return _stateful(frames, key, order, step, f"{key} long, rx_packets long, lost long", "previous long, rx long, lost long", "update", forget_ms)
 
 
-def admitted(packets: DataFrame, key: str, order: str, ip: str, port: str, role: str, peer: tuple[str, int] | None = None, forget_ms: int | None = None) -> DataFrame:
-    """Outcome of each packet at the peer slot, and the epoch, as the batch operator of this name has them."""
+def admitted(packets: DataFrame, key: str, order: str, ip: str, port: str, role: str, peer: tuple[str, int] | None = None, forget_ms: int | None = None, ts: str | None = None, after_ms: int | None = None) -> DataFrame:
+    """Outcome of each packet at the peer slot, and the epoch, as the batch operators of this name have them.
+
+    With ``ts`` and ``after_ms`` a slot that has admitted nothing for longer is empty, as in ``slot.admitted``.
+    """
+    columns = [key, order, ip, port] + ([ts] if ts else [])
+    rows = packets.select(*columns).withColumn("at_us", F.unix_micros(F.col(ts).cast("timestamp")) if ts else F.lit(None).cast("long"))
 
     def step(owner: object, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        at, door, epoch = state or (*(peer or (None, None)), 0)
+        none = lambda x: None if pd.isna(x) else x
+        now = Slot(*(none(x) for x in state)) if state else Slot(*(peer or (None, None)))
         outcomes, epochs = [], []
-        for now, way in zip(rows[ip], rows[port]):
-            way = int(way)
-            if at is None:
-                outcome = "learned"
-            elif now == at:
-                outcome = "same" if way == door else "port_changed"
-            elif peer:
-                outcome = "switched" if role == "agent" and way == peer[1] else "ignored"
-            else:
-                outcome = "replaced" if role == "gateway" else "passed"
-            if outcome not in ("ignored", "passed"):
-                at, door = now, way
-            epoch += outcome in ("learned", "switched", "replaced", "port_changed")
-            outcomes.append(outcome)
-            epochs.append(epoch)
-        return pd.DataFrame({key: owner, order: rows[order].to_numpy(), "outcome": outcomes, "epoch": epochs}), (at, door, epoch)
+        for at, address, door in zip(rows["at_us"], rows[ip], rows[port]):
+            at, door = none(at), none(door)
+            outcomes.append(now.take(role, peer, None if after_ms is None else after_ms * 1000, None if at is None else int(at), none(address), None if door is None else int(door)))
+            epochs.append(now.epoch)
+        return pd.DataFrame({key: owner, order: rows[order].to_numpy(), "outcome": outcomes, "epoch": epochs}), (now.ip, now.port, now.last_us, now.epoch, now.timeouts)
 
-    return _stateful(packets, key, [order], step, f"{key} long, {order} long, outcome string, epoch long", "ip string, port int, epoch long", "append", forget_ms)
+    return _stateful(rows, key, [order], step, f"{key} long, {order} long, outcome string, epoch long", "ip string, port int, last_us long, epoch long, timeouts long", "append", forget_ms)
 
 
 def connection_states(frames: DataFrame, key: str, order: str, role: str, forget_ms: int | None = None) -> DataFrame:
     """The state after each frame or timeout row, as the batch operator of this name has it."""
     live, control = ("ethernet", "keepalive", "hello", "status", "safety_probe"), ("hello", "status", "safety_probe")
+    given = lambda x: not pd.isna(x) and x
     fields = ["connection", "laptop", "link_up", "awake", "message", "rtt_local", "rtt_peer", "reconnects"]
 
     def step(owner: object, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
@@ -98,17 +95,18 @@ def connection_states(frames: DataFrame, key: str, order: str, role: str, forget
                 now |= {"connection": "Connected", "laptop": True}
             if kind in control or kind == "ethernet":
                 now["message"] = "connected"
-            if kind == "keepalive" and row["is_reply"] and row["rtt"] > 0:
-                now["rtt_local"] = row["rtt"]
+            if kind == "keepalive" and given(row["is_reply"]) and given(row["rtt"]) and row["rtt"] > 0:
+                now["rtt_local"] = float(row["rtt"])
             if kind in ("goodbye", "timeout"):
                 now |= {"laptop": False, "message": "peer_disconnected" if kind == "goodbye" else "peer_timeout"}
                 now["connection"] = "Failed" if kind == "timeout" and role != "gateway" else "Reconnecting"
                 now["reconnects"] += kind == "timeout"
             if role == "gateway":
                 if kind == "status":
-                    now |= {"link_up": row["vehicle_link"], "awake": row["vehicle_awake"]}
-                    if 0 < row["peer_rtt"] < float("inf"):
-                        now["rtt_peer"] = row["peer_rtt"]
+                    # a flag that the status lacks stays as it was
+                    now |= {name: bool(row[field]) for name, field in (("link_up", "vehicle_link"), ("awake", "vehicle_awake")) if not pd.isna(row[field])}
+                    if given(row["peer_rtt"]) and 0 < row["peer_rtt"] < float("inf"):
+                        now["rtt_peer"] = float(row["peer_rtt"])
                 elif kind in ("goodbye", "timeout"):
                     now |= {"link_up": False, "awake": False}
                 elif kind == "ethernet" and now["link_up"]:

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from linkspan.operators import matching, telemetry
+from linkspan.operators import matching, slot, telemetry
 from linkspan.streaming import telemetry as streams
+from linkspan.streaming import timers
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +81,37 @@ def test_connection(spark, files, tmp_path, role):
     out = run(streams.connection_states(frames(streams.read_events(spark, files, batch.schema)), "user_id", "event_id", role), "append", tmp_path, f"connection_{role}")
     want = telemetry.connection_states(frames(batch), ["user_id"], ["event_id"], role).select(*out.columns)
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in want.collect()}
+
+
+@pytest.mark.parametrize(("role", "peer"), [("agent", ("10.0.0.0", 47901)), ("gateway", ("10.0.0.0", 47901)), ("gateway", None), ("agent", None)])
+def test_admission_with_timeouts(spark, files, tmp_path, role, peer):
+    """Slots that a day's silence empties, over several batches and in one; rows without address or port among them."""
+    n = F.col("event_id")
+    packets = lambda df: df.select("user_id", "ts", "event_id", F.when(n % 11 > 0, F.concat(F.lit("10.0.0."), n % 3)).alias("ip"), F.when(n % 13 > 0, (F.expr("event_id div 3 % 3") + 47900)).cast("int").alias("port"))
+    batch = spark.read.parquet(files)
+    stream = packets(streams.read_events(spark, files, batch.schema))
+    out = run(streams.admitted(stream, "user_id", "event_id", "ip", "port", role, peer, ts="ts", after_ms=86_400_000), "append", tmp_path, f"slots_{role}_{bool(peer)}")
+    want = slot.admitted(packets(batch), ["user_id"], ["event_id"], "ts", "ip", "port", role, peer, 86_400_000)
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in want.select("user_id", "event_id", "outcome", "epoch").collect()}
+    assert want.agg(F.max("timeouts")).first()[0] > 0
+
+
+def test_silences(spark, files, tmp_path):
+    """Every silence of over eight hours, the last of each stream included, which no frame ends."""
+    timers.use_timers(spark)
+    batch = spark.read.parquet(files)
+    out = run(timers.silences(streams.read_events(spark, files, batch.schema), "user_id", "ts", "agent", 8 * 3_600_000), "append", tmp_path, "silences_out")
+    want = slot.silences(batch, "user_id", "ts", "agent", 8 * 3_600_000)
+    found = {tuple(r) for r in out.collect()}
+    assert found == {tuple(r) for r in want.collect()} and found
+    last = {str(r[0]): r[1] for r in batch.groupBy("user_id").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).collect()}
+    assert any(last[s] == ms for s, ms, _ in found)
+
+
+def test_ring(spark, files, tmp_path):
+    """The ring of samples over several batches against the batch operator's window."""
+    timers.use_timers(spark)
+    batch = spark.read.parquet(files)
+    out = run(timers.rtt_ring(streams.read_events(spark, files, batch.schema), "user_id", "ts", "event_id", "value", size=48), "append", tmp_path, "ring_out")
+    want = telemetry.rtt_ring(batch, ["user_id"], ["ts", "event_id"], "value", ["event_id"])
+    assert {(int(r[0]), *r[1:]) for r in out.collect()} == {tuple(r) for r in want.collect()}
