@@ -4,11 +4,12 @@ Documents are tokenized, cut into pieces of at most one sequence, and full piece
 The other pieces are dealt into shards of bounded size, and for each shard several islands
 evolve packings. An island begins with best fits of items in random orders. Crossover injects
 whole well-filled bins of one parent into the other, drops the bins that hold a duplicate of an
-injected item, and puts displaced items back by best fit, largest first, until no packing can
-have fewer bins or nothing has been gained for some generations. After each epoch the best
-packing of an island moves to the next island of its shard, and best fits in falling and nearly
-falling order join, so the result is never worse than these. Bins that stay far from full are
-dissolved, and their items are dealt anew into fewer shards, so that a shard's rest is not lost.
+injected item, and settles displaced items: larger ones first take the place of smaller ones in bins
+that have the room, and what is left goes into the fullest bins that take it, largest first. It
+goes on until no packing can have fewer bins or nothing has been gained for some generations.
+After each epoch the best packing of an island moves to the next island of its shard. Bins
+that stay far from full are dissolved, and their items are dealt anew into fewer shards, so that a
+shard's rest is not lost.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import pairwise
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,10 @@ SHARD_ITEMS = 4096
 ISLANDS = 2
 EPOCHS = 2
 #: Generations of an epoch, and how many without a gain end it.
-GENERATIONS, PATIENCE = 24, 8
+GENERATIONS, PATIENCE = 48, 12
 POPULATION = 4
+#: A mutation dissolves up to one in so many bins.
+DISSOLVED = 12
 #: Islands that one task evolves.
 TASK_ISLANDS = 4
 #: Bytes of words that a worker remembers.
@@ -97,9 +101,15 @@ class WordEncoder:
 
     @staticmethod
     def split(word: str) -> tuple[str, str]:
-        """A word in the form to be looked up, and the mark behind it."""
-        core, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[:-1].isalpha() else (word, "")
-        return core.lower() if core.isascii() and core.isalpha() else core, mark
+        """A word in the form to be looked up, and the mark behind it.
+
+        What counts is the normalised word: a letter that becomes a letter and a combining mark
+        has a token of that mark and what follows it.
+        """
+        core, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
+        if core.isascii():
+            return (core.lower(), mark) if core.isalpha() else (word, "")
+        return (core, mark) if mark and normalize("NFC", core).lower().isalpha() else (word, "")
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -156,8 +166,32 @@ def fitness(bins: Bins, capacity: int) -> tuple[int, float]:
     return -len(bins), sum((1 - room / capacity) ** 2 for room, _ in bins)
 
 
+def exchange(bins: Bins, loose: list[int], sizes: list[int]) -> tuple[Bins, list[int]]:
+    """Put loose items into bins in the place of smaller ones, the largest that fit; returns the bins and the smaller items that are loose now, largest first."""
+    order, out = sorted((sizes[i], i) for i in loose), []
+    for room, held in bins:
+        if room and order:
+            held = list(held)
+            for k in sorted(range(len(held)), key=lambda k: sizes[held[k]]):
+                own = sizes[held[k]]
+                at = bisect_left(order, (own + room + 1, -1)) - 1
+                if at >= 0 and order[at][0] > own:
+                    size, item = order.pop(at)
+                    insort(order, (own, held[k]))
+                    held[k] = item
+                    room -= size - own
+                    if not room:
+                        break
+        out.append((room, held))
+    return out, [i for _, i in reversed(order)]
+
+
+def settle(bins: Bins, loose: list[int], sizes: list[int], capacity: int) -> Bins:
+    return best_fit(*exchange(bins, loose, sizes), sizes, capacity)
+
+
 def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
-    """Inject well-filled bins of ``b`` into ``a``, drop bins with duplicates, best-fit what they displaced."""
+    """Inject well-filled bins of ``b`` into ``a``, drop bins with duplicates, settle what they displaced."""
     ranked = sorted(b, key=lambda x: x[0])
     good = ranked[: max(1, len(ranked) // 2)]
     injected = rng.sample(good, rng.randint(1, len(good)))
@@ -165,32 +199,33 @@ def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: random.Ran
     kept = [x for x in a if inside.isdisjoint(x[1])]
     kept_items = {i for _, held in kept for i in held}
     displaced = [i for _, held in a for i in held if i not in inside and i not in kept_items]
-    return best_fit(injected + kept, sorted(displaced, key=lambda i: -sizes[i]), sizes, capacity)
+    return settle(injected + kept, displaced, sizes, capacity)
 
 
 def mutate(bins: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
-    """Dissolve the emptiest bin and a few random ones."""
-    gone = {max(range(len(bins)), key=lambda k: bins[k][0]), *(rng.randrange(len(bins)) for _ in range(3))}
-    loose = [i for k in gone for i in bins[k][1]]
-    return best_fit([x for k, x in enumerate(bins) if k not in gone], sorted(loose, key=lambda i: -sizes[i]), sizes, capacity)
+    """Dissolve the emptiest bins and as many random ones."""
+    n = rng.randint(1, max(1, len(bins) // DISSOLVED))
+    emptiest = sorted(range(len(bins)), key=lambda k: -bins[k][0])[:n]
+    gone = {*emptiest, *(rng.randrange(len(bins)) for _ in range(n))}
+    return settle([x for k, x in enumerate(bins) if k not in gone], [i for k in gone for i in bins[k][1]], sizes, capacity)
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, guests: list[Bins], generations: int = GENERATIONS) -> tuple[Bins, int]:
-    """One epoch of one island: the best packing it has, and how many generations there were."""
-    rng = random.Random(seed)
-    falling = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    """One epoch of one island: the best packing it has, and how many generations there were.
+
+    ``guests`` are the island's own best packing and the elite that has come; random beginnings join them.
+    """
+    rng, items = random.Random(seed), range(len(sizes))
     people = list(guests)
-    if guests:
-        people += [best_fit([], falling, sizes, capacity), best_fit([], sorted(falling, key=lambda i: -sizes[i] * rng.uniform(0.85, 1)), sizes, capacity)]
     while len(people) < POPULATION:
-        people.append(best_fit([], rng.sample(falling, len(falling)), sizes, capacity))
+        people.append(best_fit([], rng.sample(items, len(items)), sizes, capacity))
     scored = sorted(((fitness(x, capacity), n, x) for n, x in enumerate(people)), reverse=True)
     least, gained, n = -(-sum(sizes) // capacity), 0, 0
     while n < generations and n - gained < PATIENCE and -scored[0][0][0] > least:  # no packing has fewer bins than that
         n += 1
         a, b = rng.sample(scored[:3], 2)
         child = crossover(a[2], b[2], sizes, capacity, rng)
-        if rng.random() < 0.5:
+        if rng.random() < 0.7:
             child = mutate(child, sizes, capacity, rng)
         if (score := fitness(child, capacity)) > scored[0][0]:
             gained = n
