@@ -4,8 +4,10 @@ Generators of high recall propose overlapping spans of four kinds. Spans of the
 grammar are always redacted. The others are judged by boosted trees over format and context
 features, with one threshold for each kind, calibrated on rows that the trees were not grown
 from. As nothing marks what the base grammar misses, the trees learn from spans that it finds,
-written in a text's own context as people disguise them (``disguised``): a generator's proposal
-is right if it is such a span, and wrong if it is another part of one, a disguised match that
+written in a text's own context as people disguise them (``disguised``), and from made-up ones and
+look-alikes, such as dates, versions and order numbers, that are put between the words of texts
+(``planted``), as many as are needed however few the texts are. A generator's proposal
+is right if it is such a span, and wrong if it is another part of one, a look-alike, a disguised match that
 failed its check, or by its form of no kind (``weak_negative``).
 """
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkspan.llm.common import bounded_sample, bucket3, over_batches
+from linkspan.llm.common import bounded_sample, cut, discard, over_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: About so many rows are looked through for training, and at most so many candidates are learned from.
@@ -30,8 +32,8 @@ TRAIN_ROWS = 20_000
 TRAIN_CANDIDATES = 20_000
 #: Least share of valid spans among calibration candidates at or above a kind's threshold.
 PRECISION = 0.95
-#: A kind whose calibration rows have fewer right or wrong examples than this adds nothing.
-LEAST_CANDIDATES = 20
+#: Spans and look-alikes that are put into a text, and into all texts together at least.
+PLANTED, LEAST_PLANTED = 4, 6_000
 
 Span = tuple[str, int, int]
 
@@ -41,8 +43,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: The wider generators. Their runs are bounded, so that a scan takes linear time. An email may begin within another proposal.
 _WIDE = (
-    ("email", re.compile(r"(?<![\w.%+-])(?=([\w.%+-]{1,64}\s?(?:\[at\]|\(at\)|\bat\b|@)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\[dot\]|\(dot\)|\bdot\b|\.)\s?[A-Za-z0-9-]{2,63}){1,4}))")),
-    ("ip", re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,4}(?:\s?(?:\[\.\]|\(\.\)|\[dot\]|\bdot\b|\.)\s?[0-9]{1,4}){3}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7})(?![0-9A-Fa-f:])")),
+    ("email", re.compile(r"(?<![\w.%+-])(?=([\w.%+-]{1,64}\s?(?i:\[at\]|\(at\)|\{at\}|\bat\b|@)\s?[A-Za-z0-9-]{1,63}(?:\s?(?i:\[dot\]|\(dot\)|\{dot\}|\bdot\b|\.)\s?[A-Za-z0-9-]{2,63}){1,4}))")),
+    ("ip", re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,4}(?:\s?(?i:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\bdot\b|\.)\s?[0-9]{1,4}){3}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7})(?![0-9A-Fa-f:])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{1,6}(?:[\x20./-]{0,3}[0-9]{1,6}){1,9}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9+])(?:(?:\+|00)\x20?)?\(?[0-9]{1,4}\)?(?:[\x20./-]{0,2}\(?[0-9]{1,4}\)?){2,6}(?![0-9])")),
 )
@@ -50,10 +52,15 @@ _CUES = {
     "email": ("mail", "email", "e-mail", "contact", "write"), "ip": ("ip", "host", "address", "server", "from"),
     "card": ("card", "visa", "mastercard", "credit", "number", "account"), "phone": ("phone", "tel", "call", "mobile", "fax", "contact"),
 }
-_MAYBE = re.compile("[0-9@]")
-_HIDDEN = re.compile(r"[\[(](?:at|dot|\.)[\])]|\bdot\b")
-_AT = re.compile(r"\s?(?:\[at\]|\(at\)|\bat\b|@)\s?")
-_DOT = re.compile(r"\s?(?:\[dot\]|\(dot\)|\bdot\b|\[\.\]|\(\.\)|\.)\s?")
+#: What a text without any candidate lacks.
+_MAYBE = re.compile(r"[0-9@]|(?i:\bdot\b|[\[({](?:at|dot)[\])}]|\bat\s[a-z0-9-]+\.[a-z]{2})")
+_HIDDEN = re.compile(r"(?i:[\[({](?:at|dot|\.)[\])}]|\bdot\b)")
+_AT = re.compile(r"(?i:\s?(?:[\[({]at[\])}]|\bat\b|@)\s?)")
+_DOT = re.compile(r"(?i:\s?(?:[\[({]dot[\])}]|\bdot\b|\[\.\]|\(\.\)|\.)\s?)")
+#: Whether what follows could be more of a number, or of an address.
+_GOES_ON = (re.compile(r"[\x20./:-]{0,2}[0-9]"), re.compile(r"(?i:\s?(?:[\[({]dot[\])}]|\bdot\b)\s?[a-z0-9-]{2}|\.[a-z0-9-]{2})"))
+_TOP_LEVEL = frozenset("com org net edu gov int info biz eu uk de fr es it nl be ch at pl se no dk fi pt us ca au jp cn in br ru io ai app dev me tv cc co".split())
+_SPACED_DOT = re.compile(r"\.\s|\s\.")
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}")
 
 
@@ -92,12 +99,12 @@ def base_matches(text: str) -> Iterator[tuple[Span, bool]]:
 def weak_negative(span: Span, text: str) -> bool:
     """Whether a proposal that no base span overlaps is a negative by its form.
 
-    An email written with neither '@' nor a mark that hides one, or with white space and no
-    such mark; colons that are no IPv6 address; a date, or too few or many digits for a phone.
+    An email without a mark that hides a sign, if there is white space at a dot of it, or beside an '@'; colons that are no IPv6 address; a date, or too few or many digits for a phone.
     """
     kind, own = span[0], text[span[1] : span[2]]
     if kind == "email":
-        return not _HIDDEN.search(own) and ("@" not in own or any(map(str.isspace, own)))
+        # "at noon. This" is prose; "at example.org", without white space at its dots, may be an address
+        return not _HIDDEN.search(own) and (bool(_SPACED_DOT.search(own)) or "@" in own and any(map(str.isspace, own)))
     if kind == "ip" and ":" in own:
         try:
             ipaddress.IPv6Address(own)
@@ -118,8 +125,9 @@ def disguise(kind: str, text: str, rng: random.Random) -> str:
     groups = lambda *sizes: [digits[sum(sizes[:k]) : sum(sizes[: k + 1])] for k in range(len(sizes))] + [digits[sum(sizes) :]]
     if kind == "email":
         name, _, domain = text.rpartition("@")
-        at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), (" (at) ", ".")])
-        return name + at + domain.replace(".", dot)
+        at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), (" (at) ", "."), (" at ", "."), ("@", " dot "), ("{at}", "{dot}")])
+        raise_ = str.upper if rng.random() < 0.25 else str
+        return name + raise_(at) + domain.replace(".", raise_(dot))
     if kind == "ip":
         if rng.random() < 0.25:
             parts = ["%x" % (int(p[-3:]) * 257) for p in text.split(".")]
@@ -127,8 +135,8 @@ def disguise(kind: str, text: str, rng: random.Random) -> str:
         return rng.choice(["[.]", "(.)", "[dot]", " dot ", " . "]).join(text.split("."))
     if kind == "card":
         return rng.choice([".", "/", " - ", "  "]).join(x for x in groups(4, 4, 4) if x)
-    local = groups(max(len(digits) - 10, 0), 3, 3)
-    return rng.choice(["({1}) {2}-{3}", "{1}-{2}-{3}", "{1} {2} {3}", "00{0} {1} {2} {3}", "{1}.{2}.{3}", "{0} ({1}) {2} {3}"]).format(*local).strip()
+    local = groups(max(len(digits) - 10, 0), *rng.choice([(3, 3), (3, 3), (2, 4), (2, 7), (4, 3)]))
+    return rng.choice(["({1}) {2}-{3}", "{1}-{2}-{3}", "{1} {2} {3}", "00{0} {1} {2} {3}", "00{0} {1} {2}{3}", "{1}.{2}.{3}", "{0} ({1}) {2} {3}", "{0} ({1}) {2}{3}", "({1}) {2}{3}"]).format(*local).strip()
 
 
 def spoilt(kind: str, text: str, rng: random.Random) -> str:
@@ -171,7 +179,76 @@ def disguised(text: str, base: list[Span], failed: list[Span], rng: random.Rando
     return "".join([*out, text[end:]]), *places
 
 
-def examples(text: str, rng: random.Random) -> list[tuple[int, list[float]]]:
+_NAMES = "anna ben carla dieter elena felix greta hugo ines jonas karin luis maria nils olga paul rosa sven tina uwe".split()
+_HOSTS = "mail post web shop haus data blue north river stone lumen acme corp example uni lab".split()
+
+
+def made_up(kind: str, rng: random.Random) -> str:
+    """A span of the base grammar's shape that passes its check."""
+    number = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+    if kind == "email":
+        name = rng.choice(["{0}", "{0}.{1}", "{0}_{2}", "{0}{2}", "{3}.{1}", "{0}-{1}"]).format(rng.choice(_NAMES), rng.choice(_NAMES), rng.randrange(100), rng.choice("abcdefgh"))
+        return f"{name}@{rng.choice(_HOSTS)}{rng.choice(['', '-' + rng.choice(_HOSTS), '.' + rng.choice(_HOSTS)])}.{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'co.uk', 'io'])}"
+    if kind == "ip":
+        return ".".join(str(rng.randrange(rng.choice([256, 256, 10]))) for _ in range(4))
+    if kind == "card":
+        digits = rng.choice("3456") + number(rng.choice([13, 14, 14, 14, 15, 17]))
+        return next(digits + str(k) for k in range(10) if luhn(digits + str(k)))
+    return f"+{rng.randrange(1, 99)} {number(3)} {number(3)} {number(4)}"
+
+
+def look_alike(kind: str, rng: random.Random) -> str:
+    """What generators of the kind may propose but is no personal data: dates, times, versions, decimals, order numbers, prose."""
+    n = lambda a, b: rng.randrange(a, b)
+    number = lambda k: "".join(str(rng.randrange(10)) for _ in range(k))
+    year, word = n(1950, 2035), lambda: rng.choice([*_NAMES, *_HOSTS])
+    if kind == "email":
+        return rng.choice([f"{word()} at {word()}. {word().title()}", f"look at {word()} dot {word()} dot dot", f"the dot at {word()}", f"@{word()} at {word()}", f"{word()} at {n(1, 12)}.{n(10, 60)}", f"a dot on {word()} dot"])
+    if kind == "ip":
+        return rng.choice([
+            f"{n(0, 24)}:{n(10, 60)}:{n(10, 60)}:{n(10, 60)}", f"{n(1, 9)}.{n(0, 9)}.{n(0, 9)} . {n(1, 9)}", f"{n(1, 29)} . {n(1, 13)} . {year} . {n(1, 9)}", f"{n(256, 999)} . {n(0, 256)} . {n(0, 256)} . {n(0, 256)}",
+            ":".join(f"{n(0, 256):02x}" for _ in range(6)), f"{n(1, 9)}:{n(1, 9)}:{n(1, 9)}:{n(1, 9)}", f"{n(1, 9)} dot {n(1, 99)}", f"{n(300, 9999)}[.]{n(0, 99)}[.]{n(0, 99)}[.]{n(0, 99)}",
+        ])
+    if kind == "card":
+        digits = number(n(13, 19))
+        if luhn(digits):
+            digits = digits[:-1] + str((int(digits[-1]) + 1) % 10)
+        return rng.choice([f"{digits[:4]}.{digits[4:8]}.{digits[8:12]}.{digits[12:]}", f"{digits[:4]}/{digits[4:8]}/{digits[8:]}", f"{year}{n(10, 13)}{n(10, 29)}{number(6)}", f"{n(0, 9)}.{digits}", f"{digits[:4]} - {digits[4:8]} - {digits[8:12]} - {digits[12:]}", " ".join(str(year + k) for k in range(4))])
+    return rng.choice([
+        f"{year}-{n(10, 13)}-{n(10, 29)}-{number(4)}", f"{n(0, 99)}.{number(5)}.{number(5)}", f"{n(0, 99)}.{number(n(5, 11))}", f"978-{n(0, 9)}-{number(2)}-{number(6)}-{n(0, 9)}", f"{year}/{n(10, 13)}/{number(6)}", f"{n(0, 24)}:{n(10, 60)}-{n(0, 24)}:{n(10, 60)}",
+        f"{year}-{year + n(1, 9)}", " ".join(str(year + k) for k in range(n(2, 5))), f"{n(1, 999)} {number(3)} {number(3)}", f"{n(1, 99)}.{number(3)}.{number(3)}", f"{n(1, 22)}-{n(1, 22)} {n(1, 22)}-{n(1, 22)} {n(1, 22)}-{n(1, 22)}", f"{n(1, 99)}.{n(0, 99)}.{n(0, 99)}.{number(4)}",
+        f"{n(10, 29)}.{n(10, 13)}.{year} {n(0, 24)}.{n(10, 60)}", f"{number(4)}-{number(4)}-{number(4)}", f"{year}{n(10, 13)}{n(10, 29)}-{number(4)}", f"{n(1, 99)} {n(1, 99)} {n(1, 99)} {n(1, 99)}",
+    ])
+
+
+def planted(text: str, rng: random.Random, n: int) -> tuple[str, set[Span], list[tuple[str, int, int]]]:
+    """The text's words with ``n`` disguised made-up spans and look-alikes between them, half of them behind a word that points to one; where both are."""
+    words = text.split(" ")[:400]
+    gaps = sorted(rng.randrange(len(words) + 1) for _ in range(n))
+    out, size, right, wrong = [], 0, set(), []
+
+    def put(piece: str) -> int:
+        nonlocal size
+        out.append(piece)
+        size += len(piece)
+        return size
+
+    before = 0
+    for gap in gaps:
+        put("".join(f"{w} " for w in words[before:gap]))
+        before = gap
+        kind, good = rng.choice(KINDS), rng.random() < 0.5
+        own = disguise(kind, made_up(kind, rng), rng) if good else look_alike(kind, rng)
+        cue = rng.choice([*_CUES[kind], "on", "version", "order", "see", "at", "and"]) if rng.random() < 0.5 else ""
+        start = put(f"{cue}{rng.choice([': ', ' '])}" if cue else "")
+        end = put(own)
+        (right.add if good else wrong.append)((kind, start, end))
+        put(rng.choice([" ", " ", ". ", ", ", ") "]))
+    put(" ".join(words[before:]))
+    return "".join(out), right, wrong
+
+
+def examples(text: str, rng: random.Random, plants: int = PLANTED) -> list[tuple[int, list[float]]]:
     """(right or wrong, features) of the candidates that a text teaches."""
     base, failed, wide = candidates(text)
     found = [(1, features(text, s)) for s in base] + [(0, features(text, s)) for s in failed]
@@ -188,6 +265,18 @@ def examples(text: str, rng: random.Random) -> list[tuple[int, list[float]]]:
                 found.append((1, features(other, span)))
             elif part.any() or weak_negative(span, other):
                 found.append((0, features(other, span)))
+    while plants > 0:
+        # a long text takes them all, a short one some at a time
+        other, right, wrong = planted(text, rng, min(plants, 8))
+        plants -= 8
+        touched = np.zeros(len(other) + 1, np.int8)
+        for _, a, b in [*right, *wrong]:
+            touched[a:b] = 1
+        for span in candidates(other)[2]:
+            if span in right:
+                found.append((1, features(other, span)))
+            elif touched[span[1] : span[2]].any():
+                found.append((0, features(other, span)))
     return found
 
 
@@ -207,7 +296,7 @@ def proposed(text: str) -> Iterator[Span]:
 
 def candidates(text: str | None) -> tuple[list[Span], list[Span], list[Span]]:
     """The base spans, the failed base matches, and the other spans that generators propose."""
-    if not text or not (_MAYBE.search(text) or "dot" in text):
+    if not text or not _MAYBE.search(text):
         return [], [], []
     base: list[Span] = []
     failed: list[Span] = []
@@ -226,7 +315,7 @@ def features(text: str, span: Span) -> list[float]:
     kind, a, b = span
     raw = own = text[a:b]
     if kind == "email":
-        own = _DOT.sub(".", re.sub(r"\s?(?:\[at\]|\(at\)|\bat\b)\s?", "@", own))
+        own = _DOT.sub(".", _AT.sub("@", own))
     elif kind == "ip":
         own = _DOT.sub(".", own)
     last = re.split(r"[.\s]+", own)[-1]
@@ -241,6 +330,7 @@ def features(text: str, span: Span) -> list[float]:
         float(sum(map(str.isalpha, own))), float(own.count("@") == 1 and "." in own.rpartition("@")[2]), float(any(w in _CUES[kind] for w in words)), float(bool(before) and before[-1].isalnum()),
         float(bool(after) and after[0].isalnum()), float(bool(re.search(r"[A-Za-z0-9][^\sA-Za-z0-9]?\s?$", before)) and before[-1:] in "$€#%="), float(len(set(digits)) if digits else 0),
         float(bool(_HIDDEN.search(raw))), float(sum(map(str.isspace, raw))), float(len(last)), float(last.islower()), float(raw.count("@")), float(len(re.findall(r"[A-Z]", raw))),
+        float(bool(_GOES_ON[kind == "email"].match(after))), float(kind == "email" and last.lower() in _TOP_LEVEL), float(kind == "email" and bool(re.search(r"(?i)[\[({]at[\])}]", raw))),
         float(":" in own and not weak_negative(span, text)), float(max((len(g) for g in re.findall(r"[A-Fa-f]+", own)), default=0)), float(before[-1:] == "+" or before[-1:] == "."),
     ]
 
@@ -326,20 +416,26 @@ class Model:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_CANDIDATES) -> Model:
     """Grow trees on the ``examples`` of about ``rows`` texts, at most about ``most`` of them.
 
-    Null ids and texts teach nothing, repeated rows teach once. Without both classes the model
-    adds nothing, nor does a kind without enough examples of both to calibrate on.
+    Null ids and texts teach nothing, repeated rows teach once. The fewer texts there are, the more is planted in
+    each, so that a small table teaches as a large one does; without any the model adds nothing, nor does a
+    kind for which no threshold reaches the wanted precision.
     """
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]|dot")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sample = bounded_sample(texts, rows)
+    plants = max(PLANTED, -(-LEAST_PLANTED // max(sample.count(), 1)))
 
     def collect(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple[int, int, bytes]] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            out += [(doc_id, y, np.array(x, "<f4").tobytes()) for y, x in examples(text, random.Random(doc_id))]
+            out += [(doc_id, y, np.array(x, "<f4").tobytes()) for y, x in examples(text, random.Random(doc_id), plants)]
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "y", "x"])
 
-    found = over_batches(sample, collect, "doc_id long, y int, x binary").withColumn("fold", bucket3(F.col("doc_id")))
-    picked = found.orderBy(F.xxhash64("doc_id", "x"), "doc_id").limit(most).collect()
+    # examples of one text are dealt over both folds: a small table has few texts
+    found = cut(over_batches(sample, collect, "doc_id long, y int, x binary"), "pii-examples")
+    share = min(1.0, most / max(found.count(), 1))
+    drawn = F.pmod(F.xxhash64("doc_id", "x", F.lit(7)), F.lit(2**40)) < int(2**40 * share)
+    picked = found.where(drawn).select("y", "x", F.pmod(F.xxhash64("doc_id", "x"), F.lit(3)).alias("fold")).orderBy("x", "y").collect()
+    discard(found)
     model = Model()
     if len({r.y for r in picked}) < 2:
         return model
@@ -347,8 +443,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_CANDIDATES)
     y, fold = np.array([r.y for r in picked], float), np.array([r.fold for r in picked])
     for k, kind in enumerate(KINDS):
         grow, own = (fold != 1) & (x[:, 0] == k), (fold == 1) & (x[:, 0] == k)
-        right, wrong = (own & (y == 1)).sum(), (own & (y == 0)).sum()
-        if min(right, wrong) < LEAST_CANDIDATES or not 0 < y[grow].sum() < grow.sum():
+        if not 0 < y[grow].sum() < grow.sum() or not 0 < y[own].sum() < own.sum():
             continue
         trees = Trees().fit(x[grow], y[grow])
         scores = trees.scores(x[own])
