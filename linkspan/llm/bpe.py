@@ -48,31 +48,28 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     follow = list(range(1, n + 1))  # where the token that starts here ends
     before = list(range(-1, n - 1))
 
-    def put(i: int, value: int) -> None:
-        k = leaves + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            low = a if a < b else b
-            if tree[k] == low:
-                return
-            tree[k] = low
-            k >>= 1
-
     while tree[1] != _NONE:
         i = tree[1] & 0xFFFFFFFF
         j = follow[i]
         end = follow[i] = follow[j]
-        put(j, _NONE)
+        p = before[i]
         r = rank(piece[i : follow[end]]) if end < n else None
-        put(i, _NONE if r is None else r << 32 | i)
+        tree[leaves + j] = _NONE
+        tree[leaves + i] = _NONE if r is None else r << 32 | i
         if end < n:
             before[end] = i
-        p = before[i]
         if p >= 0:
             r = rank(piece[p:end])
-            put(p, _NONE if r is None else r << 32 | p)
+            tree[leaves + p] = _NONE if r is None else r << 32 | p
+        # point updates of the three leaves, each up to where nothing changes
+        for k in ((leaves + j) >> 1, (leaves + i) >> 1, (leaves + p) >> 1 if p >= 0 else 0):
+            while k:
+                a, b = tree[2 * k], tree[2 * k + 1]
+                low = a if a < b else b
+                if tree[k] == low:
+                    break
+                tree[k] = low
+                k >>= 1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : follow[i]]])

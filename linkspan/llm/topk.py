@@ -27,8 +27,8 @@ BLOCK, QUERY_BLOCK = 4096, 512
 TASK_VECTORS = 8192
 #: Bytes of queries that are broadcast at a time, but one block at least.
 WAVE_BYTES = 16 << 20
-#: Scores must be smaller than this.
-MOST_SCORE = 2.0**62
+#: Scores that may be larger are computed as decimals.
+LONG_SCORE = 2.0**62
 
 _BLOCKS = "dim int, rows binary, ids binary, low binary, step binary, cells binary"
 
@@ -36,15 +36,11 @@ _BLOCKS = "dim int, rows binary, ids binary, low binary, step binary, cells bina
 def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v): components floor(scale * x) as longs.
 
-    A null id, a null vector, or one with null or non-finite components takes no part. If the
-    largest components allow for scores that may not fit a long, that is a ValueError.
+    A null id, a null vector, or one with null or non-finite components takes no part. A component
+    that is no long after scaling is an overflow error.
     """
     sound = F.expr("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound)
-    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
-    most, widest = rows.agg(F.max(largest), F.max(F.size("embedding"))).first()
-    if widest and widest * (scale * (most or 0.0) + 1) ** 2 >= MOST_SCORE:
-        raise ValueError(f"components of up to {most:g} in {widest} dimensions: scores may pass 2**62")
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
@@ -68,9 +64,10 @@ def approximate(batches: Iterator[pa.RecordBatch], bits: int = BITS) -> Iterator
         for rows, ids, v in _matrix(batch):
             for a in range(0, len(ids), BLOCK):
                 part = v[a : a + BLOCK]
-                low = part.min(0, initial=2**62)
-                step = np.maximum((part.max(0, initial=-(2**62)) - low) // (1 << bits) + 1, 1)
-                cells = ((part - low) // step).astype(np.uint8)
+                low = part.min(0)
+                # differences of longs are unsigned
+                step = (part.max(0).view(np.uint64) - low.view(np.uint64)) // np.uint64(1 << bits) + np.uint64(1)
+                cells = ((part.view(np.uint64) - low.view(np.uint64)) // step).astype(np.uint8)
                 values = [rows[a : a + BLOCK], ids[a : a + BLOCK], low, step, cells]
                 yield pa.RecordBatch.from_arrays([pa.array([v.shape[1]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in values)], names=["dim", *names])
 
@@ -79,8 +76,8 @@ def bounded_pairs(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """(query, vector, lower, upper) of what may be among a query's k best of this block."""
     dim = row["dim"]
     get = lambda n, t: np.frombuffer(row[n], t)
-    rows, ids, low, step, q_ids = get("rows", np.int64), get("ids", np.int64), get("low", np.int64), get("step", np.int64), row["q_ids"]
-    corners = (low + step * get("cells", np.uint8).reshape(len(ids), dim)).astype(np.float64)
+    rows, ids, low, step, q_ids = get("rows", np.int64), get("ids", np.int64), get("low", np.int64).astype(np.float64), get("step", np.uint64).astype(np.float64), row["q_ids"]
+    corners = low + step * get("cells", np.uint8).reshape(len(ids), dim)
     q = row["q"].reshape(len(q_ids), dim).astype(np.float64)
     base = q @ corners.T
     lower = base + (np.minimum(q, 0) @ (step - 1))[:, None]
@@ -106,7 +103,12 @@ def _first(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
 
 
 def _exact(pairs: DataFrame, candidates: DataFrame, queries: DataFrame) -> DataFrame:
-    product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+    wide = "decimal(38,0)"
+    product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x).cast(wide)
+    # components up to 2**63: a product has 38 digits at most
+    exact = F.aggregate(F.zip_with("qv", "v", lambda a, b: (a.cast("decimal(19,0)") * b.cast("decimal(19,0)")).cast(wide)), F.lit(0).cast(wide), lambda s, x: (s + x).cast(wide))
+    largest = lambda v: F.coalesce(F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))), F.lit(0.0))
+    product = F.when(F.size("v") * largest("v") * largest("qv") < LONG_SCORE, product).otherwise(exact)
     both = pairs.select("query", "row").join(candidates, "row").join(queries, "query")
     return both.select("query", "query_id", "vec_id", product.alias("score"), (F.col("times") * F.col("asked")).alias("times"))
 
@@ -125,7 +127,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = K, bits: int = BITS) ->
 
     Queries are the rows whose vec_id ``every`` divides; candidates are all rows of other ids
     and equal dimension. Fewer than k candidates give as many rows. Rows that take no part (see
-    ``integer_vectors``, also for the range of scores) neither ask nor answer. Rows that repeat
+    ``integer_vectors``) neither ask nor answer. Scores are exact; one of the result that is no long is an overflow error. Rows that repeat
     a candidate's vec_id answer as often as they are there; of a query id that repeats, all rows
     ask, and the k best of all their answers are the id's. An empty table gives an empty result.
     Columns beyond vec_id and embedding are ignored.
@@ -166,4 +168,4 @@ def search(vectors: DataFrame, every: int = 50, k: int = K, bits: int = BITS) ->
     delete(rows.sparkSession, at)
     each = scored.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)).cast("int"))))
     best = _first(each, "query_id", [F.desc("score"), F.col("vec_id")], k)
-    return best.select("query_id", F.col("place").cast("int").alias("rank"), "vec_id", "score")
+    return best.select("query_id", F.col("place").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))

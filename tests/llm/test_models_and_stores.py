@@ -126,12 +126,20 @@ def test_topk(spark):
     assert topk.search(table.limit(0)).count() == 0
 
 
-def test_topk_states_its_range(spark):
-    schema = "vec_id long, embedding array<float>"
-    with pytest.raises(ValueError, match="may pass"):
-        topk.search(spark.createDataFrame([(0, [3e7] * 4), (1, [3e7] * 4)], schema))
-    found = topk.search(spark.createDataFrame([(0, [4e6] * 4), (1, [4e6] * 4), (2, [-4e6] * 4)], schema)).collect()
-    assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank)] == [(1, 4 * (256 * 4_000_000) ** 2), (2, -4 * (256 * 4_000_000) ** 2)]
+def test_topk_beyond_half_a_long(spark):
+    """Large rows among small ones, whose scores pass 2**62, are exact and spoil no other; a score that is no long is an error of its own."""
+    schema, rng = "vec_id long, embedding array<float>", random.Random(2)
+    rows = [(k, [rng.uniform(-1, 1) for _ in range(64)]) for k in range(120)] + [(150, [1.2e6] * 64), (151, [1.2e6] * 63 + [-1.2e6]), (152, [-1.1e6] * 64), (153, [5e6] + [0.0] * 63)]
+    table = spark.createDataFrame(rows, schema)
+    whole = {k: [int(np.floor(256 * float(np.float32(x)))) for x in v] for k, v in rows}
+    score = lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b]))
+    want = []
+    for q in (k for k in whole if k % 50 == 0):
+        best = sorted((k for k in whole if k != q), key=lambda k: (-score(q, k), k))[:5]
+        want += [(q, n + 1, k, score(q, k)) for n, k in enumerate(best)]
+    assert Counter(map(tuple, topk.search(table).collect())) == Counter(want) and max(w[3] for w in want) > 2**62
+    with pytest.raises(Exception, match="OVERFLOW"):
+        topk.search(spark.createDataFrame([(0, [3e7] * 4), (1, [3e7] * 4)], schema)).collect()
 
 
 def test_topk_by_waves(spark, monkeypatch):
