@@ -112,6 +112,11 @@ def is_encrypted(raw: Column) -> Column:
     return F.when((F.octet_length(raw) >= HEADER_BYTES) & (F.substring(raw, 1, 4) == F.lit(MAGIC).cast("binary")), unsigned(raw, 7, 2).bitwiseAND(FLAG_ENCRYPTED) != 0)
 
 
+def plaintext_dropped(raw: Column, required: Column) -> Column:
+    """Whether a frame is dropped before it is decoded, as encryption is required and its header does not say that it is encrypted, or cannot be read."""
+    return F.coalesce(required, F.lit(False)) & ~F.coalesce(is_encrypted(raw), F.lit(False))
+
+
 def fits_wire(frame: Column) -> Column:
     return F.octet_length(frame) <= MAX_FRAME
 
@@ -151,6 +156,18 @@ def control_json(kind: str, **fields: Column) -> Column:
     return F.to_json(F.struct(F.lit(kind).alias("kind"), *(c.alias(n) for n, c in fields.items())))
 
 
+def hello(role: Column, version: Column, hostname: Column, require_crypto: Column) -> Column:
+    """The payload that greets a peer; a host without a name is unknown."""
+    return control_json("hello", role=role, version=version, hostname=F.coalesce(F.nullif(hostname, F.lit("")), F.lit("unknown")), require_crypto=require_crypto)
+
+
+def status(role: Column, link_up: Column, awake: Column, connection: Column, packets_tx: Column, packets_rx: Column, loss_rate: Column, rtt_ms: Column) -> Column:
+    """The payload of a status tick. Only an agent reports the vehicle; the other side sends false."""
+    own = role == "agent"
+    seen = lambda flag: own & F.coalesce(flag, F.lit(False))
+    return control_json("status", vehicle_link=seen(link_up), vehicle_awake=seen(awake), peer_connected=connection == "Connected", packets_tx=packets_tx, packets_rx=packets_rx, loss_rate=loss_rate, rtt_ms=rtt_ms)
+
+
 def announcement(datagram: Column, magic: bytes) -> Column:
     """A discovery datagram: a magic of eight bytes and JSON; a missing address list is empty."""
     json = F.substring(datagram, F.lit(9), F.octet_length(datagram)).cast("string")

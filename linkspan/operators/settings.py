@@ -9,6 +9,16 @@ from linkspan.functions import net
 
 # Round-trip limit and peer timeout of each network mode, in ms.
 MODE_DEFAULTS = {"lan": (20.0, 5000), "relay": (80.0, 15000), "wireguard": (40.0, 10000)}
+# How the modes are shown.
+MODE_LABELS = {"lan": "Same network (LAN)", "relay": "Different networks (Relay)", "wireguard": "Different networks (WireGuard / VPN)"}
+
+
+def mode_label(mode: Column) -> Column:
+    """How a network mode is shown; null for an unknown one."""
+    out = F.lit(None).cast("string")
+    for name, label in MODE_LABELS.items():
+        out = F.when(mode == name, label).otherwise(out)
+    return out
 
 
 def with_mode_defaults(rows: DataFrame, mode: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from linkspan.functions import wire
 from linkspan.functions.safety import backoff_ms, loss_counts, valid_rtt
 
 # Fixed values of the loss and round-trip statistics.
@@ -97,6 +98,12 @@ def lifetime(frames: DataFrame, keys: list[str], direction: Column, size: Column
     )
 
 
+def drop_plaintext(frames: DataFrame, raw: str, required: Column) -> tuple[DataFrame, DataFrame]:
+    """The frames that go on to decoding, and those that are dropped, to be counted, as encryption is required and they have none."""
+    gone = wire.plaintext_dropped(F.col(raw), required)
+    return frames.where(~gone), frames.where(gone)
+
+
 def epochs(frames: DataFrame, keys: list[str], order: list[str], peer: str) -> DataFrame:
     """``epoch``: how often the stream's peer has changed so far."""
     w = arrival(keys, order)

@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from linkspan.plans import catalog, folds, joined, logs  # noqa: F401  all register their queries in the catalog
+from linkspan.plans import catalog, documents, folds, joined, logs  # noqa: F401  all register their queries in the catalog
 
 
 def plain(value):
