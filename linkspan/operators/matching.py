@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkspan.functions import net
+from linkspan.functions import net, wire
+
+
+def _prefixes(address: Column, lengths: Callable[[Column], Column]) -> Column:
+    """The keys of an address's first bits, for each of ``lengths`` of its family (given whether it is IPv6); families' keys differ.
+
+    Lengths that the family does not have give null, and so does what is no address. The address
+    is parsed once.
+    """
 
+    def keys(x: Column) -> Column:
+        v6 = lambda bits: F.when(bits.between(0, 128), F.concat(F.lit("6:"), F.substring(x["bits"], F.lit(1), bits)))
+        v4 = lambda bits: F.when(bits.between(0, 32), F.concat(F.lit("4:"), F.call_function("shiftright", x["number"], F.lit(32) - bits)))
+        return F.transform(lengths(x["v6"]), lambda bits: F.when(x["v6"], v6(bits)).otherwise(v4(bits)))
 
-def _prefixes(address: Column, bits: Column) -> Column:
-    """The key of an address's first ``bits`` bits; the families' keys differ. Null if it is no address, or shorter."""
-    v6 = F.when(bits.between(0, 128), F.concat(F.lit("6:"), F.substring(net.ipv6_bits(address), F.lit(1), bits)))
-    v4 = F.when(bits.between(0, 32), F.concat(F.lit("4:"), F.call_function("shiftright", net.ipv4(address), F.lit(32) - bits)))
-    return F.when(address.contains(":"), v6).otherwise(v4)
+    is_v6 = lambda text: F.struct(text.alias("text"), text.contains(":").alias("v6"))
+    parsed = lambda x: F.struct(x["v6"].alias("v6"), F.when(x["v6"], net.ipv6_bits(x["text"])).alias("bits"), F.when(~x["v6"], net.ipv4(x["text"])).alias("number"))
+    return wire.once(wire.once(is_v6(address), parsed), keys)
 
 
 def allowed(packets: DataFrame, ip: str, cidrs: DataFrame, cidr: str) -> DataFrame:
@@ -24,14 +36,15 @@ def allowed(packets: DataFrame, ip: str, cidrs: DataFrame, cidr: str) -> DataFra
     long the list is.
     """
     address, bits = net.cidr_parts(F.col(cidr))
-    entries = cidrs.select(address.contains(":").alias("v6"), bits.cast("int").alias("bits"), _prefixes(address, bits.cast("int")).alias("prefix_key"))
+    parts = cidrs.select(address.alias("address"), bits.cast("int").alias("bits"))
+    entries = parts.select(F.col("address").contains(":").alias("v6"), "bits", F.get(_prefixes(F.col("address"), lambda _: F.array("bits")), F.lit(0)).alias("prefix_key"))
     found = entries.groupBy("v6", "bits").agg(F.count("prefix_key").alias("n")).collect()
     if not found:
         return packets
     lengths = {v6: [r.bits for r in found if r.v6 == v6 and r.n] for v6 in (False, True)}
-    probe = lambda v6: F.array(*(_prefixes(F.col("probe"), F.lit(n)) for n in sorted(lengths[v6]))).cast("array<string>")
+    listed = lambda v6: F.array(*map(F.lit, sorted(lengths[v6]))).cast("array<int>")
     sources = packets.select(F.col(ip).alias("probe")).distinct()
-    keyed = sources.select("probe", F.explode(F.when(F.col("probe").contains(":"), probe(True)).otherwise(probe(False))).alias("prefix_key"))
+    keyed = sources.select("probe", F.explode(_prefixes(F.col("probe"), lambda v6: F.when(v6, listed(True)).otherwise(listed(False)))).alias("prefix_key"))
     hits = keyed.join(entries.where("prefix_key is not null").select("prefix_key").distinct(), "prefix_key", "left_semi").select("probe").distinct()
     return packets.join(hits, packets[ip] == hits["probe"], "left_semi")
 

@@ -198,11 +198,16 @@ def admitted(packets: DataFrame, keys: list[str], order: list[str], ip: str, por
 
 
 def with_timeouts(frames: DataFrame, keys: list[str], order: list[str], ts: str, kind: str, seconds: int) -> DataFrame:
-    """The frames and, ahead of each that came after a longer silence, a row of the kind ``timeout``; ``step`` orders these two."""
+    """The frames and, ahead of each that came after a longer silence, a row of the kind ``timeout``; ``step`` orders these two.
+
+    A column ``step`` of the frames is replaced; others may have any names.
+    """
     now = F.unix_micros(F.col(ts).cast("timestamp"))
     silent = now - F.lag(now).over(arrival(keys, order)) > seconds * 1_000_000
-    lines = F.when(silent, F.array(F.lit("timeout"), F.col(kind))).otherwise(F.array(F.col(kind)))
-    return frames.withColumn("lines", lines).select("*", F.posexplode("lines").alias("step", "line")).withColumn(kind, F.col("line")).drop("lines", "line")
+    kept = [c for c in frames.columns if c != "step"]
+    rows = frames.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.when(silent, F.array(F.lit("timeout"), F.col(kind))).otherwise(F.array(F.col(kind))).alias("lines"))
+    lines = rows.select("row", F.posexplode("lines").alias("step", "line"))
+    return lines.select(*(F.col("line").alias(c) if c == kind else F.col("row")[c].alias(c) for c in kept), "step")
 
 
 def connection_states(rows: DataFrame, keys: list[str], order: list[str], role: str) -> DataFrame:
