@@ -24,14 +24,15 @@ ORACLES = {
         ), parts AS (
             SELECT *, regexp_extract_all(line, '{_SOLID}') AS solid, len(regexp_extract_all(line, '{_WORD}')) AS n_words FROM lines
         ), measured AS (
-            SELECT *, len(solid) AS n_solid, len(array_to_string(solid, '')) AS chars, len(regexp_replace(line, '[^\p{{L}}\p{{N}}]', '', 'g')) AS alnum FROM parts
+            SELECT *, len(solid) AS n_solid, len(array_to_string(solid, '')) AS chars, len(regexp_replace(line, '[^\p{{L}}\p{{N}}\p{{M}}]', '', 'g')) AS alnum,
+                len(array_to_string(regexp_extract_all(line, '{quality._BOILERPLATE.pattern}', 0, 'i'), '')) AS phrases FROM parts
         ), judged AS (
             SELECT *,
                 chars - alnum > {quality.PUNCTUATION_SHARE} * chars
                 OR (n_solid >= {quality.SHOUT_WORDS} AND regexp_matches(line, '\p{{Lu}}') AND NOT regexp_matches(line, '[\p{{Ll}}\p{{Lt}}]')
                     AND 2 * len(list_filter(solid, lambda w: w LIKE '%!')) >= n_solid)
                 OR (n_solid <= {quality.NAVIGATION_WORDS} AND regexp_matches(line, '{quality._NAVIGATION.pattern}'))
-                OR regexp_matches(line, '{quality._BOILERPLATE.pattern}', 'i') AS bad
+                OR (phrases > 0 AND phrases >= {quality.BOILERPLATE_SHARE} * len(line)) AS bad
             FROM measured
         ), kept AS (
             SELECT id, sum(n - 1) AS dup, sum(CASE WHEN bad THEN 0 ELSE n_words END) AS words FROM judged GROUP BY id

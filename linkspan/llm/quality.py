@@ -7,6 +7,7 @@ that fail are removed, and a document that loses too much of its text is rejecte
 from __future__ import annotations
 
 import re
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,10 @@ from linkspan.llm.common import over_batches
 #: A document must keep at least this share of its words.
 KEEP_SHARE = 0.5
 MIN_WORDS = 10
-#: A line fails if more than this share of its characters other than white space are no letters or digits.
+#: A line fails if more than this share of its characters other than white space are no letters, marks on letters, or digits.
 PUNCTUATION_SHARE = 0.25
+#: A line fails if boilerplate phrases make up at least this share of its characters.
+BOILERPLATE_SHARE = 0.1
 #: A line of capitals fails if it has this many words and at least half of them end in '!'.
 SHOUT_WORDS = 3
 #: A line of so few words fails if it has a navigation separator between them.
@@ -61,13 +64,14 @@ def bad_line(line: str) -> bool:
     words = line.split()
     solid = sum(map(len, words))
     alnum = sum(map(len, _LETTERS.findall(line)))
-    if solid - alnum > PUNCTUATION_SHARE * solid:
+    if solid - alnum > PUNCTUATION_SHARE * solid and (line.isascii() or solid - alnum - sum(category(c)[0] == "M" for c in line) > PUNCTUATION_SHARE * solid):
         return True
     if len(words) >= SHOUT_WORDS and line.isupper() and 2 * sum(w.endswith("!") for w in words) >= len(words):
         return True
     if len(words) <= NAVIGATION_WORDS and _NAVIGATION.search(line):
         return True
-    return bool(_BOILERPLATE.search(line))
+    phrases = sum(map(len, _BOILERPLATE.findall(line)))
+    return phrases > 0 and phrases >= BOILERPLATE_SHARE * len(line)
 
 
 def judge(text: str | None) -> tuple[dict[str, int | bool], str]:
@@ -105,7 +109,7 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 
 def rules(docs: DataFrame) -> DataFrame:
-    """The base counts and verdicts of every row, from its whole text (see ``judge``).
+    """The base counts and verdicts of every row, from its whole text, of any length (see ``judge``).
 
     A null text counts as empty. Repeated rows are each judged; columns beyond doc_id and text
     are ignored; an empty table gives an empty result.

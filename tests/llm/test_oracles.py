@@ -30,7 +30,7 @@ def test_query_is_its_sql(spark, sf_dir, name):
 def test_odd_documents(docs, rows):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
-    lines = ["A | B | C", "WE SHOUT! AT! YOU!", "see » this › page", "## $$ %% x", "Click Here To win", "plain words in a line of prose", "plain words in a line of prose"]
+    lines = ["A | B | C", "WE SHOUT! AT! YOU!", "see » this › page", "## $$ %% x", "Click Here To win", "a long line of plain prose that names our privacy policy once and then goes on for many more words about the sea and the old town by the river, so that the phrase is a small part of it " * 2, "यह एक सादा हिन्दी वाक्य है जिसमें बहुत मात्राएँ हैं।", "plain words in a line of prose", "plain words in a line of prose"]
     more = [(9000 + n, "\n".join(lines[n:] + lines[:n][: n // 2]), *rows[0][2:]) for n in range(len(lines))]
     con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in [*rows, *more]])
     table = docs.union(docs.sparkSession.createDataFrame(more, docs.schema))
