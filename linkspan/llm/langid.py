@@ -8,7 +8,7 @@ that a text's n-grams select, summed per text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,6 +70,11 @@ class Model:
     prior: np.ndarray
     logp: np.ndarray  # languages x buckets, float32
 
+    def parts(self) -> Iterator[Model]:
+        """The model in parts of at most ``MOST_LANGS`` languages, of which a task holds one."""
+        for a in range(0, len(self.langs), MOST_LANGS):
+            yield Model(self.langs[a : a + MOST_LANGS], self.prior[a : a + MOST_LANGS], self.logp[a : a + MOST_LANGS])
+
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log joint probability, texts x languages."""
         out = np.tile(self.prior, (len(texts), 1))
@@ -88,8 +93,7 @@ def train(docs: DataFrame, bound: int = TRAIN_ROWS) -> Model:
     """Learn from ``text`` and ``lang`` of about ``bound`` rows that are not held out.
 
     Rows with a null doc_id, text or lang teach nothing, repeated rows teach once. Without any
-    usable row the model knows no language. More than ``MOST_LANGS`` languages are an error,
-    as the matrix of all is broadcast.
+    usable row the model knows no language. The driver holds a number for each language and bucket.
     """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket3(F.col("doc_id")) != 1))
     sample = bounded_sample(known.select(F.col("doc_id").cast("long"), "text", "lang"), bound).select("text", "lang")
@@ -116,8 +120,6 @@ def train(docs: DataFrame, bound: int = TRAIN_ROWS) -> Model:
 
     counted = over_batches(sample, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets at most
     langs = sorted(counted["lang"].unique())
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"{len(langs)} languages; at most {MOST_LANGS} are learned")
     table = np.zeros((len(langs), BUCKETS + 1))
     table[counted["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), counted["bucket"].to_numpy(int)] = counted["n"].to_numpy(float)
     rows, table = table[:, -1], table[:, :-1] + 0.5
@@ -129,20 +131,33 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     score is the posterior probability of lang_pred. A null text, one without a letter, or
     a model without languages gives ``und`` and 0. Ties go to the language first in order.
-    Repeated rows are each scored, columns beyond doc_id and text are ignored.
+    Repeated rows are each scored, texts of any length as wholes; columns beyond doc_id and text are ignored.
+    An empty table gives an empty result. Each ``MOST_LANGS`` languages are one pass of a batch, with their own matrix.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, ids, texts = shared.value, batch.column(0).to_pylist(), list(map(normal, batch.column(1).to_pylist()))
-        known = [bool(m.langs) and has_letter(x) for x in texts]
-        if m.langs:
-            joint = m.scores(texts)
-            top = joint.argmax(1)
-            best = 1 / np.exp(joint - joint.max(1, keepdims=True)).sum(1)
-            langs, score = [m.langs[i] if k else UNKNOWN for i, k in zip(top, known)], np.where(known, best, 0.0)
-        else:
-            langs, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(held_out, ids), pa.bool_()), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return over_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(UNKNOWN).alias("lang"), F.lit(float("-inf")).alias("best"), F.lit(float("-inf")).alias("total"))
+    kinds = (pa.string(), pa.float64(), pa.float64())
+
+    def judged(shared: object) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        """The best language so far, its log joint probability, and the logarithm of the sum of all so far."""
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            part, texts = shared.value, list(map(normal, batch.column(1).to_pylist()))
+            lang, best, total = batch.column(2).to_pylist(), batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            joint = part.scores(texts)
+            top, most = joint.argmax(1), joint.max(1)
+            sums = most + np.log(np.exp(joint - most[:, None]).sum(1))
+            values = [part.langs[i] if new else x for i, new, x in zip(top, most > best, lang)], np.maximum(most, best), np.logaddexp(total, sums)
+            return pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(v, k) for v, k in zip(values, kinds))], names=batch.schema.names)
+
+        return run
+
+    for part in model.parts():
+        rows = over_batches(rows, judged(docs.sparkSession.sparkContext.broadcast(part)), "doc_id long, text string, lang string, best double, total double")
+
+    def told(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known = np.array([has_letter(normal(x)) for x in batch.column(1).to_pylist()], bool) & np.isfinite(batch.column(3).to_numpy())
+        score = np.where(known, np.exp(np.minimum(np.where(known, batch.column(3).to_numpy(), 0.0) - np.where(known, batch.column(4).to_numpy(), 0.0), 0.0)), 0.0)
+        langs = [x if k else UNKNOWN for x, k in zip(batch.column(2).to_pylist(), known)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(held_out, batch.column(0).to_pylist()), pa.bool_()), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    return over_batches(rows, told, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow.fs
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linkspan.llm import bpe, langid, pii, quality, queries, topk, toxicity, warc
@@ -42,6 +43,22 @@ def test_langid(spark, docs, no_docs):
     assert langid.predict(no_docs, model).count() == 0
 
 
+def test_langid_in_parts(spark, docs, monkeypatch):
+    """Any number of languages: parts of one, two or all languages predict the same, and more languages than a part has are learned."""
+    rng = random.Random(8)
+    rows = [(k, " ".join("".join(chr(97 + k % 13 + rng.randrange(5)) for _ in range(4)) for _ in range(30)), f"l{k % 13}") for k in range(400)]
+    table = spark.createDataFrame([*rows, (900, None, "l1"), (901, "1 2 3", "l2"), (902, "", None)], "doc_id long, text string, lang string").withColumn("best", F.lit("x"))
+    model = langid.train(table)
+    assert len(model.langs) == 13
+    told = lambda: {r.doc_id: (r.held_out, r.lang_pred, round(r.score, 9)) for r in langid.predict(table, model).collect()}
+    whole = told()
+    for most in (1, 5):
+        monkeypatch.setattr(langid, "MOST_LANGS", most)
+        assert len(list(model.parts())) == -(-13 // most) and told() == whole
+    held = [(r[2], whole[r[0]][1]) for r in rows if whole[r[0]][0]]
+    assert sum(a == b for a, b in held) > 0.95 * len(held) and whole[900][1:] == whole[901][1:] == ("und", 0.0)
+
+
 def test_langid_scores_are_sums():
     rng = np.random.default_rng(2)
     model = langid.Model(["x", "y"], np.log([0.5, 0.5]), rng.normal(size=(2, langid.BUCKETS)).astype(np.float32))
