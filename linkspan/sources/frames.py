@@ -6,11 +6,12 @@ import tomllib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkspan.functions import net, wire
+from linkspan.sources import frame_log
 
 
 def split_frames(blob: bytes | None) -> Iterator[tuple[int, bytes | None, str | None]]:
@@ -46,10 +47,25 @@ def deframe(blobs: DataFrame, blob: str, key: str) -> DataFrame:
     return blobs.select(key, blob).mapInArrow(run, T.StructType([T.StructField(key, of), T.StructField("frame_no", T.IntegerType()), T.StructField("body", T.BinaryType()), T.StructField("error", T.StringType())]))
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """(path, frame_no, and the header's fields, payload and error) of recorded frame logs, one stream of length-prefixed frames a file."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return deframe(raw, "content", "path").select("path", "frame_no", F.coalesce("error", wire.decode_frame(F.col("body"))["error"]).alias("error"), wire.decode_frame(F.col("body")).alias("frame"))
+def read_frames(spark: SparkSession, path: str, split: int = frame_log.SPLIT_BYTES, numbered: bool = True) -> DataFrame:
+    """(path, offset, frame_no, error, and the header's fields and payload as ``frame``) of recorded frame logs, up to each log's first error.
+
+    Logs are read in blocks by several tasks, see ``frame_log``. ``frame_no`` is a frame's place in its log; without
+    ``numbered`` it is left out, and a log's rows need not meet. A frame whose header is refused is a row with
+    that error, and does not end its log.
+    """
+    rows = frame_log.whole_logs(frame_log.read_log(spark, path, split))
+    if numbered:
+        # a part of a log is numbered by itself; only the parts' sizes meet by log
+        step = F.expr(f"offset div {split}")
+        sizes = rows.groupBy("path", step.alias("part")).agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = sizes.select("path", "part", before.alias("before"))
+        own = F.row_number().over(Window.partitionBy("path", "part").orderBy("offset")) - 1
+        rows = rows.withColumn("part", step).withColumn("own", own).join(starts, ["path", "part"]).withColumn("frame_no", (F.col("before") + F.col("own")).cast("long"))
+    number = ["frame_no"] if numbered else []
+    decoded = rows.select("path", "offset", *number, F.col("error").alias("cut"), wire.decode_frame(F.col("body")).alias("frame"))
+    return decoded.select("path", "offset", *number, F.coalesce("cut", "frame.error").alias("error"), "frame")
 
 
 def read_config(spark: SparkSession, path: str, defaults: dict) -> DataFrame:

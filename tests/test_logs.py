@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkspan.functions import wire
 from linkspan.sources import bundle, frame_log
+from linkspan.sources import frames as sources
 from linkspan.sources.frames import split_frames
 
 
@@ -149,3 +150,20 @@ def test_empty_bundle(spark, tmp_path):
     out = f"file://{tmp_path}/none"
     bundle.write_bundle(spark.createDataFrame([], "path string, text string"), out)
     assert bundle.manifest(spark, out).count() == 0 and bundle.index(spark, out).count() == 0 and not list(bundle.text_of(spark, out))
+
+
+def test_read_frames_are_numbered(spark, tmp_path):
+    """Numbers follow each log's order over many blocks; a refused header is a row, a bad length ends its log."""
+    good = [spark.range(1).select(wire.encode_frame(F.lit(1 + n % 9), F.lit(0), F.lit(n), F.lit(b"p" * (n % 40)), F.lit(n)).alias("x")).first().x for n in range(3)]
+    body = lambda n: bytes(good[n % 3])
+    pieces = [body(n) if n % 10 else b"x" * 30 for n in range(800)]
+    data = b"".join(len(p).to_bytes(4, "big") + p for p in pieces)
+    for name, tail in (("a", b""), ("b", b"\0\0\0\0" + data)):
+        (tmp_path / name).write_bytes(data + tail)
+    got = sources.read_frames(spark, str(tmp_path), 4096).collect()
+    for name, extra in (("a", 0), ("b", 1)):
+        rows = sorted((r.frame_no, r.offset, r.error) for r in got if r.path.endswith(name))
+        assert [r[0] for r in rows] == list(range(800 + extra)) and [r[1] for r in rows] == sorted(r[1] for r in rows)
+        assert [r[2] for r in rows[:800]] == [None if n % 10 else "BadControl" for n in range(800)]
+        assert [r[2] for r in rows[800:]] == ["bad_length"] * extra
+    assert sources.read_frames(spark, str(tmp_path / "a"), 4096, numbered=False).columns == ["path", "offset", "error", "frame"]
