@@ -3,7 +3,8 @@
 Articles and forms of "to be" are spread evenly over prose and are rare in lists and navigation.
 Each such word is an anchor, and it and the content words that follow it are a signature. Where
 no anchor has come for a while, each content word is one, so that texts without any, and the
-beginnings of texts, have signatures as well. A fingerprint is the set of a text's signatures.
+beginnings of texts, have signatures as well. A fingerprint is the bag of a text's signatures, kept
+as a set: each further occurrence of a signature is a signature of its own.
 
 A set of n signatures is as similar as ``least`` to sets of n * least to n / least signatures at
 most. So sets are dealt into ranges of length that are that wide, and a set meets those of its
@@ -52,7 +53,7 @@ Set = np.ndarray  # sorted, unsigned 32-bit hashes
 
 
 def signatures(text: str | None, chain: int = CHAIN, gap: int = GAP, anchors: frozenset[str] = ANCHORS, common: frozenset[str] = COMMON) -> Set:
-    """The hashes of a text's distinct signatures; the whole text's, if it has no word, and none of an empty one."""
+    """The hashes of a text's signatures, with the number of the occurrence as their seed; the whole text's, if it has no word, and none of an empty one."""
     if not text:
         return np.zeros(0, np.uint32)
     content: list[str] = []
@@ -70,9 +71,11 @@ def signatures(text: str | None, chain: int = CHAIN, gap: int = GAP, anchors: fr
             begun.append((word, len(content)))
             if word in anchors:
                 since = 0
-    found = {" ".join((word, *content[at : at + chain])) for word, at in begun} or {text}
-    hashed = xxhash.xxh32_intdigest
-    return np.unique(np.array([hashed(x.encode("utf-8", "surrogatepass")) for x in found], np.uint32))
+    hashed, seen, found = xxhash.xxh32_intdigest, {}, []
+    for own in [" ".join((word, *content[at : at + chain])) for word, at in begun] or [text]:
+        n = seen[own] = seen.get(own, -1) + 1
+        found.append(hashed(own.encode("utf-8", "surrogatepass"), n))
+    return np.unique(np.array(found, np.uint32))
 
 
 def shown(own: Set) -> str:
@@ -85,7 +88,7 @@ def read(fingerprint: str) -> Set:
 
 
 def likeness(a: Set, b: Set, least: float = 0.0) -> float:
-    """The Jaccard similarity of two sets, 1 of two empty ones; 0 without comparing them, if their lengths keep it below ``least``."""
+    """The Jaccard similarity of two sets, so that of the bags they stand for, 1 of two empty ones; 0 without comparing them, if their lengths keep it below ``least``."""
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return 0.0
     if not len(a) and not len(b):

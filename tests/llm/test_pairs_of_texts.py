@@ -163,15 +163,16 @@ def test_variants(spark, no_docs):
 
 
 def plain_signatures(text):
-    """Anchors and the content words behind them, word by word."""
+    """Anchors and the content words behind them, word by word, each with the number of its occurrence."""
     words = spotsigs.WORD.findall(text.lower())
-    out = set()
+    out = []
     for k, word in enumerate(words):
         last = max((j for j in range(k) if words[j] in spotsigs.ANCHORS), default=None)
         alone = (k if last is None else k - last - 1) >= spotsigs.GAP or (last is None)
         if word in spotsigs.ANCHORS or word not in spotsigs.COMMON and alone:
-            out.add(" ".join([word, *[w for w in words[k + 1 :] if w not in spotsigs.COMMON][: spotsigs.CHAIN]]))
-    return {xxhash.xxh32_intdigest(x.encode()) for x in out} or ({xxhash.xxh32_intdigest(text.encode())} if text else set())
+            out.append(" ".join([word, *[w for w in words[k + 1 :] if w not in spotsigs.COMMON][: spotsigs.CHAIN]]))
+    out = out or [text] * bool(text)
+    return {xxhash.xxh32_intdigest(x.encode(), seed=out[:k].count(x)) for k, x in enumerate(out)}
 
 
 PROSE = "the cat sat on a mat and the dog was in der garten but les chiens sont no friends of the old house near the river bank where boats go".split()
