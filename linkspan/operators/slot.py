@@ -11,10 +11,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkspan.operators.asof import held
+
 # The least time, in ms, before a silent peer is given up, by role.
 LEAST_TIMEOUT_MS = {"agent": 20_000, "gateway": 1_000, "relay": 15_000}
 
@@ -110,3 +112,14 @@ def silences(frames: DataFrame, key: str, ts: str, role: str, configured_ms: int
     # the end is one row
     judged = ended.join(F.broadcast(end), F.lit(True)).where(F.coalesce("next_ms", "end_ms") - F.col("last_ms") > after)
     return judged.select("stream", "last_ms", (F.col("last_ms") + after).alias("timeout_ms"))
+
+
+def peer_endpoint(admitted_rows: DataFrame, keys: list[str], order: list[str], kind: str, chunk: Column | None = None) -> DataFrame:
+    """``peer_endpoint`` after each row of ``admitted``: the address and port that the state shows, null while there is none.
+
+    A packet that takes or keeps the slot sets it, a goodbye or timeout (``kind``) clears it, though the slot may keep its
+    peer after a goodbye; ignored and passed packets leave it. ``chunk`` as in ``asof.held``.
+    """
+    shown = F.when(F.col(kind).isin("goodbye", "timeout"), F.lit("")).when(F.col("outcome").isin("same", *RESTARTS), F.concat_ws(":", "peer_ip", "peer_port"))
+    rows = held(admitted_rows, keys, order, {"peer_endpoint": shown}, chunk)
+    return rows.withColumn("peer_endpoint", F.nullif("peer_endpoint", F.lit("")))

@@ -117,3 +117,15 @@ def peer_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = [slot.admitted(packets, KEY, ORDER, "ts", "ip", "port", role, _PEER if peer else None, _SILENT_MS).withColumn("config", F.lit(role + "_peer" * peer)) for role, peer in _CONFIGS]
     out = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
     return out.select("config", "user_id", "event_id", "outcome", "dropped", "epoch", "timeouts", F.concat_ws(":", "peer_ip", "peer_port").alias("peer"))
+
+
+@query("""WITH p AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN 'goodbye' ELSE 'ethernet' END AS kind, '10.0.0.' || CAST(event_id % 3 AS VARCHAR) || ':' || CAST(47900 + event_id // 3 % 3 AS VARCHAR) AS peer FROM events)
+    SELECT user_id, event_id, kind, nullif(coalesce(last_value(CASE WHEN kind = 'goodbye' THEN '' ELSE peer END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), ''), '') AS peer_endpoint FROM p""")
+def peer_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The peer that a gateway's state shows after each packet; goodbyes (here errors) clear it."""
+    n = F.col("event_id")
+    kind = F.when(F.col("event_type") == "error", "goodbye").otherwise("ethernet")
+    packets = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", kind.alias("kind"), F.concat(F.lit("10.0.0."), n % 3).alias("ip"), (F.expr("event_id div 3 % 3") + 47900).cast("int").alias("port"))
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (_DAY * 1_000_000))
+    out = slot.peer_endpoint(slot.admitted(packets, KEY, ORDER, "ts", "ip", "port", "gateway"), KEY, ORDER, "kind", day)
+    return out.select("user_id", "event_id", "kind", "peer_endpoint")

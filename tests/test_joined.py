@@ -147,3 +147,13 @@ def test_reconnects(spark):
         want[n] = attempt, delay, early
     assert {r.n: (r.attempt, r.delay_ms, r.early) for r in got.collect()} == want
     assert {e for _, _, e in want.values()} == {True, False}
+
+
+def test_peer_endpoint(spark):
+    """Goodbyes and timeouts clear what is shown; foreign packets, which are ignored, change nothing."""
+    rows = [(1, n, BEGIN + timedelta(seconds=n), kind, ip, 5) for n, (kind, ip) in enumerate([("hello", "p"), ("ethernet", "z"), ("goodbye", "p"), ("ethernet", "z"), ("keepalive", "p"), ("timeout", None), ("keepalive", "p")])]
+    table = spark.createDataFrame(rows, "k long, n long, ts timestamp_ntz, kind string, ip string, port int")
+    taken = slot.admitted(table, ["k"], ["n"], "ts", "ip", "port", "gateway", ("p", 5))
+    for chunk in (None, F.expr("n div 2")):
+        got = slot.peer_endpoint(taken, ["k"], ["n"], "kind", chunk).orderBy("n").collect()
+        assert [r.peer_endpoint for r in got] == ["p:5", "p:5", None, None, "p:5", None, "p:5"]
