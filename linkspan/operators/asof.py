@@ -13,27 +13,39 @@ from pyspark.sql import functions as F
 AWAKE_SECONDS = 10
 
 
-def held(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], chunk: Column | None = None, past: bool = False) -> DataFrame:
-    """The rows with, for each of ``values``, the last that was not null up to this row, or before it if ``past``.
+def held(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], chunk: Column | None = None, past: bool = False, counts: dict[str, Column] | None = None) -> DataFrame:
+    """The rows with, for each of ``values``, the last that was not null up to this row, or before it if ``past``, and, for each of ``counts``, how many rows so far have that flag.
 
-    Rows with equal order columns come in any order. The names of ``values`` replace columns of
-    that name, and are evaluated on the rows as they are; other columns may have any names.
+    Rows with equal order columns come in any order. The names of ``values`` and ``counts`` replace columns of
+    that name, and are evaluated on the rows as they are; other columns may have any names. With ``chunk``, a step
+    begins with one more row, which holds what the earlier ones leave to it.
     """
-    n, own = len(values), rows.columns
-    plain = rows.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), *(F.col(f"`{k}`").alias(f"key{i}") for i, k in enumerate(keys)), F.struct(*(F.col(f"`{o}`") for o in order)).alias("at"), *(v.alias(f"value{i}") for i, v in enumerate(values.values())), (F.lit(0) if chunk is None else chunk).alias("part"))
-    by, part = [f"key{i}" for i in range(len(keys))], [*(f"key{i}" for i in range(len(keys))), "part"]
-    now = Window.partitionBy(*part).orderBy("at").rowsBetween(Window.unboundedPreceding, -1 if past else 0)
-    marked = plain.withColumns({f"held{i}": F.last(f"value{i}", ignorenulls=True).over(now) for i in range(n)})
+    counts = counts or {}
+    flags = [F.coalesce(f, F.lit(False)).cast("long") for f in counts.values()]
+    by = [f"key{i}" for i in range(len(keys))]
+    plain = rows.select(
+        F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), *(F.col(f"`{k}`").alias(b) for k, b in zip(keys, by)), F.struct(*(F.col(f"`{o}`") for o in order)).alias("at"),
+        *(v.alias(f"value{i}") for i, v in enumerate(values.values())), *(f.alias(f"count{i}") for i, f in enumerate(flags)), (F.lit(0) if chunk is None else chunk).alias("part"), F.lit(1).alias("real"),
+    )
     if chunk is not None:
+        last = [F.max_by(f"value{i}", F.when(F.col(f"value{i}").isNotNull(), F.col("at"))).alias(f"value{i}") for i in range(len(values))]
         # a row for each stream and step
-        last = [F.max_by(f"value{i}", F.when(F.col(f"value{i}").isNotNull(), F.col("at"))).alias(f"last{i}") for i in range(n)]
-        steps = plain.groupBy(*part).agg(*last)
+        left = plain.groupBy(*by, "part").agg(*last, *(F.sum(f"count{i}").alias(f"count{i}") for i in range(len(flags))), F.lit(0).alias("real"))
         before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        carried = steps.select(*(F.col(c).alias(f"of_{c}") for c in part), *(F.last(f"last{i}", ignorenulls=True).over(before).alias(f"carried{i}") for i in range(n)))
-        same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in part]
-        marked = marked.join(carried, same, "left").withColumns({f"held{i}": F.coalesce(f"held{i}", f"carried{i}") for i in range(n)})
-    kept = [F.col("row")[c].alias(c) for c in own if c not in values]
-    return marked.select(*kept, *(F.col(f"held{i}").alias(name) for i, name in enumerate(values)))
+        carried = left.select(*by, "part", "real", *(F.last(f"value{i}", ignorenulls=True).over(before).alias(f"value{i}") for i in range(len(values))), *(F.sum(f"count{i}").over(before).alias(f"count{i}") for i in range(len(flags))))
+        plain = plain.unionByName(carried, allowMissingColumns=True)
+    now = Window.partitionBy(*by, "part").orderBy("real", "at")
+    until = now.rowsBetween(Window.unboundedPreceding, -1 if past else 0)
+    found = [F.last(f"value{i}", ignorenulls=True).over(until).alias(name) for i, name in enumerate(values)]
+    found += [F.coalesce(F.sum(f"count{i}").over(now.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias(name) for i, name in enumerate(counts)]
+    kept = [F.col("row")[c].alias(c) for c in rows.columns if c not in values and c not in counts]
+    marked = plain.select("row", "real", F.struct(*found).alias("found")).where("real = 1")
+    return marked.select(*kept, *(F.col("found")[name].alias(name) for name in (*values, *counts)))
+
+
+def steps(ts: str, seconds: int) -> Column:
+    """A time's step of so many seconds, for ``chunk``."""
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values: list[str], right_order: tuple[str, ...] = (), most_seconds: float | None = None, step_seconds: int | None = None) -> DataFrame:
@@ -51,7 +63,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values: l
     given = right.select(*named(right), at, F.lit(0).alias("side"), *(F.col(f"`{c}`").alias(o) for c, o in zip(right_order, order)), F.lit(None).cast(left.select(F.struct(*(F.col(f"`{c}`") for c in left.columns))).schema[0].dataType).alias("row"), F.struct(at, *(F.col(f"`{v}`") for v in values)).alias("found"))
     asked = left.select(*named(left), at, F.lit(1).alias("side"), F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("row"))
     both = given.unionByName(asked, allowMissingColumns=True)
-    chunk = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / (step_seconds * 1_000_000)) if step_seconds else None
+    chunk = steps("at", step_seconds) if step_seconds else None
     joined = held(both, key, ["at", "side", *order], {"found": F.col("found")}, None if chunk is None else F.coalesce(chunk, F.lit(-(2**62)))).where("side = 1")
     if most_seconds is not None:
         age = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("found.at").cast("timestamp"))
@@ -69,7 +81,7 @@ def agent_vehicle(frames: DataFrame, links: DataFrame, keys: list[str], order: l
     link was up at the last tick. A tick puts it to sleep if the link is down, or if the last
     captured frame is longer ago than ``awake_seconds``.
     """
-    chunk = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (step_seconds * 1_000_000)) if step_seconds else None
+    chunk = steps(ts, step_seconds) if step_seconds else None
     probed = as_of(frames, links.select(*keys, ts, F.col("link_up").alias("probe")), keys, ts, ["probe"], step_seconds=step_seconds)
     tick, captured = F.col(kind) == "tick", F.col(kind) == "captured"
     micros = F.unix_micros(F.col(ts).cast("timestamp"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linkspan.functions import wire
 from linkspan.functions.safety import backoff_ms, loss_counts, valid_rtt
+from linkspan.operators.asof import held, steps  # noqa: F401  steps is for callers' chunks
 
 # Fixed values of the loss and round-trip statistics.
 MAX_GAP = 64
@@ -27,20 +28,31 @@ def lost_before(sequence: Column, window: WindowSpec) -> Column:
     Rows without a sequence, such as control frames, lose none and are passed over: a gap is
     counted from the last row that has one.
     """
-    gap = sequence - F.last(sequence, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1)) - 1
-    return F.when(gap.between(1, MAX_GAP), gap).otherwise(F.lit(0)).cast("bigint")
+    return gap_loss(sequence, F.last(sequence, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1)))
 
 
 def loss_rate(rx: Column, lost: Column) -> Column:
     return lost / (F.greatest(rx, F.lit(1)) + lost)
 
 
-def link_quality(frames: DataFrame, keys: list[str], order: list[str], sequence: str, window: Column) -> DataFrame:
+def gap_loss(sequence: Column, previous: Column) -> Column:
+    """Frames lost between two sequences: a forward gap of at most 64; anything else is a resync."""
+    gap = sequence - previous - 1
+    return F.when(gap.between(1, MAX_GAP), gap).otherwise(F.lit(0)).cast("bigint")
+
+
+def link_quality(frames: DataFrame, keys: list[str], order: list[str], sequence: str, window: Column, chunk: Column | None = None) -> DataFrame:
     """Received, lost and loss rate of each stream and reporting window.
 
-    The predecessor of a window's first frame is the stream's last frame before it.
+    The predecessor of a window's first frame is the stream's last frame before it. ``chunk``, a coarse step of
+    the order, cuts a large stream into parts that are worked on apart.
     """
-    marked = frames.select(*keys, window.alias("day"), lost_before(F.col(sequence), arrival(keys, order)).alias("lost"))
+    if chunk is None:
+        marked = frames.select(*keys, window.alias("day"), lost_before(F.col(sequence), arrival(keys, order)).alias("lost"))
+    else:
+        rows = frames.select(*keys, *order, window.alias("day"), F.col(sequence).alias("link_sequence"), chunk.alias("link_chunk"))
+        before = held(rows, keys, order, {"previous": F.col("link_sequence")}, F.col("link_chunk"), past=True)
+        marked = before.select(*keys, "day", gap_loss(F.col("link_sequence"), F.col("previous")).alias("lost"))
     totals = marked.groupBy(*keys, "day").agg(F.count("*").alias("rx_packets"), F.sum("lost").alias("lost"))
     return totals.withColumn("loss_rate", loss_rate(F.col("rx_packets"), F.col("lost")))
 
@@ -197,44 +209,49 @@ def admitted(packets: DataFrame, keys: list[str], order: list[str], ip: str, por
     return rows.withColumn("epoch", F.sum(restarts).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("slot_ip", "slot", "taken")
 
 
-def with_timeouts(frames: DataFrame, keys: list[str], order: list[str], ts: str, kind: str, seconds: int) -> DataFrame:
+def with_timeouts(frames: DataFrame, keys: list[str], order: list[str], ts: str, kind: str, seconds: int, chunk: Column | None = None) -> DataFrame:
     """The frames and, ahead of each that came after a longer silence, a row of the kind ``timeout``; ``step`` orders these two.
 
-    A column ``step`` of the frames is replaced; others may have any names.
+    A column ``step`` of the frames is replaced; others may have any names. ``chunk`` as in ``asof.held``.
     """
-    now = F.unix_micros(F.col(ts).cast("timestamp"))
-    silent = now - F.lag(now).over(arrival(keys, order)) > seconds * 1_000_000
     kept = [c for c in frames.columns if c != "step"]
-    rows = frames.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.when(silent, F.array(F.lit("timeout"), F.col(kind))).otherwise(F.array(F.col(kind))).alias("lines"))
-    lines = rows.select("row", F.posexplode("lines").alias("step", "line"))
+    now = lambda of: F.unix_micros(of.cast("timestamp"))
+    rows = frames.select(*(F.col(f"`{c}`") for c in kept))
+    packed = held(rows.select(F.struct(*kept).alias("row"), *(F.col(f"`{k}`").alias(f"stream{i}") for i, k in enumerate(keys)), *(F.col(f"`{o}`").alias(f"place{i}") for i, o in enumerate(order)), now(F.col(f"`{ts}`")).alias("now"), (F.lit(0) if chunk is None else chunk).alias("of_step")),
+                  [f"stream{i}" for i in range(len(keys))], [f"place{i}" for i in range(len(order))], {"before": F.col("now")}, None if chunk is None else F.col("of_step"), past=True)
+    own = F.col("row")[kind]
+    silent = F.col("now") - F.col("before") > seconds * 1_000_000
+    lines = packed.select("row", F.posexplode(F.when(silent, F.array(F.lit("timeout"), own)).otherwise(F.array(own))).alias("step", "line"))
     return lines.select(*(F.col("line").alias(c) if c == kind else F.col("row")[c].alias(c) for c in kept), "step")
 
 
-def connection_states(rows: DataFrame, keys: list[str], order: list[str], role: str) -> DataFrame:
+def connection_states(rows: DataFrame, keys: list[str], order: list[str], role: str, chunk: Column | None = None) -> DataFrame:
     """The state after each row: connection, laptop, link_up, awake, message, rtt_local, rtt_peer, reconnects.
 
     Rows have kind (ethernet, keepalive, hello, status, safety_probe, goodbye, ack, timeout) and,
     for their kinds, is_reply, rtt, vehicle_link, vehicle_awake and peer_rtt. Each field holds
     what was last assigned to it: a window over the past, without any state but Spark's. A
     gateway takes the vehicle's flags from the laptop's status, and takes its data as a sign
-    of life while the link is up; a goodbye or timeout clears them.
+    of life while the link is up; a goodbye or timeout clears them. ``chunk``, a coarse step of the order
+    made of the rows' columns, cuts a large stream into parts that are worked on apart.
     """
-    now = arrival(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     kind = F.col("kind")
-    held = lambda value, begin: F.coalesce(F.last(value, ignorenulls=True).over(now), F.lit(begin))
     live, control = kind.isin("ethernet", "keepalive", "hello", "status", "safety_probe"), kind.isin("hello", "status", "safety_probe")
     lost, gateway = kind.isin("goodbye", "timeout"), F.lit(role == "gateway")
     timed_out = F.lit("Reconnecting" if role == "gateway" else "Failed")
-    out = rows.withColumns({
-        "connection": held(F.when(live, "Connected").when(kind == "goodbye", "Reconnecting").when(kind == "timeout", timed_out), "WaitingForPeer"),
-        "laptop": held(F.when(live, True).when(lost, False), False),
-        "link_up": held(F.when(gateway & (kind == "status"), F.col("vehicle_link")).when(gateway & lost, False), False),
-        "message": held(F.when((kind == "ethernet") | control, "connected").when(kind == "goodbye", "peer_disconnected").when(kind == "timeout", "peer_timeout"), "starting"),
-        "rtt_local": held(F.when((kind == "keepalive") & F.col("is_reply") & (F.col("rtt") > 0), F.col("rtt")), 0.0),
-        "rtt_peer": held(F.when(gateway & (kind == "status") & (F.col("peer_rtt") > 0) & ~F.isnan("peer_rtt") & (F.col("peer_rtt") < float("inf")), F.col("peer_rtt")), 0.0),
-        "reconnects": F.sum((kind == "timeout").cast("int")).over(now),
-    })
-    return out.withColumn("awake", held(F.when(gateway & (kind == "status"), F.col("vehicle_awake")).when(gateway & lost, False).when(gateway & (kind == "ethernet") & F.col("link_up"), True), False))
+    begin = {"connection": "WaitingForPeer", "laptop": False, "link_up": False, "message": "starting", "rtt_local": 0.0, "rtt_peer": 0.0}
+    given = {
+        "connection": F.when(live, "Connected").when(kind == "goodbye", "Reconnecting").when(kind == "timeout", timed_out),
+        "laptop": F.when(live, True).when(lost, False),
+        "link_up": F.when(gateway & (kind == "status"), F.col("vehicle_link")).when(gateway & lost, False),
+        "message": F.when((kind == "ethernet") | control, "connected").when(kind == "goodbye", "peer_disconnected").when(kind == "timeout", "peer_timeout"),
+        "rtt_local": F.when((kind == "keepalive") & F.col("is_reply") & (F.col("rtt") > 0), F.col("rtt")),
+        "rtt_peer": F.when(gateway & (kind == "status") & (F.col("peer_rtt") > 0) & ~F.isnan("peer_rtt") & (F.col("peer_rtt") < float("inf")), F.col("peer_rtt")),
+    }
+    out = held(rows, keys, order, given, chunk, counts={"reconnects": kind == "timeout"})
+    out = out.withColumns({name: F.coalesce(name, F.lit(first)) for name, first in begin.items()})
+    awake = F.when(gateway & (kind == "status"), F.col("vehicle_awake")).when(gateway & lost, False).when(gateway & (kind == "ethernet") & F.col("link_up"), True)
+    return held(out, keys, order, {"awake": awake}, chunk).withColumn("awake", F.coalesce("awake", F.lit(False)))
 
 
 def timeouts(frames: DataFrame, keys: list[str], order: list[str], ts: str, seconds: int) -> DataFrame:

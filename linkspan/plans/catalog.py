@@ -82,7 +82,7 @@ _CIP, _SIP = _ip_sql("c_custkey * 3"), _ip_sql("s_suppkey * 21")
     SELECT user_id, day, count(*) AS rx_packets, CAST(sum(lost) AS BIGINT) AS lost, round(sum(lost) / (greatest(count(*), 1) + sum(lost)), 9) AS loss_rate FROM l GROUP BY ALL""")
 def link_quality_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Received, lost and loss rate of each stream and day."""
-    out = telemetry.link_quality(table(spark, sf_dir, "events"), KEY, ORDER, "event_id", F.to_date("ts"))
+    out = telemetry.link_quality(table(spark, sf_dir, "events"), KEY, ORDER, "event_id", F.to_date("ts"), telemetry.steps("ts", 86_400))
     return out.withColumn("loss_rate", F.round("loss_rate", 9))
 
 

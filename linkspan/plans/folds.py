@@ -100,7 +100,7 @@ _LINES_SQL = f"""f AS (SELECT user_id, ts, event_id, [{", ".join(f"'{k}'" for k
     SELECT role, user_id, event_id, CAST(step AS INTEGER) AS step, kind, connection, laptop, link_up, awake, message, CAST(rtt_local AS DOUBLE) AS rtt_local, CAST(rtt_peer AS DOUBLE) AS rtt_peer, CAST(reconnects AS BIGINT) AS reconnects FROM s""")
 def connection_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The connection's state after every frame and timeout (here silences of over four hours), on either side."""
-    lines = telemetry.with_timeouts(frames_of(table(spark, sf_dir, "events")), KEY, ORDER, "ts", "kind", 4 * 3600)
+    lines = telemetry.with_timeouts(frames_of(table(spark, sf_dir, "events")), KEY, ORDER, "ts", "kind", 4 * 3600, telemetry.steps("ts", 86_400))
     sides = [telemetry.connection_states(lines, KEY, [*ORDER, "step"], role).withColumn("role", F.lit(role)) for role in ("gateway", "agent")]
     return sides[0].unionByName(sides[1]).select("role", "user_id", "event_id", "step", "kind", "connection", "laptop", "link_up", "awake", "message", "rtt_local", "rtt_peer", "reconnects")
 

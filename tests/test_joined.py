@@ -157,3 +157,24 @@ def test_peer_endpoint(spark):
     for chunk in (None, F.expr("n div 2")):
         got = slot.peer_endpoint(taken, ["k"], ["n"], "kind", chunk).orderBy("n").collect()
         assert [r.peer_endpoint for r in got] == ["p:5", "p:5", None, None, "p:5", None, "p:5"]
+
+
+@pytest.mark.parametrize("role", ["gateway", "agent"])
+def test_steps_change_nothing(spark, role):
+    """Link quality, timeouts and connection states are the same however streams are cut, null flags and clashing names among them."""
+    rng = random.Random(7)
+    kinds = ["ethernet", "keepalive", "hello", "status", "safety_probe", "goodbye", "ack"]
+    maybe = lambda x: rng.choice([None, x, x])
+    rows = [(rng.choice([1, 1, 1, 2]), n, BEGIN + timedelta(seconds=n * 7), rng.choice(kinds), maybe(n % 2 == 0), maybe(float(n % 5)), maybe(n % 3 > 0), maybe(n % 4 == 0), maybe(float(n % 6)), "x", 5) for n in range(300)]
+    table = spark.createDataFrame(rows, "k long, n long, ts timestamp_ntz, kind string, is_reply boolean, rtt double, vehicle_link boolean, vehicle_awake boolean, peer_rtt double, row string, part long").repartition(3)
+
+    def found(chunk):
+        lines = telemetry.with_timeouts(table, ["k"], ["n"], "ts", "kind", 20, chunk)
+        states = telemetry.connection_states(lines, ["k"], ["n", "step"], role, chunk)
+        quality = telemetry.link_quality(table, ["k"], ["n"], "n", F.col("n") < 100, chunk)
+        return Counter(map(tuple, states.select(sorted(states.columns)).collect())), Counter(map(tuple, quality.collect()))
+
+    whole = found(None)
+    assert sum(whole[0].values()) > 300 and whole[1]
+    for seconds in (1, 60, 10_000):
+        assert found(telemetry.steps("ts", seconds)) == whole
