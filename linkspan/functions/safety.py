@@ -48,10 +48,27 @@ def failed_checks(link_up: Column, awake: Column, connected: Column, rtt: Column
     )
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded from its exact binary value with ties to even, as printf does (``format_string`` rounds its shortest decimals, ties away from 0)."""
+    value = value.cast("double")
+    known = F.abs(value) < 2.0**53
+    size = F.when(known, F.abs(value)).otherwise(0.0)
+    # all bits of a fraction, of 2**-7 or more, as a whole number
+    scaled = ((size - F.floor(size)) * 2.0**60).cast("bigint").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(7,0)")
+    unit = F.lit(2**60).cast("decimal(20,0)")
+    rest = scaled % unit
+    down = ((scaled - rest) / unit).cast("bigint")
+    odd = F.pmod(F.pmod(F.floor(size), F.lit(2)) * 10**digits + down, F.lit(2)) == 1
+    units = down + ((rest > F.lit(2**59)) | ((rest == F.lit(2**59)) & odd)).cast("bigint")
+    whole, part = F.floor(size) + F.floor(units / 10**digits), F.pmod(units, F.lit(10**digits))
+    text = F.concat(F.when(value < 0, "-").otherwise(""), whole.cast("string"), *([F.lit("."), F.lpad(part.cast("string"), digits, "0")] if digits else []))
+    return F.when(known, text).otherwise(F.format_string(f"%.{digits}f", value))
+
+
 def reasons(failed: Column, rtt: Column, loss: Column, cpu: Column, rx: Column, most: dict[str, Column] | None = None) -> Column:
     """The failed checks with what was measured and the limit: ``rtt 92.00 > 20.00``, ``loss 5.0000 > 0.1000`` in percent, ``cpu 91.0 > 80.0``, ``samples 3 < 20``."""
     most = most or limits()
-    told = lambda name, now, limit, digits, sign: F.concat(F.lit(f"{name} "), F.format_string(f"%.{digits}f", now.cast("double")), F.lit(f" {sign} "), F.format_string(f"%.{digits}f", limit.cast("double")))
+    told = lambda name, now, limit, digits, sign: F.concat(F.lit(f"{name} "), fixed(now, digits), F.lit(f" {sign} "), fixed(limit, digits))
     return F.transform(
         failed,
         lambda x: F.when(x == "rtt", told("rtt", rtt, most["rtt"], 2, ">")).when(x == "loss", told("loss", loss * 100, most["loss"] * 100, 4, ">")).when(x == "cpu", told("cpu", cpu, most["cpu"], 1, ">"))

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from linkspan.functions import wire
+from linkspan.functions import safety, wire
 from linkspan.operators import documents, settings, telemetry
 
 BEGIN = datetime(2024, 1, 1)
@@ -82,3 +82,26 @@ def test_timeouts_with_clashing_names(spark):
     table = spark.createDataFrame(rows, "k long, n long, ts timestamp_ntz, kind string, line string, step int, lines string")
     got = telemetry.with_timeouts(table, ["k"], ["n"], "ts", "kind", 30).orderBy("n", "step").collect()
     assert [(r.n, r.step, r.kind, r.line, r.lines) for r in got] == [(0, 0, "a", "x", "y"), (1, 0, "a", "x", "y"), (2, 0, "timeout", "x", "y"), (2, 1, "a", "x", "y")]
+
+
+def test_figures_are_rounded_as_printf_does(spark):
+    values = [0.0, 80.05, 80.15, 80.35, 85.25, 85.75, 99.95, 99.99995, 0.03125, 0.09375, 73.255813953, 12.5, 13.5, -2.25, 3.0, 1e12 + 0.25, 80.25]
+    found = spark.createDataFrame([(v,) for v in values], "v double").select("v", *(safety.fixed(F.col("v"), d).alias(f"d{d}") for d in (0, 1, 2, 4))).collect()
+    assert [tuple(r)[1:] for r in found] == [tuple(f"{v:.{d}f}" for d in (0, 1, 2, 4)) for v in values]
+    assert spark.range(1).select(safety.fixed(F.lit(float("nan")), 1), safety.fixed(F.lit(1e300), 0)).first()[0] == "NaN"
+
+
+def test_host_document_of_hosts_beyond_the_first(spark, sf_dir, tmp_path):
+    """Hosts with numbers above those that own addresses: all have a way out."""
+    import duckdb
+
+    from linkspan.plans import catalog, documents as plans  # noqa: F401  registers its queries
+
+    con = duckdb.connect()
+    for name in ("events", "part", "supplier"):
+        shifted = ", user_id + 1000 * r AS user_id, event_id + 1000000 * r AS event_id" if name == "events" else ""
+        con.execute(f"COPY (SELECT * {'EXCLUDE (user_id, event_id)' if shifted else ''} {shifted} FROM '{sf_dir}/{name}.parquet' {', range(3) t(r)' if shifted else ''}) TO '{tmp_path}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = con.execute(f"SELECT user_id, lan_ips, reasons, cpu_pct FROM ({catalog.oracle_sql()['host_document']})").fetchall()
+    found = catalog.queries()["host_document"](spark, str(tmp_path)).select("user_id", "lan_ips", "reasons", "cpu_pct")
+    assert sorted(map(tuple, found.collect())) == sorted(want) and max(r[0] for r in want) >= 2000
