@@ -141,24 +141,32 @@ def devices_containing(devices: DataFrame, texts: list[str], adapters: DataFrame
 
     Adapters are a table, of any size: a name is looked up by its rarest run of three letters
     among all names, and a name shorter than that by the whole of it; what is found so is
-    checked. An empty name is in each device that has a text; null names and texts match nothing.
+    checked. It is looked up in distinct texts, each of which is then known for all devices that have it. An
+    empty name is in each device that has a text; null names and texts match nothing.
     Devices for which ``loopback`` holds match nothing. Repeated names count once, ties of place go
     to the smaller name. Columns of ``devices`` named ``adapter`` are replaced.
     """
     kept = [c for c in devices.columns if c != adapter]
-    rows = devices.withColumn("device_row", F.struct(*(F.col(f"`{c}`") for c in kept))).select("device_row", F.array_compact(F.array(*(F.lower(F.col(f"`{t}`")) for t in texts))).alias("device_texts"), (F.lit(False) if loopback is None else F.coalesce(loopback, F.lit(False))).alias("device_skip"))
-    rows = rows.where(~F.col("device_skip") & (F.size("device_texts") > 0)).drop("device_skip").withColumn("device_key", F.xxhash64("device_row", "device_texts"))
+    # twice if there is one, so that the joins below remain outer ones, in which the devices are never the side that is broadcast
+    said = {f"device_text{i}": f"device_first{i}" for i in range(max(len(texts), 2))}
+    lowered = (F.lower(F.col(f"`{texts[i % len(texts)]}`")).alias(t) for i, t in enumerate(said))
+    rows = devices.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("device_row"), *lowered, (F.lit(False) if loopback is None else F.coalesce(loopback, F.lit(False))).alias("device_skip"))
+    rows = rows.where(~F.col("device_skip")).drop("device_skip")
     names = adapters.select(F.col(adapter).alias("name"), F.lower(F.col(adapter)).alias("low"), F.col(place).alias("turn")).where("name is not null").groupBy("low").agg(F.min(F.struct("turn", "name")).alias("first"))
     grams = names.select("low", "first", F.explode(_grams(F.col("low"), GRAM)).alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("n"))
     long = grams.join(often, "gram").groupBy("low", "first").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     short = names.where(F.char_length("low") < GRAM).select("low", "first", F.col("low").alias("gram"))
     asked = long.unionByName(short)
-    looked = F.array_distinct(F.flatten(F.transform("device_texts", lambda t: F.concat(F.array(F.lit("")), *(F.coalesce(_grams(t, n), F.array().cast("array<string>")) for n in range(1, GRAM + 1))))))
-    probes = rows.select("device_key", "device_texts", F.explode(looked).alias("gram"))
-    found = probes.join(asked, "gram").where(F.exists("device_texts", lambda t: F.contains(t, F.col("low"))))
-    best = found.groupBy("device_key").agg(F.min("first").alias("first"))
-    return rows.join(best, "device_key").select("device_row.*", F.col("first.name").alias(adapter))
+    distinct = rows.select(F.explode(F.array(*said)).alias("text")).where("text is not null").distinct()
+    looked = F.array_distinct(F.concat(F.array(F.lit("")), *(F.coalesce(_grams(F.col("text"), n), F.array().cast("array<string>")) for n in range(1, GRAM + 1))))
+    # sizes are estimated before texts are cut into runs, so nothing may be broadcast by them
+    found = distinct.select("text", F.explode(looked).alias("gram")).hint("merge").join(asked, "gram").where(F.contains("text", F.col("low")))
+    best = found.groupBy("text").agg(F.min("first").alias("first"))
+    for text, first in said.items():
+        rows = rows.join(best.select(F.col("text").alias(text), F.col("first").alias(first)), text, "left")
+    hit = F.array_min(F.array(*said.values()))
+    return rows.where(hit.isNotNull()).select("device_row.*", hit["name"].alias(adapter))
 
 
 def best_interface(scored: DataFrame, keys: list[str]) -> DataFrame:

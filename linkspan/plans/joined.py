@@ -78,7 +78,7 @@ def direction_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adapter_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Devices whose name or description contains an adapter's, from a table of adapters in their order; loopback devices (some sizes) never do."""
     part = table(spark, sf_dir, "part")
-    word = F.upper(F.element_at(F.split("p_name", " "), (F.col("p_partkey") % 2 + 1).cast("int")))
+    word = F.upper(F.split_part("p_name", F.lit(" "), (F.col("p_partkey") % 2 + 1).cast("int")))
     adapters = part.where("p_partkey % 5 = 0").groupBy(word.alias("adapter")).agg(F.min("p_partkey").alias("place"))
     adapters = adapters.union(spark.createDataFrame([("zz", 1), ("d", 1_000_000)], "adapter string, place bigint"))
     return matching.devices_containing(part.select("p_partkey", "p_name", "p_type", "p_size"), ["p_name", "p_type"], adapters, "adapter", "place", F.col("p_size") % 7 == 0).drop("p_size")

@@ -132,6 +132,27 @@ def test_devices_containing(spark):
     assert matching.devices_containing(spark.createDataFrame(devices, "device_key long, a string, b string, adapter boolean"), ["a"], none, "adapter", "place").count() == 0
 
 
+def test_adapter_devices_in_a_table(spark, tmp_path):
+    """Names of one word and none, and devices that are not broadcast, however small their file."""
+    import duckdb
+
+    from linkspan.plans import catalog, joined  # noqa: F401  registers its queries
+
+    names = ["large ring", "ring", "", "Rod  x", "hot bolt", None]
+    rows = [(k, names[k % 6], ["LARGE", "BOLT d", None][k % 3], k % 50) for k in range(300)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    found = catalog.queries()["adapter_devices"](spark, str(tmp_path))
+    want = Counter(con.execute(f"SELECT p_partkey, p_name, p_type, adapter FROM ({catalog.oracle_sql()['adapter_devices']})").fetchall())
+    assert Counter(map(tuple, found.select("p_partkey", "p_name", "p_type", "adapter").collect())) == want and want
+    above: list[tuple[int, str]] = []
+    for line in found._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [x for x in above if x[0] < depth] + [(depth, line)]
+        assert "device_row" not in line or not any("BroadcastExchange" in x for _, x in above)
+
+
 def test_reconnects(spark):
     """A plain replay of attempts: doubling delays, a fixed one where settings do not allow any, a new beginning with each connection."""
     rng = random.Random(6)
