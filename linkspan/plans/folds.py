@@ -160,9 +160,13 @@ def release_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     asset = lambda name, file: F.struct(name.alias("name"), F.lit(f"web/{file}").alias("browser_download_url"), F.lit(f"api/{file}").alias("url"))
     assets = F.array(asset(F.lit("App.zip"), "other"), asset(F.when(key % 5 == 0, "none").otherwise("app.zip"), "app.zip"), asset(F.lit("app.zip"), "second"), asset(F.when(key % 3 == 0, "x").otherwise("Sha256Sums.TXT"), "sums"))
     assets = F.when(key % 5 == 0, F.slice(assets, 1, 2)).otherwise(assets)
-    body = F.when(key % 10 > 0, F.expr("repeat('n', cast(p_partkey as int))"))
+    # as long as its number, but not without end: from 400 letters on, lengths of 400 to 1000 recur
+    letters = F.least(key, F.lit(400) + F.pmod(key, F.lit(601))).cast("int")
+    body = F.when(key % 10 > 0, F.repeat(F.lit("n"), letters))
     document = F.to_json(F.struct(tag.alias("tag_name"), body.alias("body"), (key % 11 == 0).alias("draft"), F.when(key % 13 == 0, True).alias("prerelease"), assets.alias("assets")))
-    return sources.newer_releases(table(spark, sf_dir, "part").select("p_partkey", document.alias("json")), "json", F.lit("1.2.0"), F.lit("app.zip"), F.col("p_partkey") % 2 == 0)
+    # a document takes far more work than the bytes of its row, of which a task reads megabytes
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition("p_partkey")
+    return sources.newer_releases(parts.select("p_partkey", document.alias("json")), "json", F.lit("1.2.0"), F.lit("app.zip"), F.col("p_partkey") % 2 == 0)
 
 
 @query("""WITH c AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'gateway' WHEN 'assistant' THEN 'agent' ELSE role END AS role, upper('room' || CAST(conv_id % 50 AS VARCHAR)) AS code FROM conversations),

@@ -107,16 +107,18 @@ def newer_releases(documents: DataFrame, json: str, current: Column, asset: Colu
     the name ``asset``, the first of several. The sums file's name matches in any ASCII case; a
     release may lack it. ``api_url`` chooses the assets' API addresses. Notes are cut to 400 characters.
     """
-    parsed = documents.withColumn("release", F.from_json(json, _RELEASE)).withColumns({"release_current": current, "release_asset": asset, "release_api": api_url})
-    named = lambda test: F.get(F.filter("release.assets", test), F.lit(0))
-    rows = parsed.select(
-        "*", named(lambda a: a["name"] == F.col("release_asset")).alias("release_hit"),
-        named(lambda a: net.ascii_lower(a["name"]) == "sha256sums.txt").alias("release_sums"), net.semver(F.col("release.tag_name")).alias("release_version"),
-    )
-    good = rows.where(~F.coalesce("release.draft", F.lit(False)) & ~F.coalesce("release.prerelease", F.lit(False)) & F.col("release_hit").isNotNull() & (F.col("release_version") > net.semver(F.col("release_current"))))
-    url = lambda a: F.when(F.col("release_api"), F.col(f"{a}.url")).otherwise(F.col(f"{a}.browser_download_url"))
-    out = [F.col("release.tag_name").alias("version"), url("release_hit").alias("asset_url"), url("release_sums").alias("checksums_url"), F.left(F.coalesce("release.body", F.lit("")), F.lit(400)).alias("notes")]
-    return good.select(*(c for c in documents.columns if c != json), *out)
+
+    def offer(release: Column) -> Column:
+        named = lambda test: F.get(F.filter(release["assets"], test), F.lit(0))
+        hit, sums = named(lambda a: a["name"] == asset), named(lambda a: net.ascii_lower(a["name"]) == "sha256sums.txt")
+        url = lambda a: F.when(api_url, a["url"]).otherwise(a["browser_download_url"])
+        good = ~F.coalesce(release["draft"], F.lit(False)) & ~F.coalesce(release["prerelease"], F.lit(False)) & hit.isNotNull() & (net.semver(release["tag_name"]) > net.semver(current))
+        notes = F.left(F.coalesce(release["body"], F.lit("")), F.lit(400))
+        return F.when(good, F.struct(release["tag_name"].alias("version"), url(hit).alias("asset_url"), url(sums).alias("checksums_url"), notes.alias("notes")))
+
+    # an array of one, so that each document is parsed once
+    offers = F.array_compact(F.transform(F.array(F.from_json(json, _RELEASE)), offer))
+    return documents.select(*(c for c in documents.columns if c != json), F.inline(offers))
 
 
 def parse_joins(hellos: DataFrame, json: str, magic: str) -> DataFrame:

@@ -153,6 +153,21 @@ def test_adapter_devices_in_a_table(spark, tmp_path):
         assert "device_row" not in line or not any("BroadcastExchange" in x for _, x in above)
 
 
+def test_release_choice_of_large_keys(spark, tmp_path):
+    """Bodies do not grow with the keys without end."""
+    import duckdb
+
+    from linkspan.plans import catalog, folds  # noqa: F401  registers its queries
+
+    keys = [*range(380, 420), *range(990, 1020), *range(1_200_000, 1_200_040), *range(2_000_000_000, 2_000_000_020), *range(3_000_000_000, 3_000_000_020)]
+    spark.createDataFrame([(k, k % 50) for k in keys], "p_partkey long, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    names = ["p_partkey", "version", "asset_url", "checksums_url", "notes"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({catalog.oracle_sql()['release_choice']})").fetchall()
+    assert Counter(map(tuple, catalog.queries()["release_choice"](spark, str(tmp_path)).select(*names).collect())) == Counter(want) and len(want) > 40
+
+
 def test_reconnects(spark):
     """A plain replay of attempts: doubling delays, a fixed one where settings do not allow any, a new beginning with each connection."""
     rng = random.Random(6)
