@@ -30,7 +30,7 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose 5-word shingles are similar, by exact Jaccard of 0.8 or more.
+    """One document of each group whose 5-word shingles are similar: SimHash links, each checked by exact Jaccard of 0.8 or more, and exactly what these leave.
 
     It is the one with the smallest doc_id, one without doc_id only where no other is there.
     """

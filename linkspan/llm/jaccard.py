@@ -1,4 +1,9 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, found by prefix filtering.
+"""Near-duplicates of word shingles: by SimHash, checked by exact Jaccard similarity, and exactly by prefix filtering for what SimHash leaves.
+
+Each shingle set has a fingerprint of 64 bits, and fingerprints that differ in few bits are linked over the anchors of
+``simhash``. The sets of a link are near-duplicates if their similarity is at least 4/5. Edits that turn more
+bits leave similar sets without such a link; those are found by prefix filtering, in which sets that
+fingerprints have joined already need no comparison.
 
 Of two shingle sets whose similarity is at least 4/5, under any one order of all shingles,
 the first n - ceil(4n/5) + 1 of each share one. So sets meet at these prefix shingles only,
@@ -27,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkspan.llm import simhash
 from linkspan.llm.common import cut, discard, over_batches, slices
 from linkspan.llm.graph import components
 
@@ -40,6 +46,8 @@ ORDER_ROWS, MOST_COMMON = 10_000, 200_000
 _FLUSH = 1 << 18
 #: Longs of a bitmap.
 BITMAP = 32
+#: Bits in which the fingerprints of linked sets may differ, as in ``op1_simhash``.
+DISTANCE = 4
 #: Tables of row numbers with at most so many rows, of about 24 bytes each, are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -102,16 +110,17 @@ def common_shingles(docs: DataFrame, rows: int = ORDER_ROWS) -> Common:
 
 
 def _keyed(docs: DataFrame, common: Common) -> DataFrame:
-    """The rows with a key of their own, their set's hash, size and bitmap, and its prefix."""
+    """The rows with a key of their own, their set's hash, size, fingerprint and bitmap, and its prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     at = docs.columns.index("text")
-    added = [("_set", pa.int64(), T.LongType()), ("_size", pa.int32(), T.IntegerType()), ("_bits", pa.list_(pa.int64()), T.ArrayType(T.LongType())), ("_prefix", pa.list_(pa.int64()), T.ArrayType(T.LongType()))]
+    added = [("_set", pa.int64(), T.LongType()), ("_size", pa.int32(), T.IntegerType()), ("_fp", pa.int64(), T.LongType()), ("_bits", pa.list_(pa.int64()), T.ArrayType(T.LongType())), ("_prefix", pa.list_(pa.int64()), T.ArrayType(T.LongType()))]
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(x) for x in batch.column(at).to_pylist()]
         ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-        values = (ids, [len(s) for s in sets], list(map(bitmap, sets)), [prefix(s, shared.value).view(np.int64) for s in sets])
+        fps = np.fromiter(map(simhash.majority, sets), np.uint64, len(sets)).view(np.int64)
+        values = (ids, [len(s) for s in sets], fps, list(map(bitmap, sets)), [prefix(s, shared.value).view(np.int64) for s in sets])
         for (name, kind, _), column in zip(added, values):
             batch = batch.append_column(name, pa.array(column, kind))
         return batch
@@ -235,8 +244,26 @@ def _narrow(rows: DataFrame) -> DataFrame:
 
 
 def _cards(keyed: DataFrame) -> DataFrame:
-    """Of each set: its first row, its size and its bitmap."""
-    return cut(keyed.groupBy("_set").agg(F.min("_row").alias("_row"), F.min("_size").alias("n"), F.min("_bits").alias("bits")), "cards")
+    """Of each set: its first row, its size, its fingerprint and its bitmap."""
+    return cut(keyed.groupBy("_set").agg(F.min("_row").alias("_row"), F.min("_size").alias("n"), F.min("_fp").alias("fp"), F.min("_bits").alias("bits")), "cards")
+
+
+def _near_fingerprints(cards: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): a pair of sets for each link of SimHash, and for each set whose fingerprint a smaller set has too."""
+    first = cut(cards.groupBy("fp").agg(F.min("_set").alias("first")), "distinct-fps")
+    linked = simhash.links(first, distance)
+    of = lambda fp, name: first.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    near = linked.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    equal = cards.select("fp", F.col("_set").alias("b")).join(first, "fp").where("b <> first").select(F.col("first").alias("a"), "b")
+    found = cut(near.union(equal).distinct(), "near-fps")
+    discard(first, linked)
+    return found
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that no links join yet."""
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    return pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, keyed: DataFrame, cards: DataFrame) -> DataFrame:
@@ -266,9 +293,7 @@ def _verified(pairs: DataFrame, keyed: DataFrame, cards: DataFrame) -> DataFrame
     sets = cut(over_batches(texts, hashes, "id long, hashes binary"), "sets")
     first = checked(pairs.groupBy("b").agg(F.min("a").alias("a")))
     joined = components(first)
-    root = lambda side: joined.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    rest = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
-    found = cut(first.union(checked(rest.select("a", "b"))), "similar")
+    found = cut(first.union(checked(_apart(pairs, joined))), "similar")
     discard(pairs, ids, wanted, sets, joined)
     return found
 
@@ -290,9 +315,14 @@ def _roots(keyed: DataFrame, small: int, members: int) -> DataFrame:
     cards = _cards(keyed)
     once = keyed.select("_row", "_set", "_size", "_prefix").join(_narrow(cards.select("_row")), "_row", "left_semi")
     rows = once.select(F.col("_set").alias("a"), F.col("_size").alias("n"), F.posexplode("_prefix").alias("place", "key")).select("key", "a", "n", "place")
+    near = _near_fingerprints(cards)
+    by_print = _verified(near, keyed, cards)
+    printed = components(by_print)
+    discard(near)
     met = cut(rows.repartition("key").sortWithinPartitions("key", "a").mapInArrow(lambda x: meetings(x, small, RUN_GROUPS * members), _MET), "meetings")
-    links = _verified(met.where("b is not null").select("a", "b"), keyed, cards)
+    links = cut(by_print.union(_verified(_apart(met.where("b is not null").select("a", "b"), printed), keyed, cards)), "links")
     roots = components(links)
+    discard(by_print, printed)
     large = met.where("b is null")
     if not large.isEmpty():
         placed = large.join(roots.withColumnRenamed("node", "a"), "a", "left").select("key", "a", "n", "place", F.coalesce("root", "a").alias("root"))

@@ -53,7 +53,11 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-width] + 1))
     digest = xxhash.xxh64_intdigest
-    found = np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())], np.uint64)
+    return majority(np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())], np.uint64))
+
+
+def majority(found: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 if there are none."""
     at = found.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
     ones = np.einsum("ib,bj->ij", np.bincount(at.ravel(), minlength=2048).reshape(8, 256), _BITS).ravel()
     return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)[0])

@@ -2,12 +2,15 @@
 
 import random
 from collections import Counter
+from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from linkspan.llm import jaccard
+from linkspan.llm import jaccard, simhash
+from linkspan.llm.graph import components
 
 
 def plain_kept(rows):
@@ -114,3 +117,27 @@ def test_any_column_names(spark):
     got = jaccard.keep_one(spark.createDataFrame(rows, schema).repartition(2))
     assert got.columns == names and sorted(map(tuple, got.collect())) == sorted(r for k, r in enumerate(rows) if k not in (1, 2))
     assert jaccard.keep_one(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_links_of_fingerprints(spark):
+    """The stage links sets by SimHash: what is within 4 bits is joined before any pair that shingles find, and each such pair is checked."""
+    rows = edited_rows()
+    keyed = jaccard._keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    prints = {r._set: r._fp % 2**64 for r in keyed.select("_set", "_fp").collect()}
+    assert {simhash.majority(jaccard.shingles(t)) for _, t in rows} == set(prints.values())
+    pairs = jaccard._near_fingerprints(jaccard._cards(keyed))
+    roots = {r.node: r.root for r in components(pairs).collect()}
+    near = [(a, b) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    assert near and all(roots[a] == roots[b] for a, b in near)
+    assert all(a < b for a, b in map(tuple, pairs.collect()))
+    assert jaccard._apart(pairs, components(pairs)).count() == 0
+
+
+def test_stage_reads_fingerprints(spark, monkeypatch):
+    """The stage's rows come by way of SimHash's links."""
+    seen = []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, distance: seen.append(distance) or links(fps, distance))
+    table = spark.createDataFrame([(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "h i j k l m n"), (4, None)], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert {r.doc_id for r in stage(spark, table, "").collect()} == {1, 3, 4} and seen == [4]
